@@ -41,18 +41,20 @@ def is_physical(transaction_type: Column) -> Column:
     return F.coalesce(transaction_type.isin(*PHYSICAL_TYPES), F.lit(False))
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
-
-
-def too_fast(lat1, lon1, lat2, lon2, gap_us: Column, max_kmh: float) -> Column:
-    """Travel between two points in ``gap_us`` (cut to whole milliseconds) beats ``max_kmh``."""
-    hours = (gap_us - F.pmod(gap_us, F.lit(1000))).cast("double") / F.lit(float(HOUR))
-    moved = (lat1 != lat2) | (lon1 != lon2)
-    return moved & (haversine_km(lat1, lon1, lat2, lon2) > F.lit(float(max_kmh)) * hours)
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a = (f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+         f" * pow(sin(radians({lon2} - {lon1}) / 2), 2))")
+    return f"({2 * EARTH_RADIUS_KM}D * atan2(sqrt({a}), sqrt(1.0D - {a})))"
+
+
+def too_fast_sql(lat1: str, lon1: str, lat2: str, lon2: str, gap_us: str, max_kmh: float) -> str:
+    """SQL text: travel between two points in ``gap_us`` (cut to whole milliseconds) beats ``max_kmh``.
+
+    Equal points are settled first, without any trigonometry.
+    """
+    hours = f"(cast((({gap_us}) div 1000) as double) / 3600000.0D)"
+    return (f"(({lat1} <> {lat2} OR {lon1} <> {lon2})"
+            f" AND {haversine_sql(lat1, lon1, lat2, lon2)} / {hours} > {float(max_kmh)!r}D)")
 
 
 def percentage(part: Column, whole: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipewatch.config import DAY, MINUTE, SECOND, RuleConfig, SkewConfig
-from swipewatch.functions.columns import blank, epoch_day, epoch_hour, is_physical, too_fast
+from swipewatch.functions.columns import epoch_day, epoch_hour, is_physical, too_fast_sql
 from swipewatch.operators import hot as hot_customers
 from swipewatch.schemas import CARD_NOT_PRESENT
 
@@ -91,7 +91,7 @@ def moments(count: Column, total: Column, squares: Column) -> tuple[Column, Colu
 
 
 def with_spend_and_baseline(rows: DataFrame, cfg: RuleConfig, mode: str = EXACT) -> DataFrame:
-    """Adds daily spend and the amount baseline over earlier rows of the same currency.
+    """Adds hourly and daily spend and the amount baseline over earlier rows of the same currency.
 
     ``exact`` looks back 24 hours and ``baseline_days`` days to the microsecond,
     both edges included. ``bucketed`` looks back 24 clock hours and
@@ -99,114 +99,137 @@ def with_spend_and_baseline(rows: DataFrame, cfg: RuleConfig, mode: str = EXACT)
     """
     per_currency = Window.partitionBy("customer_id", "currency")
     earlier = per_currency.orderBy("us", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
+
+    def until(order, offset):
+        return per_currency.orderBy(order).rangeBetween(Window.unboundedPreceding, -offset)
+
+    before_hour = until("us", cfg.hourly_minutes * MINUTE)
     if mode == EXACT:
-        before_day = per_currency.orderBy("us").rangeBetween(Window.unboundedPreceding, -(DAY + 1))
-        before_span = per_currency.orderBy("us").rangeBetween(
-            Window.unboundedPreceding, -(cfg.baseline_days * DAY + 1))
+        before_day, before_span = until("us", DAY + 1), until("us", cfg.baseline_days * DAY + 1)
     elif mode == BUCKETED:
-        before_day = per_currency.orderBy("hour").rangeBetween(Window.unboundedPreceding, -24)
-        before_span = per_currency.orderBy("day").rangeBetween(Window.unboundedPreceding, -cfg.baseline_days)
-        rows = rows.withColumn("hour", epoch_hour(F.col("us"))).withColumn("day", epoch_day(F.col("us")))
+        before_day, before_span = until("hour", 24), until("day", cfg.baseline_days)
+        rows = rows.withColumns({"hour": epoch_hour(F.col("us")), "day": epoch_day(F.col("us"))})
     else:
         raise ValueError(f"mode must be '{EXACT}' or '{BUCKETED}', not {mode!r}")
     units = amount_units(F.col("amount"))
     square = F.try_multiply(units, units)
-    zero = F.lit(0).cast("decimal(29,4)")
+    one = F.lit(1)
+    # Windows of one call share a pass wherever they share an order.
+    totals = rows.withColumns({
+        "_n": F.count(one).over(earlier), "_s": F.sum("amount").over(earlier), "_q": F.try_sum(square).over(earlier),
+    }).withColumns({
+        "_hour": F.sum("amount").over(before_hour), "_day": F.sum("amount").over(before_day),
+        "_n0": F.count(one).over(before_span), "_s0": F.sum("amount").over(before_span),
+        "_q0": F.try_sum(square).over(before_span),
+    })
 
-    def total(column, frame):
-        return F.coalesce(F.sum(column).over(frame), zero)
+    def known(name):
+        return F.coalesce(F.col(name), F.lit(0).cast("decimal(29,4)"))
 
-    def squares(frame):
-        # An overflowing sum is NULL and stays NULL; an empty frame is zero.
-        return F.when(F.count(F.lit(1)).over(frame) == 0, F.lit(0).cast("decimal(38,0)")) \
-            .otherwise(F.try_sum(square).over(frame))
+    def known_squares(name, count):
+        # NULL with rows behind it means the sum did not fit, and stays NULL.
+        return F.when(F.col(count) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.col(name))
 
-    rows = rows.withColumns({
-        "_n": F.count(F.lit(1)).over(earlier), "_s": total("amount", earlier), "_q": squares(earlier),
-    }).withColumns({
-        "_day": total("amount", before_day),
-    }).withColumns({
-        "_n0": F.count(F.lit(1)).over(before_span), "_s0": total("amount", before_span), "_q0": squares(before_span),
-    })
     count = F.col("_n") - F.col("_n0")
-    mean, deviation = moments(count, F.col("_s") - F.col("_s0"), F.try_subtract(F.col("_q"), F.col("_q0")))
-    return rows.withColumns({
-        "daily_spend": (F.col("_s") - F.col("_day")).cast("decimal(29,4)"),
-        "baseline_count": count, "baseline_mean": mean, "baseline_stddev": deviation,
-    }).drop("_n", "_s", "_q", "_day", "_n0", "_s0", "_q0", "hour", "day")
+    mean, deviation = moments(count, known("_s") - known("_s0"),
+                              F.try_subtract(known_squares("_q", "_n"), known_squares("_q0", "_n0")))
+    return totals.select(*[c for c in rows.columns if c not in ("hour", "day")], *[
+        (known("_s") - known(f"_{span}")).cast("decimal(29,4)").alias(alias)
+        for span, alias in (("hour", "hourly_spend"), ("day", "daily_spend"))
+    ], count.alias("baseline_count"), mean.alias("baseline_mean"), deviation.alias("baseline_stddev"))
 
 
 # --- short-window features ------------------------------------------------------------------
 
-def with_recent(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """Adds ``recent``: the customer's earlier transactions inside the lookback.
+# What later steps need to know of an earlier transaction.
+RECENT_ENTRY = """named_struct(
+    'us', us, 'transaction_id', transaction_id, 'merchant_id', merchant_id, 'amount', amount,
+    'currency', currency, 'latitude', latitude, 'longitude', longitude,
+    'device', CASE WHEN device_fingerprint RLIKE '\\\\S' THEN device_fingerprint END)"""
+
+
+def with_counts_and_recent(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """Adds the activity counts and ``recent``, the list of the customer's latest transactions.
 
     Only for customers known to be small; see :func:`build_context`.
     """
-    lookback = (Window.partitionBy("customer_id").orderBy("us")
-                .rangeBetween(-(cfg.lookback_minutes * MINUTE - 1), 0))
-    entry = F.struct(
-        "us", "transaction_id", "merchant_id", "amount", "currency",
-        is_physical(F.col("transaction_type")).alias("physical"),
-        "latitude", "longitude",
-        F.when(~blank(F.col("device_fingerprint")), F.col("device_fingerprint")).alias("device"),
-    )
-    return rows.withColumn("_window", F.collect_list(entry).over(lookback)).withColumn(
-        "recent", F.filter("_window", lambda x: (x.us < F.col("us"))
-                           | ((x.us == F.col("us")) & (x.transaction_id < F.col("transaction_id"))))
-    ).drop("_window")
-
-
-def features_from_recent(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """Reduces ``recent`` to the scalar features the rules read. Used by batch and stream alike."""
-    recent, now = F.col("recent"), F.col("us")
-
-    def within(x, span_us):
-        return x.us > now - span_us
-
-    def same_charge(x):
-        return (x.amount == F.col("amount")) & (x.currency == F.col("currency"))
-
-    def count(predicate):
-        return F.size(F.filter(recent, predicate)).cast("long")
-
-    remote = F.col("transaction_type").eqNullSafe(CARD_NOT_PRESENT)
-    duplicate_span = F.when(remote, cfg.duplicate_remote_seconds * SECOND).otherwise(
-        cfg.duplicate_physical_seconds * SECOND)
-    clones = F.filter(recent, lambda x: within(x, cfg.cloning_minutes * MINUTE) & same_charge(x)
-                      & (x.merchant_id != F.col("merchant_id")))
-    devices = F.array_distinct(F.transform(
-        F.filter(recent, lambda x: within(x, cfg.device_minutes * MINUTE) & x.device.isNotNull()),
-        lambda x: x.device))
-    channel_span = cfg.multi_channel_minutes * MINUTE
-    spend = F.aggregate(
-        F.filter(recent, lambda x: within(x, cfg.hourly_minutes * MINUTE) & (x.currency == F.col("currency"))),
-        F.lit(0).cast("decimal(29,4)"), lambda acc, x: (acc + x.amount).cast("decimal(29,4)"))
-    lat, lon = F.col("effective_latitude"), F.col("effective_longitude")
-    conflicts = F.filter(recent, lambda x: F.coalesce(
-        within(x, cfg.geographic_minutes * MINUTE) & (now - x.us >= MINUTE)
-        & x.latitude.isNotNull() & x.longitude.isNotNull()
-        & too_fast(lat, lon, x.latitude, x.longitude, now - x.us, cfg.geographic_max_kmh), F.lit(False)))
-    newest = F.array_max(F.transform(conflicts, lambda x: F.struct(
-        x.us.alias("us"), x.transaction_id.alias("id"), x.latitude.alias("lat"), x.longitude.alias("lon"))))
-    return rows.withColumns({
-        "_devices": devices,
-        "_conflict": F.when(lat.isNotNull() & lon.isNotNull(), newest),
-        "recent_count": F.size(recent).cast("long"),
-        "velocity_count": count(lambda x: within(x, cfg.velocity_minutes * MINUTE)),
-        "cross_merchant_count": count(lambda x: within(x, cfg.cross_merchant_minutes * MINUTE)),
-        "duplicate_seen": F.exists(recent, lambda x: within(x, duplicate_span) & same_charge(x)
-                                   & (x.merchant_id == F.col("merchant_id"))),
-        "cloned_merchants": F.size(F.array_distinct(F.transform(clones, lambda x: x.merchant_id))).cast("long"),
-        "physical_count": count(lambda x: within(x, channel_span) & x.physical),
-        "remote_count": count(lambda x: within(x, channel_span) & ~x.physical),
-        "hourly_spend": spend,
+    per_customer = Window.partitionBy("customer_id")
+    earlier = per_customer.orderBy("us", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
+
+    def until(minutes):
+        return per_customer.orderBy("us").rangeBetween(Window.unboundedPreceding, -minutes * MINUTE)
+
+    reach = max(cfg.cloning_minutes * 60, cfg.device_minutes * 60, cfg.geographic_minutes * 60,
+                cfg.duplicate_physical_seconds, cfg.duplicate_remote_seconds)
+    latest = per_customer.orderBy("us").rangeBetween(-(reach * SECOND - 1), 0)
+    everything, physical = F.count(F.lit(1)), F.count(F.when(is_physical(F.col("transaction_type")), 1))
+    counted = rows.withColumns({
+        "_n": everything.over(earlier), "_p": physical.over(earlier),
     }).withColumns({
-        "known_devices": F.size("_devices").cast("long"),
-        "device_known": F.coalesce(F.array_contains("_devices", F.col("device_fingerprint")), F.lit(False)),
-        "conflict_latitude": F.col("_conflict.lat"),
-        "conflict_longitude": F.col("_conflict.lon"),
-    }).drop("_devices", "_conflict", "recent")
+        "_lookback": everything.over(until(cfg.lookback_minutes)),
+        "_velocity": everything.over(until(cfg.velocity_minutes)),
+        "_cross": everything.over(until(cfg.cross_merchant_minutes)),
+        "_channel": everything.over(until(cfg.multi_channel_minutes)),
+        "_channel_p": physical.over(until(cfg.multi_channel_minutes)),
+        "recent": F.collect_list(F.expr(RECENT_ENTRY)).over(latest),
+    })
+    return counted.selectExpr(
+        *rows.columns, "recent",
+        "_n - _lookback AS recent_count", "_n - _velocity AS velocity_count", "_n - _cross AS cross_merchant_count",
+        "_p - _channel_p AS physical_count", "(_n - _channel) - (_p - _channel_p) AS remote_count")
+
+
+def counts_from_recent(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """The counts of :func:`with_counts_and_recent`, for rows that carry a full ``recent`` list.
+
+    Its entries additionally hold ``physical``. Used by the stream, whose state is that list.
+    """
+    def count(minutes, more="true"):
+        return f"cast(size(filter(recent, x -> x.us > us - {minutes * MINUTE} AND {more})) as bigint)"
+
+    return rows.selectExpr(
+        "*", f"{count(cfg.lookback_minutes)} AS recent_count", f"{count(cfg.velocity_minutes)} AS velocity_count",
+        f"{count(cfg.cross_merchant_minutes)} AS cross_merchant_count",
+        f"{count(cfg.multi_channel_minutes, 'x.physical')} AS physical_count",
+        f"{count(cfg.multi_channel_minutes, 'NOT x.physical')} AS remote_count",
+        "aggregate(filter(recent, x -> x.currency = currency AND "
+        f"x.us > us - {cfg.hourly_minutes * MINUTE}), cast(0 as decimal(29,4)), "
+        "(total, x) -> cast(total + x.amount as decimal(29,4))) AS hourly_spend")
+
+
+def features_from_recent(rows: DataFrame, cfg: RuleConfig, ordered_before: bool = True) -> DataFrame:
+    """Reduces ``recent`` to the features that compare single transactions. Used by batch and stream.
+
+    ``ordered_before`` keeps only entries before the row in (time, id) order; the
+    stream hands over arrivals in its own order and turns it off.
+    """
+    before = "x.us < us OR (x.us = us AND x.transaction_id < transaction_id)" if ordered_before else "true"
+    near = max(cfg.cloning_minutes * 60, cfg.duplicate_physical_seconds, cfg.duplicate_remote_seconds) * SECOND
+    same = "x.amount = amount AND x.currency = currency"
+    duplicate_span = (f"CASE WHEN transaction_type <=> '{CARD_NOT_PRESENT}' THEN {cfg.duplicate_remote_seconds * SECOND}"
+                      f" ELSE {cfg.duplicate_physical_seconds * SECOND} END")
+    travel = too_fast_sql("effective_latitude", "effective_longitude", "x.latitude", "x.longitude", "us - x.us",
+                          cfg.geographic_max_kmh)
+    kept = [c for c in rows.columns if c != "recent"]
+    return rows.selectExpr(*kept, f"filter(recent, x -> {before}) AS recent").selectExpr(
+        *kept,
+        f"filter(recent, x -> x.us > us - {near} AND {same}) AS _same",
+        f"""array_distinct(transform(filter(recent,
+            x -> x.device IS NOT NULL AND x.us > us - {cfg.device_minutes * MINUTE}), x -> x.device)) AS _devices""",
+        f"""CASE WHEN effective_latitude IS NOT NULL AND effective_longitude IS NOT NULL THEN
+            array_max(transform(filter(recent,
+                x -> x.us <= us - {MINUTE} AND x.us > us - {cfg.geographic_minutes * MINUTE}
+                     AND x.latitude IS NOT NULL AND x.longitude IS NOT NULL AND {travel}),
+                x -> struct(x.us, x.transaction_id, x.latitude, x.longitude))) END AS _conflict""",
+    ).selectExpr(
+        *kept,
+        f"exists(_same, x -> x.merchant_id = merchant_id AND x.us > us - {duplicate_span}) AS duplicate_seen",
+        f"""cast(size(array_distinct(transform(filter(_same,
+            x -> x.merchant_id <> merchant_id AND x.us > us - {cfg.cloning_minutes * MINUTE}),
+            x -> x.merchant_id))) as bigint) AS cloned_merchants""",
+        "cast(size(_devices) as bigint) AS known_devices",
+        "coalesce(array_contains(_devices, device_fingerprint), false) AS device_known",
+        "_conflict.latitude AS conflict_latitude", "_conflict.longitude AS conflict_longitude")
 
 
 # --- the whole context ------------------------------------------------------------------------
@@ -234,5 +257,5 @@ def build_context(txns: DataFrame, merchants: DataFrame, cfg: RuleConfig | None
 def ordinary_context(rows: DataFrame, cfg: RuleConfig, mode: str) -> DataFrame:
     # One exchange serves the per-currency and the per-customer windows. The list
     # comes last, so it is never sorted or shuffled.
-    placed = rows.repartition("customer_id")
-    return features_from_recent(with_recent(with_spend_and_baseline(placed, cfg, mode), cfg), cfg)
+    placed = with_spend_and_baseline(rows.repartition("customer_id"), cfg, mode)
+    return features_from_recent(with_counts_and_recent(placed, cfg), cfg)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from swipewatch.config import DAY, HOUR, MINUTE, SECOND, RuleConfig, SkewConfig
-from swipewatch.functions.columns import blank, epoch_day, epoch_hour, floor_div, is_physical, too_fast
+from swipewatch.functions.columns import blank, epoch_day, epoch_hour, floor_div, is_physical, too_fast_sql
 from swipewatch.schemas import CARD_NOT_PRESENT
 
 HOT = T.StructType([
@@ -224,8 +224,8 @@ def travel_conflicts(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     return (
         probes.join(visits, ["customer_id", "slot"])
         .where((F.col("us") >= F.col("from_us")) & (F.col("us") < F.col("to_us"))
-               & too_fast(F.col("effective_latitude"), F.col("effective_longitude"), F.col("seen_lat"),
-                          F.col("seen_lon"), F.col("us") - F.col("seen_us"), cfg.geographic_max_kmh))
+               & F.expr(too_fast_sql("effective_latitude", "effective_longitude", "seen_lat", "seen_lon",
+                                     "us - seen_us", cfg.geographic_max_kmh)))
         .groupBy("transaction_id")
         .agg(F.max(F.struct("seen_us", "seen_id", "seen_lat", "seen_lon")).alias("newest"))
         .select("transaction_id", F.col("newest.seen_lat").alias("conflict_latitude"),

@@ -31,13 +31,6 @@ class Rule:
     prepare: Callable[[DataFrame], DataFrame] | None = None
     error_column: str | None = None
 
-    def violation(self, cfg: RuleConfig) -> Column:
-        """Violation struct, NULL when the rule passes."""
-        severity = self.severity(cfg)
-        return F.when(severity.isNotNull(), F.struct(
-            F.lit(self.name).alias("rule_name"), F.lit(self.version).alias("rule_version"),
-            self.describe(cfg).alias("description"), severity.alias("severity")))
-
 
 def fires(condition: Column, severity: str) -> Column:
     return F.when(condition, F.lit(severity))
@@ -50,24 +43,31 @@ def money(amount: Column) -> Column:
 # --- conditions -------------------------------------------------------------------------------
 
 def amount_limit(cfg: RuleConfig) -> Column:
-    limit = F.lit(cfg.amount_threshold)
-    for name, value in cfg.category_thresholds.items():
-        limit = F.when(F.upper("category") == name, F.lit(value)).otherwise(limit)
-    return limit
+    """Limit of the category, by its upper-case name, else the general one. A literal map keeps generated code short."""
+    return F.coalesce(_by_category({k: F.lit(v).cast(LIMIT) for k, v in cfg.category_thresholds.items()}),
+                      F.lit(cfg.amount_threshold).cast(LIMIT))
 
 
 def amount_limit_text(cfg: RuleConfig) -> Column:
-    text = F.lit(f"{cfg.amount_threshold:f}")
-    for name, value in cfg.category_thresholds.items():
-        text = F.when(F.upper("category") == name, F.lit(f"{value:f}")).otherwise(text)
-    return text
+    return F.coalesce(_by_category({k: F.lit(f"{v:f}") for k, v in cfg.category_thresholds.items()}),
+                      F.lit(f"{cfg.amount_threshold:f}"))
+
+
+LIMIT = "decimal(19,4)"
+
+
+def _by_category(values: dict[str, Column]) -> Column:
+    if not values:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), F.upper("category"))
 
 
 def first_keyword(keywords) -> Column:
-    """The first listed keyword contained in the category, NULL if none is."""
-    category = F.when(~blank(F.col("category")), F.upper("category"))
-    return F.coalesce(*[F.when(category.contains(word.upper()), F.lit(word)) for word in keywords],
-                      F.lit(None).cast("string"))
+    """The first listed keyword contained in ``_category``, NULL if none is."""
+    found = F.lit(None).cast("string")
+    for word in reversed(keywords):
+        found = F.when(F.col("_category").contains(word.upper()), F.lit(word)).otherwise(found)
+    return found
 
 
 def off_hours(cfg: RuleConfig) -> Column:
@@ -76,8 +76,8 @@ def off_hours(cfg: RuleConfig) -> Column:
 
 
 def velocity_severity(cfg: RuleConfig) -> Column:
-    risky = first_keyword(cfg.high_risk_keywords).isNotNull()
-    return F.when(F.col("velocity_count") >= cfg.velocity_max, F.when(risky, "CRITICAL").otherwise("HIGH"))
+    return F.when(F.col("velocity_count") >= cfg.velocity_max,
+                  F.when(F.col("_high_keyword").isNotNull(), "CRITICAL").otherwise("HIGH"))
 
 
 def hourly_total() -> Column:
@@ -121,7 +121,7 @@ RULES: tuple[Rule, ...] = (
          lambda c: F.format_string(
              "Customer %s made %d transactions in %d minutes (max: %d)%s", "customer_id",
              F.col("velocity_count") + 1, F.lit(c.velocity_minutes), F.lit(c.velocity_max),
-             F.when(velocity_severity(c) == "CRITICAL",
+             F.when(F.col("_high_keyword").isNotNull(),
                     " — escalated to CRITICAL due to high-risk merchant category").otherwise("")),
          lambda c: {"windowMinutes": c.velocity_minutes, "maxTransactions": c.velocity_max}),
     Rule("DUPLICATE_TRANSACTION", 3,
@@ -151,13 +151,12 @@ RULES: tuple[Rule, ...] = (
              utc_hour(F.col("us")), F.lit(c.off_hours_start), F.lit(c.off_hours_end)),
          lambda c: {"offHoursStartHour": c.off_hours_start, "offHoursEndHour": c.off_hours_end}),
     Rule("HIGH_RISK_MERCHANT_CATEGORY", 8,
-         lambda c: F.when(first_keyword(c.high_risk_keywords).isNotNull(), "HIGH")
-         .when(first_keyword(c.medium_risk_keywords).isNotNull(), "MEDIUM"),
-         lambda c: F.when(first_keyword(c.high_risk_keywords).isNotNull(), F.format_string(
-             "Transaction category '%s' matches high-risk keyword '%s'", "category",
-             first_keyword(c.high_risk_keywords))).otherwise(F.format_string(
-                 "Transaction category '%s' matches elevated-risk keyword '%s'", "category",
-                 first_keyword(c.medium_risk_keywords))),
+         lambda c: F.when(F.col("_high_keyword").isNotNull(), "HIGH")
+         .when(F.col("_medium_keyword").isNotNull(), "MEDIUM"),
+         lambda c: F.when(F.col("_high_keyword").isNotNull(), F.format_string(
+             "Transaction category '%s' matches high-risk keyword '%s'", "category", "_high_keyword"))
+         .otherwise(F.format_string(
+             "Transaction category '%s' matches elevated-risk keyword '%s'", "category", "_medium_keyword")),
          lambda c: {"highRiskKeywords": list(c.high_risk_keywords),
                     "mediumRiskKeywords": list(c.medium_risk_keywords)}),
     Rule("DEVICE_FINGERPRINT", 9,
@@ -221,29 +220,53 @@ def active_rules(cfg: RuleConfig, rules: tuple[Rule, ...] = RULES) -> list[Rule]
     return sorted((r for r in rules if r.name not in cfg.disabled), key=lambda r: r.priority)
 
 
+NO_VIOLATIONS = "cast(array() as array<struct<rule_name:string,rule_version:string,description:string,severity:string>>)"
+
+
+def with_severities(context: DataFrame, cfg: RuleConfig, active: list[Rule]) -> DataFrame:
+    """One ``_sev_<priority>`` column per rule, shared by the violations and the score."""
+    for rule in active:
+        if rule.prepare:
+            context = rule.prepare(context)
+    context = context.withColumn("_category", F.upper("category")).withColumns({
+        "_high_keyword": first_keyword(cfg.high_risk_keywords),
+        "_medium_keyword": first_keyword(cfg.medium_risk_keywords)})
+    return context.withColumns({severity_column(rule): rule.severity(cfg) for rule in active})
+
+
+def severity_column(rule: Rule) -> str:
+    return f"_sev_{rule.priority}"
+
+
 def evaluate_rules(context: DataFrame, cfg: RuleConfig | None = None,
-                   rules: tuple[Rule, ...] = RULES) -> DataFrame:
+                   rules: tuple[Rule, ...] = RULES, keep_severities: bool = False) -> DataFrame:
     """Adds ``violations`` (by priority) and ``rule_errors``. Every enabled rule is evaluated."""
     cfg = cfg or RuleConfig()
     active = active_rules(cfg, rules)
+    rated = with_severities(context, cfg, active)
+    none = F.expr(NO_VIOLATIONS)
+    # Joining empty and one-element lists stays in generated code; filtering NULLs out of an array would not.
+    found = F.concat(none, *[
+        F.when(F.col(severity_column(rule)).isNotNull(), F.array(F.struct(
+            F.lit(rule.name).alias("rule_name"), F.lit(rule.version).alias("rule_version"),
+            rule.describe(cfg).alias("description"), F.col(severity_column(rule)).alias("severity"))))
+        .otherwise(none) for rule in active])
+    errors = F.expr("cast(array() as array<string>)")
     for rule in active:
-        if rule.prepare:
-            context = rule.prepare(context)
-    errors = [F.when(F.col(r.error_column).isNotNull(), F.lit(r.name)) for r in active if r.error_column]
-    found = F.array_compact(F.array(*[rule.violation(cfg) for rule in active])) if active else \
-        F.array().cast("array<struct<rule_name:string,rule_version:string,description:string,severity:string>>")
-    return context.withColumns({
-        "violations": found,
-        "rule_errors": F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>"),
-    })
+        if rule.error_column:
+            errors = F.concat(errors, F.when(F.col(rule.error_column).isNotNull(), F.array(F.lit(rule.name)))
+                              .otherwise(F.expr("cast(array() as array<string>)")))
+    severities = [severity_column(rule) for rule in active] if keep_severities else []
+    return rated.select(*context.columns, *severities, found.alias("violations"), errors.alias("rule_errors"))
 
 
-def rule_result(context: DataFrame, name: str, cfg: RuleConfig | None = None) -> DataFrame:
+def rule_result(context: DataFrame, name: str, cfg: RuleConfig | None = None,
+                rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The transactions one rule fires on, with its severity and description."""
-    rule = rule_named(name)
-    cfg = cfg or RuleConfig()
-    return (context.withColumn("severity", rule.severity(cfg)).where(F.col("severity").isNotNull())
-            .withColumn("description", rule.describe(cfg)))
+    rule, cfg = rule_named(name, rules), cfg or RuleConfig()
+    rated = with_severities(context, cfg, [rule]).where(F.col(severity_column(rule)).isNotNull())
+    return rated.select(*context.columns, F.col(severity_column(rule)).alias("severity"),
+                        rule.describe(cfg).alias("description"))
 
 
 def python_rule(name: str, priority: int, columns: list[str],

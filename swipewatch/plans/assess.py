@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from swipewatch.config import RuleConfig, ScoringConfig, SkewConfig
 from swipewatch.operators.context import EXACT, build_context
-from swipewatch.operators.rules import RULES, evaluate_rules
-from swipewatch.operators.scoring import score
+from swipewatch.operators.rules import RULES, active_rules, evaluate_rules, severity_column
+from swipewatch.operators.scoring import probability_from_severities, score
 from swipewatch.schemas import UNRESOLVED
 
 ASSESSMENT_FIELDS = (
@@ -18,13 +18,18 @@ ASSESSMENT_FIELDS = (
 )
 
 
-def conclude(evaluated: DataFrame, scoring: ScoringConfig | None = None, assessed_at: Column | None = None) -> DataFrame:
-    """Scores evaluated rows and shapes them as assessments."""
-    return score(evaluated, scoring).withColumns({
-        "assessment_id": F.col("transaction_id"),
-        "outcome": F.lit(UNRESOLVED),
+def conclude(context: DataFrame, rule_cfg: RuleConfig | None = None, scoring_cfg: ScoringConfig | None = None,
+             rules=RULES, assessed_at: Column | None = None) -> DataFrame:
+    """Rules, score and verdict for rows that carry their context."""
+    rule_cfg, scoring_cfg = rule_cfg or RuleConfig(), scoring_cfg or ScoringConfig()
+    evaluated = evaluate_rules(context, rule_cfg, rules, keep_severities=True)
+    severities = {rule.name: F.col(severity_column(rule)) for rule in active_rules(rule_cfg, rules)}
+    scored = score(evaluated, scoring_cfg, probability_from_severities(severities, scoring_cfg))
+    own = {
+        "assessment_id": F.col("transaction_id"), "outcome": F.lit(UNRESOLVED),
         "assessed_at": F.col("timestamp") if assessed_at is None else assessed_at,
-    }).select(*ASSESSMENT_FIELDS)
+    }
+    return scored.select(*[own[name].alias(name) if name in own else name for name in ASSESSMENT_FIELDS])
 
 
 def assess(txns: DataFrame, merchants: DataFrame, rule_cfg: RuleConfig | None = None,
@@ -36,4 +41,4 @@ def assess(txns: DataFrame, merchants: DataFrame, rule_cfg: RuleConfig | None =
     results repeatable.
     """
     context = build_context(txns, merchants, rule_cfg, mode, skew)
-    return conclude(evaluate_rules(context, rule_cfg, rules), scoring_cfg, assessed_at)
+    return conclude(context, rule_cfg, scoring_cfg, rules, assessed_at)

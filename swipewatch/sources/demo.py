@@ -31,7 +31,9 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merchants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MERCHANTS), schemas.MERCHANT_LOCATION)
+    """A literal relation, so Spark knows its size when it plans the join."""
+    rows = ", ".join(f"('{m}', {lat}D, {lon}D, '{city}', '{country}')" for m, lat, lon, city, country in MERCHANTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(merchant_id, latitude, longitude, city, country)")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
