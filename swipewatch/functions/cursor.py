@@ -16,8 +16,8 @@ _INSTANT = re.compile(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?)(?:\.(\d{1,9})
 
 
 def encode_cursor(us: Column, row_id: Column) -> Column:
-    text = F.base64(F.concat(iso_instant(us), F.lit("|"), row_id).cast("binary"))
-    return F.rtrim(F.translate(text, "+/=", "-_ "))
+    # base64() breaks long text into lines; translate drops the breaks and the padding.
+    return F.translate(F.base64(F.concat(iso_instant(us), F.lit("|"), row_id).cast("binary")), "+/=\r\n", "-_")
 
 
 def decode_cursor(cursor: str) -> tuple[datetime, str]:
@@ -34,3 +34,12 @@ def decode_cursor(cursor: str) -> tuple[datetime, str]:
         return moment, str(uuid.UUID(row_id))
     except Exception as problem:
         raise ValueError(f"Invalid or malformed cursor: {cursor}") from problem
+
+
+def cursor_text(moment: datetime, row_id: str) -> str:
+    """One cursor on the driver, the counterpart of :func:`decode_cursor`."""
+    moment = moment.astimezone(timezone.utc)
+    digits = f"{moment.microsecond:06d}"
+    fraction = "" if digits == "000000" else "." + (digits[:3] if digits.endswith("000") else digits)
+    text = f"{moment:%Y-%m-%dT%H:%M:%S}{fraction}Z|{row_id}"
+    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")

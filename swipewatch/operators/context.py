@@ -208,7 +208,7 @@ def features_from_recent(rows: DataFrame, cfg: RuleConfig, ordered_before: bool
     same = "x.amount = amount AND x.currency = currency"
     duplicate_span = (f"CASE WHEN transaction_type <=> '{CARD_NOT_PRESENT}' THEN {cfg.duplicate_remote_seconds * SECOND}"
                       f" ELSE {cfg.duplicate_physical_seconds * SECOND} END")
-    travel = too_fast_sql("effective_latitude", "effective_longitude", "x.latitude", "x.longitude", "us - x.us",
+    travel = too_fast_sql("effective_latitude", "effective_longitude", "x.latitude", "x.longitude", "abs(us - x.us)",
                           cfg.geographic_max_kmh)
     kept = [c for c in rows.columns if c != "recent"]
     return rows.selectExpr(*kept, f"filter(recent, x -> {before}) AS recent").selectExpr(
@@ -218,7 +218,7 @@ def features_from_recent(rows: DataFrame, cfg: RuleConfig, ordered_before: bool
             x -> x.device IS NOT NULL AND x.us > us - {cfg.device_minutes * MINUTE}), x -> x.device)) AS _devices""",
         f"""CASE WHEN effective_latitude IS NOT NULL AND effective_longitude IS NOT NULL THEN
             array_max(transform(filter(recent,
-                x -> x.us <= us - {MINUTE} AND x.us > us - {cfg.geographic_minutes * MINUTE}
+                x -> abs(us - x.us) >= {MINUTE} AND x.us > us - {cfg.geographic_minutes * MINUTE}
                      AND x.latitude IS NOT NULL AND x.longitude IS NOT NULL AND {travel}),
                 x -> struct(x.us, x.transaction_id, x.latitude, x.longitude))) END AS _conflict""",
     ).selectExpr(
@@ -232,6 +232,22 @@ def features_from_recent(rows: DataFrame, cfg: RuleConfig, ordered_before: bool
         "_conflict.latitude AS conflict_latitude", "_conflict.longitude AS conflict_longitude")
 
 
+def recent_transactions(rows: DataFrame, transaction_id: str, cfg: RuleConfig) -> DataFrame:
+    """Rows of the same customer inside the lookback before one transaction, newest first.
+
+    The single transaction found by id is the only thing broadcast.
+    """
+    this = rows.where(F.col("transaction_id") == transaction_id).limit(1).select(
+        "customer_id", F.col("us").alias("_now"), F.col("transaction_id").alias("_id"))
+    return (
+        rows.join(F.broadcast(this), "customer_id")
+        .where((F.col("us") > F.col("_now") - cfg.lookback_minutes * MINUTE)
+               & ((F.col("us") < F.col("_now"))
+                  | ((F.col("us") == F.col("_now")) & (F.col("transaction_id") < F.col("_id")))))
+        .drop("_now", "_id").orderBy(F.col("us").desc(), F.col("transaction_id").desc())
+    )
+
+
 # --- the whole context ------------------------------------------------------------------------
 
 def build_context(txns: DataFrame, merchants: DataFrame, cfg: RuleConfig | None = None,
