@@ -182,7 +182,7 @@ def write_daily_partitions(spark, d):
         path = tables.join_path(tables.shared_folder(spark), key[0], d.strip("/").replace("/", "_"), "daily")
         tables.write_daily_partitions(txns, path)
         _stored[key] = path
-    return (spark.read.schema(txns.schema.add("event_date", "date")).parquet(_stored[key])
+    return (spark.read.parquet(_stored[key])
             .groupBy(F.col("event_date").cast("string").alias("event_date"))
             .agg(F.count(F.lit(1)).alias("n"), number(F.sum("amount"), "total")))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from datetime import date, timedelta
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swipewatch import schemas
 from swipewatch.schemas import CLEARED, FLAGGED, PENDING_REVIEW
@@ -26,13 +28,17 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Only a local session may do without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="swipewatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"swipewatch-{application}-")
 
 
 def join_path(folder: str, *parts: str) -> str:
@@ -44,8 +50,10 @@ def join_path(folder: str, *parts: str) -> str:
 def scan_transactions(spark: SparkSession, path: str, from_date: date | None = None,
                       to_date: date | None = None) -> DataFrame:
     """Transactions with the declared schema; dates prune the daily partitions of a partitioned table."""
-    frame = spark.read.schema(schemas.TRANSACTION).parquet(path) if from_date is None and to_date is None else \
-        spark.read.schema(schemas.TRANSACTION.add("event_date", "date")).parquet(path)
+    declared = schemas.TRANSACTION
+    if from_date is not None or to_date is not None:
+        declared = T.StructType([*declared.fields, T.StructField("event_date", T.DateType())])
+    frame = spark.read.schema(declared).parquet(path)
     if from_date is not None:
         frame = frame.where(F.col("event_date") >= F.lit(from_date))
     if to_date is not None:
@@ -72,8 +80,7 @@ def stream_topic(spark: SparkSession, servers: str, topic: str, **options: str)
               .option("startingOffsets", "earliest").option("kafka.isolation.level", "read_committed"))
     for name, value in options.items():
         reader = reader.option(name, value)
-    wire = schemas.RAW_EVENT.jsonValue()
-    payload = [f["name"] for f in wire["fields"] if f["name"] != "ingest_ts"]
+    payload = [name for name in schemas.RAW_EVENT.fieldNames() if name != "ingest_ts"]
     parsed = F.from_json(F.col("value").cast("string"), schemas.RAW_EVENT, {"mode": "PERMISSIVE"})
     return reader.load().select(parsed.alias("e"), F.col("timestamp").alias("ingest_ts")).select(
         *[f"e.{name}" for name in payload], "ingest_ts")
