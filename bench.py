@@ -41,7 +41,7 @@ def main() -> None:
     rows = spark.read.parquet(f"{folder}/events.parquet").count()
     times = {}
     for name in HEADLINE:
-        QUERIES[name](spark, folder).limit(1).count()  # compile, and store the assessments once
+        run(QUERIES[name](spark, folder))  # compile, and store the assessments once
         start = time.perf_counter()
         run(QUERIES[name](spark, folder))
         times[name] = round(time.perf_counter() - start, 3)

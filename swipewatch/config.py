@@ -124,7 +124,7 @@ class SkewConfig:
     ``max_hot`` rows, which is what makes broadcasting it safe.
     """
 
-    hot_rows: int = 10_000
+    hot_rows: int = 5_000
     max_hot: int = 20_000
     block_rows: int = 1_000_000
 
