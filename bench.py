@@ -36,6 +36,7 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     rows = spark.read.parquet(f"{folder}/events.parquet").count()

@@ -38,7 +38,7 @@ def blank(text: Column) -> Column:
 
 
 def is_physical(transaction_type: Column) -> Column:
-    return F.coalesce(transaction_type.isin(*PHYSICAL_TYPES), F.lit(False))
+    return transaction_type.isNotNull() & transaction_type.isin(*PHYSICAL_TYPES)
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -64,15 +64,19 @@ def _by_category(values: dict[str, Column]) -> Column:
 
 def first_keyword(keywords) -> Column:
     """The first listed keyword contained in ``_category``, NULL if none is."""
-    found = F.lit(None).cast("string")
-    for word in reversed(keywords):
-        found = F.when(F.col("_category").contains(word.upper()), F.lit(word)).otherwise(found)
-    return found
+    if not keywords:
+        return F.lit(None).cast("string")
+    cases = " ".join(f"WHEN contains(_category, {_quoted(word.upper())}) THEN {_quoted(word)}" for word in keywords)
+    return F.expr(f"CASE {cases} END")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def off_hours(cfg: RuleConfig) -> Column:
-    hour, start, end = utc_hour(F.col("us")), cfg.off_hours_start, cfg.off_hours_end
-    return (hour >= start) | (hour < end) if start > end else (hour >= start) & (hour < end)
+    start, end = cfg.off_hours_start, cfg.off_hours_end
+    return F.expr(f"_hour >= {start} {'OR' if start > end else 'AND'} _hour < {end}")
 
 
 def velocity_severity(cfg: RuleConfig) -> Column:
@@ -148,7 +152,7 @@ RULES: tuple[Rule, ...] = (
          lambda c: fires(off_hours(c), "MEDIUM"),
          lambda c: F.format_string(
              "Transaction at %02d:00 UTC falls within off-hours window (%02d:00–%02d:00 UTC)",
-             utc_hour(F.col("us")), F.lit(c.off_hours_start), F.lit(c.off_hours_end)),
+             "_hour", F.lit(c.off_hours_start), F.lit(c.off_hours_end)),
          lambda c: {"offHoursStartHour": c.off_hours_start, "offHoursEndHour": c.off_hours_end}),
     Rule("HIGH_RISK_MERCHANT_CATEGORY", 8,
          lambda c: F.when(F.col("_high_keyword").isNotNull(), "HIGH")
@@ -228,7 +232,7 @@ def with_severities(context: DataFrame, cfg: RuleConfig, active: list[Rule]) ->
     for rule in active:
         if rule.prepare:
             context = rule.prepare(context)
-    context = context.withColumn("_category", F.upper("category")).withColumns({
+    context = context.withColumns({"_category": F.upper("category"), "_hour": utc_hour(F.col("us"))}).withColumns({
         "_high_keyword": first_keyword(cfg.high_risk_keywords),
         "_medium_keyword": first_keyword(cfg.medium_risk_keywords)})
     return context.withColumns({severity_column(rule): rule.severity(cfg) for rule in active})

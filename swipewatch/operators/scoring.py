@@ -32,16 +32,15 @@ def fraud_probability(violations: Column, cfg: ScoringConfig) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
 
 
-def probability_from_severities(severities: dict[str, Column], cfg: ScoringConfig) -> Column:
-    """The same probability from one severity column per rule, without walking a list per row."""
-    log_odds = F.lit(math.log(cfg.prior / (1.0 - cfg.prior)))
-    for rule_name, severity in severities.items():
-        evidence = F.lit(0.0)
-        for level, default in cfg.severity_ratios.items():
-            ratio = cfg.likelihood_ratios.get(f"{rule_name}:{level}", default)
-            evidence = F.when(severity == level, F.lit(math.log(ratio))).otherwise(evidence)
-        log_odds = log_odds + evidence
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
+def probability_from_severities(severities: dict[str, str], cfg: ScoringConfig) -> Column:
+    """The same probability from the names of one severity column per rule, without walking a list per row."""
+    terms = [repr(math.log(cfg.prior / (1.0 - cfg.prior))) + "D"]
+    for rule_name, column in severities.items():
+        levels = " ".join(
+            f"WHEN '{level}' THEN {math.log(cfg.likelihood_ratios.get(f'{rule_name}:{level}', default))!r}D"
+            for level, default in cfg.severity_ratios.items())
+        terms.append(f"CASE {column} {levels} ELSE 0.0D END")
+    return F.expr(f"1.0D / (1.0D + exp(-({' + '.join(terms)})))")
 
 
 def risk_score(probability: Column) -> Column:

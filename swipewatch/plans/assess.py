@@ -23,7 +23,7 @@ def conclude(context: DataFrame, rule_cfg: RuleConfig | None = None, scoring_cfg
     """Rules, score and verdict for rows that carry their context."""
     rule_cfg, scoring_cfg = rule_cfg or RuleConfig(), scoring_cfg or ScoringConfig()
     evaluated = evaluate_rules(context, rule_cfg, rules, keep_severities=True)
-    severities = {rule.name: F.col(severity_column(rule)) for rule in active_rules(rule_cfg, rules)}
+    severities = {rule.name: severity_column(rule) for rule in active_rules(rule_cfg, rules)}
     scored = score(evaluated, scoring_cfg, probability_from_severities(severities, scoring_cfg))
     own = {
         "assessment_id": F.col("transaction_id"), "outcome": F.lit(UNRESOLVED),

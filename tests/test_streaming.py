@@ -13,6 +13,15 @@ from swipewatch.streaming.run import as_raw_events, start_quarantine, start_scor
 from test_replay import history
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition of the state starts its own Python worker per micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def feed(spark, folder, rows, **options):
     """Delivers rows and runs the stream until it has taken them."""
     as_raw_events(frame(spark, rows)).write.mode("append").parquet(f"{folder}/inbox")
