@@ -181,7 +181,7 @@ def pattern_coverage(assessments: DataFrame, cfg=None) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("fired"), (F.coalesce("n", F.lit(0)) > 0).alias("covered"))
 
 
-def pipeline_metrics(rejected: DataFrame, repeats: DataFrame, assessments: DataFrame) -> DataFrame:
+def operational_metrics(rejected: DataFrame, repeats: DataFrame, assessments: DataFrame) -> DataFrame:
     """Operational counters of a run as (metric, tag, value) rows."""
     def single(frame, metric, value):
         return frame.agg(F.coalesce(value, F.lit(0)).cast("long").alias("value")).select(

@@ -437,11 +437,11 @@ def disposition_counts(spark, d):
     return reports.disposition_counts(assessments(spark, d))
 
 
-def pipeline_metrics(spark, d):
+def operational_metrics(spark, d):
     valid, rejected = _valid_and_rejected(spark, d)
     new, repeats = ingest.dedupe(valid)
     accepted = assessments(spark, d).join(new.select("transaction_id"), "transaction_id", "left_semi")
-    return reports.pipeline_metrics(rejected, repeats, accepted)
+    return reports.operational_metrics(rejected, repeats, accepted)
 
 
 def detection_metrics(spark, d):
@@ -614,7 +614,7 @@ QUERIES = {
     "merchant_first_last": _first_last("merchant_id"),
     "merchant_unique_customers": merchant_unique_customers,
     "disposition_counts": disposition_counts,
-    "pipeline_metrics": pipeline_metrics,
+    "operational_metrics": operational_metrics,
     "detection_metrics": detection_metrics,
     "pattern_coverage": pattern_coverage,
     "feed_customer_history": feed_customer_history,

@@ -450,7 +450,7 @@ EXPECTED = {
     "merchant_unique_customers": with_tx(
         "SELECT merchant_id, count(DISTINCT customer_id) AS unique_customers FROM tx GROUP BY merchant_id"),
     "disposition_counts": with_verdicts("SELECT disposition, count(*) AS n FROM a GROUP BY disposition"),
-    "pipeline_metrics": with_verdicts("""
+    "operational_metrics": with_verdicts("""
         SELECT 'assessments' AS metric, disposition AS tag, count(*) AS value FROM a JOIN firsts USING (transaction_id)
           GROUP BY disposition
         UNION ALL SELECT 'dead_letters', '', count(*) FROM checked WHERE n_errors > 0

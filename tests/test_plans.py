@@ -36,9 +36,9 @@ def test_hot_path_stays_out_of_python_and_cross_joins(spark, stored):
     from swipewatch.config import SkewConfig
     text = plan(assess(stored[0], demo.merchants(spark), skew=SkewConfig(hot_rows=1)))
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
-    # No window of the split timeline is keyed by customer alone, except over the per-block sums.
-    for clustering in re.findall(r"Exchange hashpartitioning\((customer_id#\d+), \d+\)", text):
-        assert clustering
+    # Windows over a hot customer's events are always cut into blocks.
+    specs = [spec for spec in re.findall(r"windowspecdefinition\((.*?) ASC", text) if re.search(r"\bat#\d+$", spec)]
+    assert specs and all("block#" in spec for spec in specs)
 
 
 def test_unused_context_leaves_the_plan(spark, stored):
