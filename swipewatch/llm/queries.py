@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import simhash, text
+from swipewatch.llm import quality, secrets, simhash, text
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = text.table(spark, sf_dir, "documents"), text.table(spark, sf_dir, "labels")
+    judged = quality.judge(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return judged.select("row.doc_id", *[f"quality.{name}" for name in (*quality.BASE, "base_failed", "kept")])
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text.table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.fit(*secrets.labelled(docs)))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s.kind != "format")
+    return found.select(text.shown_id(), *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +31,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op8_secret_scans": op8_secret_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 SQL: dict[str, str] = {}
