@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import quality, secrets, simhash, text
+from swipewatch.llm import quality, secrets, simhash, superkmers, text
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superkmers.drop_repeats(text.table(spark, sf_dir, "documents"), width=20)
+    return found.select(text.shown_id(), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +36,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_secret_scans": op8_secret_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
