@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import quality, secrets, simhash, superkmers, text
+from swipewatch.llm import packing, quality, secrets, simhash, superkmers, text
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"quality.{name}" for name in (*quality.BASE, "base_failed", "kept")])
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(text.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, end_id=2)
+    return placed.select(text.shown_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text.table(spark, sf_dir, "documents")
     found = secrets.scan_secrets(docs, secrets.fit(*secrets.labelled(docs)))
@@ -38,6 +44,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
