@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import packing, quality, secrets, simhash, superkmers, text
+from swipewatch.llm import decontaminate, lines, packing, quality, secrets, simhash, superkmers, text
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,38 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"quality.{name}" for name in (*quality.BASE, "base_failed", "kept")])
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(text.table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=3)
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+     every AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM split),
+     numbered AS (SELECT doc_id, place, trim(line, {_SPACES}) AS line,
+                         row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
+                  FROM every WHERE trim(line, {_SPACES}) <> ''),
+     windows AS (SELECT a.doc_id, a.i, a.line || chr(10) || b.line || chr(10) || c.line AS lines
+                 FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+                 JOIN numbered c ON a.doc_id = c.doc_id AND c.i = a.i + 2),
+     ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY lines ORDER BY doc_id, i) AS nth FROM windows),
+     gone AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM ranked WHERE nth > 1),
+     dropped AS (SELECT n.doc_id, n.place FROM numbered n SEMI JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i),
+     kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.place) AS body
+              FROM every e ANTI JOIN dropped d ON e.doc_id = d.doc_id AND e.place = d.place GROUP BY e.doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM numbered n WHERE n.doc_id = d.doc_id) AS n_lines,
+       (SELECT count(*) FROM dropped x WHERE x.doc_id = d.doc_id) AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(text.table(spark, sf_dir, "documents"), text.table(spark, sf_dir, "benchmark"))
+    return found.select(text.shown_id(), "item_id", "distance", "budget")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(text.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, end_id=2)
     return placed.select(text.shown_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -44,8 +76,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL = {"op5_line_dedup": LINES_SQL}
