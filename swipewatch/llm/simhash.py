@@ -205,7 +205,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 4
     """The rows of ``docs`` with one document kept of each group: that with the least id (ties: the least text hash,
     then one of the equal rows). Columns as they came; rows with a null id count as the least id."""
     groups = simhash_groups(docs, shingle, radius, blocks)
-    chosen = groups.groupBy("component_id").agg(F.min(F.struct("doc", "tie")).alias("best")).select("best.*").distinct()
+    rows = groups.groupBy("component_id", "doc", "tie").agg(F.count(F.lit(1)).alias("n"))
+    chosen = rows.groupBy("component_id").agg(F.min(F.struct("doc", "tie", "n")).alias("best"))
+    chosen = text.stored(chosen.select(F.col("best.doc").alias("__doc"), F.col("best.tie").alias("__tie"), "best.n"), "kept-documents")
     marked = docs.withColumn("__doc", text.doc_id()).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = marked.join(chosen, (F.col("__doc") == chosen.doc) & (F.col("__tie") == chosen.tie), "left_semi")
-    return kept.dropDuplicates(["__doc", "__tie"]).drop("__doc", "__tie")
+    pick = lambda which: marked.join(chosen.where(which), ["__doc", "__tie"], "left_semi")
+    # only where the chosen row itself is repeated do rows have to be compared
+    return pick("n = 1").unionAll(pick("n > 1").dropDuplicates(["__doc", "__tie"])).drop("__doc", "__tie")
