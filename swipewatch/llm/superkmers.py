@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from swipewatch.llm import text
 
-_CHUNK = 16 << 20       # bytes of text settled together in a task
-_BUCKET = 24 << 20      # bytes of packed strings in a bucket
+_CHUNK = 6 << 20       # bytes of text settled together in a task
+_BUCKET = 10 << 20      # bytes of packed strings in a bucket
 _HEAVY = 2_000          # a gram with more than one of so many of all grams ranks last
 _LAST = np.uint64(1 << 63)
 _RUN = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])

@@ -150,7 +150,7 @@ _UNPOWER = [_powers(_INVERSE, 1 << 12)]
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWER[0]) < n:
-        _POWER[0], _UNPOWER[0] = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
+        _POWER[0], _UNPOWER[0] = _powers(_BASE, n), _powers(_INVERSE, n)
     return _POWER[0], _UNPOWER[0]
 
 
@@ -173,8 +173,15 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * unpower[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(body: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(np.frombuffer(body, np.uint8), starts, ends)
+def word_hashes(body: bytes, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """The hash of every word. Long texts are taken in blocks, so that the sums of few bytes are held at a time."""
+    values, out, at = np.frombuffer(body, np.uint8), [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        first = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, first + block, "right")))
+        out.append(span_hashes(values[first:int(ends[stop - 1])], starts[at:stop] - first, ends[at:stop] - first))
+        at = stop
+    return np.concatenate(out)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
