@@ -155,7 +155,9 @@ def ranked(cut: DataFrame) -> DataFrame:
 
 def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """``cut`` with ``sequence_id`` and ``offset``. Lengths lie between 1 and ``capacity``; sequences are gapless."""
+    cut = text.stored(cut, "pieces")  # range sorting reads its input twice; the texts are tokenised once
     table = text.stored(ranked(cut), "ranked-pieces")
+    text.discard(cut)
     # one row for each range and length: ranges are sorted by length, so at most ranges + capacity rows
     sizes = sorted((r.length, r.part, r.n) for r in table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect())
     counts: dict[int, int] = {}
