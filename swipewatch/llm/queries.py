@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import decontaminate, lines, packing, quality, secrets, simhash, superkmers, text
+from swipewatch.llm import chat, decontaminate, lines, packing, quality, secrets, simhash, superkmers, text, warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.page_records(text.table(spark, sf_dir, "pages"), least_revisit=100)
+    archives = text.stored(warc.write_archives(records, text.new_path(spark, "warc")), "archives")
+    return warc.pages_of(warc.read_archives(archives.repartition("path")))
+
+
+WARC_SQL = """
+WITH payloads AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = text.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+                     "FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.digests(chat.format_conversations(turns.unionByName(more), path), path)
+
+
+_CONTROL = "|".join(re.escape(c[0]).replace("<", "[<]") + "\\\\*" + re.escape(c[1:]) for c in chat.CONTROL)
+_ESCAPES = f"CAST(len(regexp_extract_all(text, '{_CONTROL}')) AS BIGINT)"
+CHAT_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({sum(map(len, chat.MARKS))} + length(role) + length(text) + {_ESCAPES}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +114,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
@@ -82,4 +124,4 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-SQL = {"op5_line_dedup": LINES_SQL}
+SQL = {"op1_warc": WARC_SQL, "op2_chat_formatting": CHAT_SQL, "op5_line_dedup": LINES_SQL}
