@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import chat, decontaminate, lines, packing, quality, secrets, simhash, superkmers, text, warc
+from swipewatch.llm import chat, decontaminate, lines, packing, quality, secrets, simhash, suffixes, superkmers, text, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeats(text.table(spark, sf_dir, "documents"), width=100)
+    return found.select(text.shown_id(), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(text.table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return groups.select(text.shown_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -122,6 +127,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 SQL = {"op1_warc": WARC_SQL, "op2_chat_formatting": CHAT_SQL, "op5_line_dedup": LINES_SQL}

@@ -10,6 +10,8 @@ spot and does not travel, so a passage copied without bound costs a bucket one s
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -25,21 +27,39 @@ _LAST = np.uint64(1 << 63)
 _RUN = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
-def grams(body: bytes, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word ends and the hashes of all grams, below 2**63."""
-    starts, ends = text.word_spans(body)
-    words = text.word_hashes(body, starts, ends)
-    n = len(words) - gram + 1
-    if n <= 0:
-        return starts, ends, np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return starts, ends, text.span_hashes(words, at, at + gram) >> np.uint64(1)
+class Words:
+    """Windows of ``width`` words; a minimiser is a gram of ``gram`` words."""
+
+    def __init__(self, width: int, gram: int):
+        self.width, self.gram = width, min(gram, width)
+
+    def hashes(self, body: bytes) -> np.ndarray:
+        """Hashes of all grams, below 2**63."""
+        return text.gram_hashes(text.word_hashes(body, *text.word_spans(body)), self.gram) >> np.uint64(1)
+
+    def layout(self, body: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The form in which windows travel, and where each unit starts and ends in it."""
+        starts, ends = text.word_spans(body)
+        lengths = ends - starts
+        ends = np.cumsum(lengths + 1) - 1
+        return b" ".join(body.split()), ends - lengths, ends
+
+    def may_repeat(self, key: bytes, n: int) -> bool:
+        """False only if no two of a string's ``n`` windows can be equal. All windows hold the gram in the middle, so an
+        equal window further on repeats that gram."""
+        if n > self.width - self.gram + 1:
+            return True
+        words = key.split(b" ")
+        return key.find(b" ".join(words[n - 1:n - 1 + self.gram]), len(b" ".join(words[:n])) + 1) >= 0
+
+    def settle(self, places: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
+        return _settle(places, sizes, body, self.width)
 
 
-def heavy_grams(docs: DataFrame, gram: int, share: int = _HEAVY) -> tuple[np.ndarray, int]:
-    """Hashes of the grams that make up more than one in ``share`` of all grams, at most ``share`` of them, and the
-    bytes of text. Each task counts chunk by chunk and reports what is heavy in a chunk; a gram that is heavy overall
-    is so in some chunk. This steers balance only, never the result."""
+def heavy_grams(docs: DataFrame, windows, share: int = _HEAVY) -> tuple[np.ndarray, int]:
+    """Hashes of the likely minimisers (grams in the lowest sixteenth) that make up more than one in ``share`` of all
+    such grams, at most ``share`` of them, and the bytes of text. Each task counts chunk by chunk and reports what is
+    heavy in a chunk; a gram that is heavy overall is so in some chunk. This steers balance only, never the result."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -51,11 +71,12 @@ def heavy_grams(docs: DataFrame, gram: int, share: int = _HEAVY) -> tuple[np.nda
             yield from text.in_batches(zip(values[chosen].astype(np.int64).tolist(), n[chosen].tolist()), schema)
 
         for (body,) in text.rows_of(batches):
-            found = grams(body, gram)[2]
+            found = windows.hashes(body)
+            found = found[found < _LAST >> np.uint64(4)]
             total, seen = total + len(body), seen + len(found)
             held.append(found)
             size += len(found)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 yield from report()
                 held, size = [], 0
         if size:
@@ -70,22 +91,18 @@ def heavy_grams(docs: DataFrame, gram: int, share: int = _HEAVY) -> tuple[np.nda
     return np.sort(np.array([r.gram for r in chosen], np.uint64)), size.get(-1, 0)
 
 
-def super_kmers(body: bytes, width: int, gram: int, heavy: np.ndarray):
-    """``(minimisers, first window, number of windows, joined words, word starts, word ends)`` of a text."""
-    starts, ends, hashes = grams(body, gram)
-    n = len(starts) - width + 1
+def super_kmers(body: bytes, windows, heavy: np.ndarray):
+    """``(minimisers, first window, number of windows, travelling form, unit starts, unit ends)`` of a text."""
+    hashes = windows.hashes(body)
+    n = len(hashes) + windows.gram - windows.width
     if n <= 0:
         return None
     if len(heavy):
         place = np.searchsorted(heavy, hashes).clip(max=len(heavy) - 1)
         hashes = np.where(heavy[place] == hashes, hashes | _LAST, hashes)
-    least = text.sliding_min(hashes, width - gram + 1)
+    least = text.sliding_min(hashes, windows.width - windows.gram + 1)
     cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    counts = np.diff(np.append(cut, n))
-    joined = b" ".join(body.split())
-    lengths = ends - starts
-    ends = np.cumsum(lengths + 1) - 1
-    return least[cut], cut, counts, joined, ends - lengths, ends
+    return (least[cut], cut, np.diff(np.append(cut, n)), *windows.layout(body))
 
 
 def merge_runs(runs: np.ndarray) -> np.ndarray:
@@ -103,16 +120,46 @@ def merge_runs(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(keys: list[bytes], places: list[tuple[int, int, int]]) -> bytes:
+def _pack(keys: list[bytes], places: list[tuple[int, int, int, int, int]]) -> bytes:
+    """Strings with ``(doc, tie, start, windows, minimiser)`` of each."""
     head = np.array([len(keys)], np.int64).tobytes()
     body = np.array(places, np.int64).tobytes() + np.fromiter(map(len, keys), np.int64, len(keys)).tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + body + b"".join(keys))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def _unpack(blob: bytes) -> tuple[list[tuple], list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return (np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3), np.frombuffer(raw, np.int64, n, 8 + 24 * n), raw[8 + 32 * n:])
+    ends = 8 + 48 * n + np.cumsum(np.frombuffer(raw, np.int64, n, 8 + 40 * n))
+    starts = np.concatenate([[8 + 48 * n], ends[:-1]]) if n else ends
+    places = list(map(tuple, np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5).tolist()))
+    return places, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _shared(blobs: list[bytes], windows) -> tuple[list[tuple], list[bytes], list[tuple]]:
+    """The strings of a bucket whose windows may be found in another one: one of each text, and only where a minimiser
+    has several or the string may repeat itself. Also the runs of the strings that repeat another one as a whole."""
+    counts: Counter = Counter()
+    for blob in blobs:
+        counts.update(p[4] for p in _unpack(blob)[0])
+    first: dict[bytes, tuple] = {}
+    settled = []
+    for blob in blobs:
+        for place, key in zip(*_unpack(blob)):
+            if counts[place[4]] == 1 and not windows.may_repeat(key, place[3]):
+                continue
+            other = first.get(key)
+            if other is None:
+                first[key] = place
+            elif place[:3] < other[:3]:
+                settled.append(other[:4])
+                first[key] = place
+            elif place[:3] != other[:3]:
+                settled.append(place[:4])
+    counts = Counter(p[4] for p in first.values())
+    # neighbours of one minimiser stay together: what a bucket holds twice is then near in the buffer
+    chosen = sorted(((p, k) for k, p in first.items() if counts[p[4]] > 1 or windows.may_repeat(k, p[3])), key=lambda x: x[0][4])
+    return [p for p, _ in chosen], [k for _, k in chosen], settled
 
 
 def _settle(places: np.ndarray, sizes: np.ndarray, body: bytes, width: int) -> np.ndarray:
@@ -166,62 +213,60 @@ def _settle(places: np.ndarray, sizes: np.ndarray, body: bytes, width: int) -> n
     return merge_runs(np.column_stack([doc, tie, position, np.ones(len(doc), np.int64)])[later])
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, gram: int = 5) -> DataFrame:
-    """``(doc, tie, start, n)``: runs of ``n`` windows from word ``start`` whose words also start earlier, in a smaller
-    document or earlier in the same one. Runs may touch or overlap."""
-    gram = min(gram, width)
-    heavy, size = heavy_grams(docs, gram)
+def repeated_windows(docs: DataFrame, windows) -> DataFrame:
+    """``(doc, tie, start, n)``: runs of ``n`` windows from unit ``start`` whose content also starts earlier, in a
+    smaller document or earlier in the same one. Runs may touch or overlap."""
+    heavy, size = heavy_grams(docs, windows)
     n_buckets = text.buckets_for(3 * size, _BUCKET)
     packed = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("runs", pa.binary())])
+    width = windows.width
 
     def split(batches):
         seen: dict[bytes, tuple] = {}
         settled, held = [], 0
 
         def flush():
-            minimisers = np.fromiter((v[1] for v in seen.values()), np.uint64, len(seen))
+            keys, places = list(seen), list(seen.values())
+            minimisers = np.fromiter((p[4] for p in places), np.int64, len(places)).view(np.uint64)
             bucket = (text.mix(minimisers) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((minimisers, bucket))
-            keys, values = list(seen), list(seen.values())
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.zeros(0, int)
-            rows = []
-            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(order)]):
                 chosen = order[s:e].tolist()
-                rows.append((int(bucket[order[s]]), _pack([keys[i] for i in chosen], [values[i][0] for i in chosen]), None))
+                yield int(bucket[order[s]]), _pack([keys[i] for i in chosen], [places[i] for i in chosen]), None
             if settled:
                 runs = merge_runs(np.array(settled, np.int64))
-                rows.append((int(runs[0, 0] % n_buckets), None, runs.tobytes()))
-            yield from text.in_batches(iter(rows), packed, 64)
+                yield int(runs[0, 0] % n_buckets), None, runs.tobytes()
 
         for doc, tie, body in text.rows_of(batches):
-            found = super_kmers(body, width, gram, heavy)
+            found = super_kmers(body, windows, heavy)
             if found is not None:
-                minimisers, first, counts, joined, starts, ends = found
-                cut_at = zip(starts[first].tolist(), ends[first + counts + width - 2].tolist())
-                for (a, b), least, start, n in zip(cut_at, minimisers.tolist(), first.tolist(), counts.tolist()):
-                    key, place = joined[a:b], (doc, tie, start)
+                minimisers, first, counts, form, starts, ends = found
+                cuts = zip(starts[first].tolist(), ends[first + counts + width - 2].tolist())
+                for (a, b), least, start, n in zip(cuts, minimisers.view(np.int64).tolist(), first.tolist(), counts.tolist()):
+                    key, place = form[a:b], (doc, tie, start, n, least)
                     other = seen.get(key)
                     if other is None:
-                        seen[key] = (place, least, n)
-                    elif place < other[0]:
-                        settled.append((*other[0], n))
-                        seen[key] = (place, least, n)
-                    elif place != other[0]:
-                        settled.append((*place, n))
+                        seen[key] = place
+                    elif place[:3] < other[:3]:
+                        settled.append(other[:4])
+                        seen[key] = place
+                    elif place[:3] != other[:3]:
+                        settled.append(place[:4])
             held += len(body)
             if held > _CHUNK:
-                yield from flush()
+                yield from text.in_batches(flush(), packed, 64)
                 seen, settled, held = {}, [], 0
-        yield from flush()
+        yield from text.in_batches(flush(), packed, 64)
 
     def count(pack: pa.Table) -> pa.Table:
-        blobs = [_unpack(b) for b in pack["blob"].to_pylist() if b is not None]
+        places, keys, settled = _shared([b for b in pack["blob"].to_pylist() if b is not None], windows)
         runs = [np.frombuffer(r, np.int64).reshape(-1, 4) for r in pack["runs"].to_pylist() if r is not None]
-        if blobs:
-            places, sizes, bodies = zip(*blobs)
-            runs.append(_settle(np.concatenate(places), np.concatenate(sizes), b"".join(bodies), width))
-        runs = np.concatenate(runs) if runs else np.zeros((0, 4), np.int64)
-        return pa.Table.from_arrays([pa.array(c) for c in runs.T], schema=_RUN)
+        runs.append(np.array(settled, np.int64).reshape(-1, 4))
+        if keys:
+            sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+            runs.append(windows.settle(np.array(places, np.int64)[:, :3], sizes, b"".join(keys)))
+        return pa.Table.from_arrays([pa.array(c) for c in merge_runs(np.concatenate(runs)).T], schema=_RUN)
 
     pieces = text.keyed(docs).mapInArrow(split, "bucket int, blob binary, runs binary")
     return pieces.groupBy("bucket").applyInArrow(count, "doc long, tie long, start long, n long")
@@ -273,4 +318,4 @@ def drop_repeats(docs: DataFrame, width: int = 20, gram: int = 5) -> DataFrame:
         kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
         return doc, len(words), int(gone.sum()), b" ".join(kept)
 
-    return with_runs(docs, repeated_windows(docs, width, gram), cut, "doc long, n_words long, n_removed long, kept binary")
+    return with_runs(docs, repeated_windows(docs, Words(width, gram)), cut, "doc long, n_words long, n_removed long, kept binary")

@@ -173,6 +173,20 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * unpower[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of every ``width`` consecutive values."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, unpower = _tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:len(values)], out=total[1:])
+    sums = total[width:] - total[:n]
+    sums *= unpower[:n]
+    sums += np.uint64(width * 0xD6E8FEB86659FD93 & (2 ** 64 - 1))
+    return mix(sums)
+
+
 def word_hashes(body: bytes, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     """The hash of every word. Long texts are taken in blocks, so that the sums of few bytes are held at a time."""
     values, out, at = np.frombuffer(body, np.uint8), [np.zeros(0, np.uint64)], 0
