@@ -129,7 +129,7 @@ class Bytes:
         return merge_runs(np.column_stack([doc, tie, start, np.ones(len(doc), np.int64)])[later])
 
 
-def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 24) -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 16) -> DataFrame:
     """``(doc, n_bytes, n_removed, n_spans, kept)``: the UTF-8 bytes left after removing each byte of a string of
     ``width`` bytes that also starts earlier, and the number of maximal removed runs.
 

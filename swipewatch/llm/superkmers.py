@@ -121,19 +121,26 @@ def merge_runs(runs: np.ndarray) -> np.ndarray:
 
 
 def _pack(keys: list[bytes], places: list[tuple[int, int, int, int, int]]) -> bytes:
-    """Strings with ``(doc, tie, start, windows, minimiser)`` of each."""
-    head = np.array([len(keys)], np.int64).tobytes()
-    body = np.array(places, np.int64).tobytes() + np.fromiter(map(len, keys), np.int64, len(keys)).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + body + b"".join(keys))
+    """Strings with ``(doc, tie, start, windows, minimiser)`` of each, column by column. Of a minimiser 32 bits are
+    enough: it only tells apart the strings of one bucket that cannot match."""
+    doc, tie, start, n, least = np.array(places, np.int64).T
+    columns = [np.diff(doc, prepend=0), tie, start, n.astype(np.uint32), (least >> 20).astype(np.uint32),
+               np.fromiter(map(len, keys), np.uint32, len(keys))]
+    return zstandard.ZstdCompressor(level=6).compress(
+        b"".join([np.array([len(keys)], np.int64).tobytes(), *(c.tobytes() for c in columns), *keys]))
 
 
 def _unpack(blob: bytes) -> tuple[list[tuple], list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    ends = 8 + 48 * n + np.cumsum(np.frombuffer(raw, np.int64, n, 8 + 40 * n))
-    starts = np.concatenate([[8 + 48 * n], ends[:-1]]) if n else ends
-    places = list(map(tuple, np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5).tolist()))
-    return places, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    columns, at = [], 8
+    for kind in (np.int64, np.int64, np.int64, np.uint32, np.uint32, np.uint32):
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += columns[-1].nbytes
+    doc, tie, start, windows, least, sizes = columns
+    ends = at + np.cumsum(sizes, dtype=np.int64)
+    places = zip(*(c.tolist() for c in (np.cumsum(doc), tie, start, windows, least)))
+    return list(places), [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
 def _shared(blobs: list[bytes], windows) -> tuple[list[tuple], list[bytes], list[tuple]]:
@@ -229,7 +236,8 @@ def repeated_windows(docs: DataFrame, windows) -> DataFrame:
             keys, places = list(seen), list(seen.values())
             minimisers = np.fromiter((p[4] for p in places), np.int64, len(places)).view(np.uint64)
             bucket = (text.mix(minimisers) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((minimisers, bucket))
+            docs = np.fromiter((p[0] for p in places), np.int64, len(places))
+            order = np.lexsort((docs, bucket))  # neighbours by document compress best
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
             for s, e in zip(cuts, [*cuts[1:], len(order)]):
                 chosen = order[s:e].tolist()
