@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from swipewatch.llm import text
 
 _SPACES = re.compile(r"\s\s|^\s|\s$")
-_CACHED = 250_000  # words whose ids a task remembers
+_CACHED = 120_000  # words whose ids a task remembers
 
 
 class Encoder:
@@ -37,7 +37,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         self.path = path
         with open(path, encoding="utf-8") as file:
@@ -48,16 +47,24 @@ class Encoder:
         ranks = {bytes(letter[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self._slow = None
         self.known: dict[str, bytes] = {}
 
+    def slow(self):
+        """The library's own tokenizer, loaded only where a text needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def _whole(self, body: str) -> bytes:
         return np.array(self.fast.encode_ordinary(body), np.uint32).tobytes()
 
     def encode(self, body: str) -> bytes:
         if self.special is not None and self.special.search(body):
-            return np.array(self.slow.encode(body, add_special_tokens=False).ids, np.uint32).tobytes()
+            return np.array(self.slow().encode(body, add_special_tokens=False).ids, np.uint32).tobytes()
         if _SPACES.search(body):
             return self._whole(body)
         known, out = self.known, []

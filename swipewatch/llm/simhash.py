@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from swipewatch.llm import text
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_AT_ONCE = 1 << 16  # hashes unpacked to bits at a time
+_AT_ONCE = 1 << 14  # hashes unpacked to bits at a time
 _PAIRWISE = 64      # meetings of up to so many fingerprints are compared directly, larger ones by balls again
-_PER_BUCKET = 1_500_000
+_PER_BUCKET = 600_000
 
 
 def fingerprint(body: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -133,7 +133,7 @@ def meet(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray,
             right.append(b)
     for i in np.flatnonzero(sizes > _PAIRWISE).tolist():
         members = prints[starts[i]:starts[i] + sizes[i]]
-        a, b = _ball_links(members, radius, max(1, len(members) * 2081 // 4_000_000))
+        a, b = _ball_links(members, radius, max(1, len(members) * 2081 // 1_000_000))
         left += a
         right += b
     return text.spanning_links(np.concatenate(left), np.concatenate(right))
@@ -145,7 +145,7 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 4, n: int | None = N
     emitted = sum(len(flips) for _, _, flips in masks)
     n_buckets = text.buckets_for((n or prints.count()) * emitted, _PER_BUCKET)
     packed = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("prints", pa.binary())])
-    at_once = max(1, 2_000_000 // emitted)
+    at_once = max(1, 500_000 // emitted)
 
     def emit(batches):
         def packs(fps):
