@@ -118,18 +118,15 @@ class ScoringConfig:
 class SkewConfig:
     """When a customer counts as hot, and how finely their timeline is cut.
 
-    A customer with at least ``hot_rows`` rows is hot if also among the
-    ``max_hot`` largest. Any other customer therefore holds at most
-    max(hot_rows, total / max_hot) rows, and the hot list never exceeds
-    ``max_hot`` rows, which is what makes broadcasting it safe.
+    A customer with ``hot_rows`` rows or more, or with ``dense_rows`` or more in one hour, is hot; there may be any
+    number of them. Every other customer fits one task, and the list of an hour that each of their rows is compared
+    with stays below ``dense_rows``. Which way a customer goes changes the cost, not the result.
     """
 
-    hot_rows: int = 5_000
-    max_hot: int = 20_000
+    hot_rows: int = 200_000
+    dense_rows: int = 2_000
     block_rows: int = 1_000_000
 
     def __post_init__(self):
-        if min(self.hot_rows, self.max_hot, self.block_rows) < 1:
+        if min(self.hot_rows, self.dense_rows, self.block_rows) < 1:
             raise ValueError("skew settings must be positive")
-        if self.max_hot > 100_000:
-            raise ValueError("max_hot bounds a broadcast; keep it at or below 100000")

@@ -72,18 +72,21 @@ def amount_units(amount: Column) -> Column:
     return (amount * F.lit(10_000)).cast("decimal(19,0)")
 
 
-def moments(count: Column, total: Column, squares: Column) -> tuple[Column, Column]:
+def moments(count: Column, total: Column, squares: Column, rough_squares: Column) -> tuple[Column, Column]:
     """Mean and population standard deviation from count, sum and sum of squared units.
 
-    n·Σx² − (Σx)² is evaluated on whole numbers, so equal amounts give exactly
-    zero. Should that product not fit, doubles take over and tiny values snap to zero.
+    n·Σx² − (Σx)² is evaluated on whole numbers, so equal amounts give exactly zero. Where that does not fit the
+    widest decimal, or the sum of squares itself does not, doubles take over: ``rough_squares`` is the same sum as a
+    double and is never NULL, and what is within its rounding error counts as zero.
     """
     some = F.when(count > 0, count)  # NULL for an empty history, so nothing divides by zero
     n = some.cast("decimal(12,0)")
     units = (total * F.lit(10_000)).cast("decimal(33,0)")
     exact = F.try_subtract(F.try_multiply(squares, n), F.try_multiply(units, units)).cast("double")
     mean_units = units.cast("double") / some
-    rough = squares.cast("double") / some - mean_units * mean_units
+    mean_square = rough_squares / some
+    difference = mean_square - mean_units * mean_units
+    rough = F.when(difference > 1e-12 * mean_square, difference).otherwise(0.0)
     variance = F.greatest(F.coalesce(exact / (some.cast("double") * some), rough), F.lit(0.0))
     deviation = F.sqrt(variance) / 10_000.0
     return (F.coalesce(mean_units / 10_000.0, F.lit(0.0)),
@@ -113,26 +116,29 @@ def with_spend_and_baseline(rows: DataFrame, cfg: RuleConfig, mode: str = EXACT)
         raise ValueError(f"mode must be '{EXACT}' or '{BUCKETED}', not {mode!r}")
     units = amount_units(F.col("amount"))
     square = F.try_multiply(units, units)
+    rough = units.cast("double") * units.cast("double")
     one = F.lit(1)
     # Windows of one call share a pass wherever they share an order.
     totals = rows.withColumns({
         "_n": F.count(one).over(earlier), "_s": F.sum("amount").over(earlier), "_q": F.try_sum(square).over(earlier),
+        "_r": F.sum(rough).over(earlier),
     }).withColumns({
         "_hour": F.sum("amount").over(before_hour), "_day": F.sum("amount").over(before_day),
         "_n0": F.count(one).over(before_span), "_s0": F.sum("amount").over(before_span),
-        "_q0": F.try_sum(square).over(before_span),
+        "_q0": F.try_sum(square).over(before_span), "_r0": F.sum(rough).over(before_span),
     })
 
     def known(name):
         return F.coalesce(F.col(name), F.lit(0).cast("decimal(29,4)"))
 
     def known_squares(name, count):
-        # NULL with rows behind it means the sum did not fit, and stays NULL.
+        # NULL with rows behind it means the sum did not fit; moments then uses the doubles.
         return F.when(F.col(count) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.col(name))
 
     count = F.col("_n") - F.col("_n0")
     mean, deviation = moments(count, known("_s") - known("_s0"),
-                              F.try_subtract(known_squares("_q", "_n"), known_squares("_q0", "_n0")))
+                              F.try_subtract(known_squares("_q", "_n"), known_squares("_q0", "_n0")),
+                              F.coalesce("_r", F.lit(0.0)) - F.coalesce("_r0", F.lit(0.0)))
     return totals.select(*[c for c in rows.columns if c not in ("hour", "day")], *[
         (known("_s") - known(f"_{span}")).cast("decimal(29,4)").alias(alias)
         for span, alias in (("hour", "hourly_spend"), ("day", "daily_spend"))
@@ -251,22 +257,22 @@ def recent_transactions(rows: DataFrame, transaction_id: str, cfg: RuleConfig) -
 # --- the whole context ------------------------------------------------------------------------
 
 def build_context(txns: DataFrame, merchants: DataFrame, cfg: RuleConfig | None = None,
-                  mode: str = EXACT, skew: SkewConfig | None = None) -> DataFrame:
-    """Transactions with effective location, event time and every name in ``FEATURES``.
+                  mode: str = EXACT, skew: SkewConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Transactions with effective location, event time and every name in ``FEATURES``; columns in ``keep`` go along.
 
     ``transaction_id`` must be unique; see :func:`swipewatch.sources.ingest.dedupe`.
-    One small job first lists the hot customers, if any, so that the usual plan
-    carries nothing for them.
+    One job first lists the hot customers, if any, in a table, so that the usual plan carries nothing for them.
+    Both ways give the same rows.
     """
     cfg, skew = cfg or RuleConfig(), skew or SkewConfig()
-    slim = with_event_time(txns.select(*TRANSACTION_FIELDS))
+    slim = with_event_time(txns.select(*TRANSACTION_FIELDS, *keep))
     hot = hot_customers.find_hot(slim, skew)
     rows = effective_location(slim, merchants)
     if hot is None:
         return ordinary_context(rows, cfg, mode)
-    listed = F.broadcast(hot)  # at most skew.max_hot rows
-    usual = ordinary_context(rows.join(F.broadcast(hot.select("customer_id")), "customer_id", "left_anti"), cfg, mode)
-    busy = hot_customers.hot_context(rows.join(listed, "customer_id"), cfg, bucketed=mode == BUCKETED)
+    # no broadcast hint: the list has no bound, so its size decides
+    usual = ordinary_context(rows.join(hot.select("customer_id"), "customer_id", "left_anti"), cfg, mode)
+    busy = hot_customers.hot_context(rows.join(hot, "customer_id"), cfg, bucketed=mode == BUCKETED)
     return usual.unionByName(busy)
 
 

@@ -127,11 +127,11 @@ def customer_history(txns: DataFrame, assessments: DataFrame, customer_id: str,
                      sort: str = "desc") -> DataFrame:
     """One page of a customer's transactions with their assessments.
 
-    Both sides are cut to the customer before they meet.
+    The page is cut first; only its rows, at most ``page_size``, meet the customer's assessments.
     """
     mine = where_all(txns, equal_to(customer_id=customer_id) + time_range("timestamp", from_, to))
-    joined = history_with_assessment(mine, where_all(assessments, equal_to(customer_id=customer_id)))
-    return keyset_page(joined, "timestamp", "transaction_id", cursor, page_size, sort)
+    page = keyset_page(mine, "timestamp", "transaction_id", cursor, page_size, sort)
+    return history_with_assessment(page, where_all(assessments, equal_to(customer_id=customer_id)))
 
 
 def feed_pages(rows: DataFrame, time: str, row_id: str, page_size: int = DEFAULT_PAGE, slot_us: int = MINUTE) -> DataFrame:

@@ -10,6 +10,8 @@ no pair of transactions is formed for counts and sums.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from pyspark.sql.window import Window
 from swipewatch.config import DAY, HOUR, MINUTE, SECOND, RuleConfig, SkewConfig
 from swipewatch.functions.columns import blank, epoch_day, epoch_hour, floor_div, is_physical, too_fast_sql
 from swipewatch.schemas import CARD_NOT_PRESENT
+from swipewatch.sources import tables
 
 HOT = T.StructType([
     T.StructField("customer_id", T.StringType()),
@@ -32,27 +35,29 @@ SLOT_ROWS = 64
 
 
 def find_hot(rows: DataFrame, skew: SkewConfig) -> DataFrame | None:
-    """The at most ``max_hot`` largest customers holding ``hot_rows`` rows or more, or None.
+    """All customers that are hot, or None. A customer is hot with ``hot_rows`` rows altogether or ``dense_rows`` rows
+    in one hour.
 
-    The count combines before its shuffle and reads two columns. Only the
-    bounded top list reaches the driver.
+    The counts combine before their shuffles and read two columns. The list is a table in the shared folder, of any
+    length; Spark joins it as its size demands.
     """
-    largest = (
-        rows.groupBy("customer_id")
+    span = F.col("last") - F.col("first") + 1
+    blocks = F.ceil(F.col("n") * EVENTS_PER_ROW / skew.block_rows)
+    listed = (
+        rows.groupBy("customer_id", epoch_hour(F.col("us")).alias("hour"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first"), F.max("us").alias("last"))
-        .where(F.col("n") >= skew.hot_rows)
-        .orderBy(F.col("n").desc(), "customer_id").limit(skew.max_hot)
-        .collect()
+        .groupBy("customer_id")
+        .agg(F.sum("n").alias("n"), F.max("n").alias("peak"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .where((F.col("n") >= skew.hot_rows) | (F.col("peak") >= skew.dense_rows))
+        .select("customer_id", F.col("last").alias("hot_last"), F.col("first").alias("hot_origin"),
+                F.greatest(floor_div(span, blocks), F.lit(1)).cast("long").alias("block_us"),
+                F.least(F.greatest(floor_div(span * SLOT_ROWS, F.col("n")), F.lit(1000)), F.lit(HOUR)).cast("long").alias("slot_us"))
     )
-    if not largest:
-        return None
-    listed = []
-    for row in largest:
-        span = row["last"] - row["first"] + 1
-        blocks = -(-row["n"] * EVENTS_PER_ROW // skew.block_rows)
-        slot = min(max(SLOT_ROWS * span // row["n"], 1000), HOUR)
-        listed.append((row["customer_id"], row["last"], row["first"], max(span // blocks, 1), slot))
-    return rows.sparkSession.createDataFrame(listed, HOT)
+    spark = rows.sparkSession
+    path = tables.join_path(tables.shared_folder(spark), f"hot-customers-{uuid.uuid4().hex}")
+    listed.write.parquet(path)
+    hot = spark.read.schema(HOT).parquet(path)
+    return None if hot.isEmpty() else hot
 
 
 def timeline(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
@@ -131,6 +136,7 @@ def hot_context(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
     amount = F.col("amount").cast("decimal(29,4)")
     units = amount_units(F.col("amount"))
     square = F.try_multiply(units, units)
+    rough = units.cast("double") * units.cast("double")
     on = F.col("physical")
     with_device = F.col("device").isNotNull()
     zero = F.lit(0).cast("long")
@@ -158,6 +164,7 @@ def hot_context(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
     events = running_totals(events, ["customer_id", "currency"], {
         "s_hour": change(cfg.hourly_minutes * m, amount), "s_day": change(DAY_OUT, amount),
         "b_n": change(SPAN_OUT), "b_s": change(SPAN_OUT, amount), "b_q": change(SPAN_OUT, square),
+        "b_r": change(SPAN_OUT, rough),
     })
     # Every total above includes the arriving transaction itself; take it out again.
     now = events.where("arrives").select(
@@ -170,8 +177,9 @@ def hot_context(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
         (F.col("b_n") - 1).alias("baseline_count"),
         (F.col("b_s") - amount).cast("decimal(29,4)").alias("_s"),
         F.try_subtract(F.col("b_q").cast("decimal(38,0)"), square).cast("decimal(38,0)").alias("_q"),
+        (F.col("b_r") - rough).alias("_r"),
     )
-    mean, deviation = moments(F.col("baseline_count"), F.col("_s"), F.col("_q"))
+    mean, deviation = moments(F.col("baseline_count"), F.col("_s"), F.col("_q"), F.col("_r"))
     remote = F.col("transaction_type").eqNullSafe(CARD_NOT_PRESENT)
     device_here = F.col("device").isNotNull()
     now = now.withColumns({

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swipewatch.config import RuleConfig, ScoringConfig, SkewConfig
-from swipewatch.operators.context import EXACT, build_context
+from swipewatch.operators.context import EXACT, TRANSACTION_FIELDS, build_context
 from swipewatch.operators.rules import RULES, active_rules, evaluate_rules, severity_column
 from swipewatch.operators.scoring import probability_from_severities, score
 from swipewatch.schemas import UNRESOLVED
@@ -32,13 +34,38 @@ def conclude(context: DataFrame, rule_cfg: RuleConfig | None = None, scoring_cfg
     return scored.select(*[own[name].alias(name) if name in own else name for name in ASSESSMENT_FIELDS])
 
 
+def relevant_history(txns: DataFrame, history: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """The part of ``history`` that ``txns`` can see. Rows of ``history`` that are in ``txns`` again are left out.
+
+    The first new moment is one number, so it is looked up before the plan is made and prunes files and partitions."""
+    first = txns.agg(F.min("timestamp")).first()[0]
+    if first is None:
+        return history.limit(0)
+    since = first - timedelta(days=cfg.baseline_days + 1)
+    seen = history.where(F.col("timestamp") >= F.lit(since))
+    if "event_date" in history.columns:
+        seen = seen.where(F.col("event_date") >= F.lit(since.date() - timedelta(days=1)))
+    seen = seen.join(txns.select("customer_id").distinct(), "customer_id", "left_semi")
+    return seen.join(txns.select("transaction_id"), "transaction_id", "left_anti")
+
+
 def assess(txns: DataFrame, merchants: DataFrame, rule_cfg: RuleConfig | None = None,
            scoring_cfg: ScoringConfig | None = None, mode: str = EXACT, skew: SkewConfig | None = None,
-           rules=RULES, assessed_at: Column | None = None) -> DataFrame:
+           rules=RULES, assessed_at: Column | None = None, history: DataFrame | None = None) -> DataFrame:
     """One assessment per transaction, outcome UNRESOLVED.
 
+    ``history`` holds transactions assessed earlier: they are part of what each new one sees and are not assessed
+    again. Only rows of the customers at hand are read, from the longest window before the first new transaction on;
+    a history with ``event_date`` partitions is pruned to those days.
+
     ``assessed_at`` defaults to the transaction's own time, which keeps batch
     results repeatable.
     """
-    context = build_context(txns, merchants, rule_cfg, mode, skew)
+    if history is None:
+        context = build_context(txns, merchants, rule_cfg, mode, skew)
+    else:
+        known = relevant_history(txns, history, rule_cfg or RuleConfig())
+        names = [c for c in TRANSACTION_FIELDS]
+        both = txns.select(*names, F.lit(True).alias("is_new")).unionByName(known.select(*names, F.lit(False).alias("is_new")))
+        context = build_context(both, merchants, rule_cfg, mode, skew, keep=("is_new",)).where("is_new").drop("is_new")
     return conclude(context, rule_cfg, scoring_cfg, rules, assessed_at)

@@ -7,6 +7,7 @@ everything up to the score runs from the transactions each time.
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from datetime import date, datetime, timezone
 from decimal import Decimal
@@ -30,16 +31,20 @@ CURSOR_AT, CURSOR_ID = datetime(2024, 1, 15, 12, tzinfo=timezone.utc), "00000000
 RETENTION_AS_OF = date(2024, 4, 14)
 DAILY_CASE = RuleConfig(hourly_limit=Decimal(10 ** 9), daily_limit=Decimal(8000))
 SHORT_BASELINE = RuleConfig(baseline_days=10)
-SMALL_SKEW = SkewConfig(hot_rows=60, max_hot=20_000, block_rows=100)
+SMALL_SKEW = SkewConfig(hot_rows=60, block_rows=100)
 
 _stored: dict[tuple, str] = {}
 
 
+def folder_label(sf_dir: str) -> str:
+    return re.sub(r"\W+", "_", sf_dir).strip("_")
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """``build()`` written once per session to the shared folder, then read back."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        label = sf_dir.strip("/").replace("/", "_")
+        label = folder_label(sf_dir)
         path = tables.join_path(tables.shared_folder(spark), key[0], label, name)
         tables.write_assessments(build(), path)
         _stored[key] = path
@@ -179,7 +184,7 @@ def write_daily_partitions(spark, d):
     key = (spark.sparkContext.applicationId, d, "daily")
     txns = transactions(spark, d)
     if key not in _stored:
-        path = tables.join_path(tables.shared_folder(spark), key[0], d.strip("/").replace("/", "_"), "daily")
+        path = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "daily")
         tables.write_daily_partitions(txns, path)
         _stored[key] = path
     return (spark.read.parquet(_stored[key])
@@ -247,9 +252,11 @@ def filter_resolved(spark, d):
 
 
 def history_with_assessment(spark, d):
-    # Every transaction against the flagged assessments only, so both sides of the outer join occur.
+    # Every transaction against all assessments but those of events that were never accepted, so both sides of the
+    # outer join occur.
+    rejected = _valid_and_rejected(spark, d)[1].select("transaction_id")
     joined = feeds.history_with_assessment(
-        transactions(spark, d), assessments(spark, d).where(F.col("disposition") == FLAGGED))
+        transactions(spark, d), assessments(spark, d).join(rejected, "transaction_id", "left_anti"))
     return joined.select("transaction_id", "customer_id", us("timestamp"),
                          F.col("assessment.risk_score").alias("risk_score"),
                          F.coalesce(F.size("assessment.violations"), F.lit(0)).cast("long").alias("n_violations"))
@@ -517,12 +524,31 @@ def outcome_counts(spark, d):
 
 # --- J: stream ------------------------------------------------------------------------------------------
 
+def assess_incremental(spark, d):
+    """The later half of the transactions, the earlier half being stored history."""
+    txns = transactions(spark, d)
+    new, history = txns.where(F.col("timestamp") >= F.lit(SINCE)), txns.where(F.col("timestamp") < F.lit(SINCE))
+    return verdicts(assess(new, demo.merchants(spark), history=history))
+
+
+def stream_redelivery(spark, d):
+    """The stream fed every transaction, and then, days later, all of the first half once more."""
+    from swipewatch.streaming.run import replay
+    key = (spark.sparkContext.applicationId, d, "redelivery")
+    txns = transactions(spark, d)
+    if key not in _stored:
+        folder = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "redelivery")
+        _stored[key] = replay(spark, txns, demo.merchants(spark), folder, slice_days=15,
+                              again=txns.where(F.col("timestamp") < F.lit(SINCE)))
+    return verdicts(spark.read.parquet(_stored[key]))
+
+
 def stream_assess(spark, d):
     from swipewatch.streaming.run import replay
     key = (spark.sparkContext.applicationId, d, "stream")
     txns = transactions(spark, d)
     if key not in _stored:
-        folder = tables.join_path(tables.shared_folder(spark), key[0], d.strip("/").replace("/", "_"), "stream")
+        folder = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "stream")
         _stored[key] = replay(spark, txns, demo.merchants(spark), folder, slice_days=15)
     return verdicts(spark.read.parquet(_stored[key]))
 
@@ -539,6 +565,7 @@ RULE_KEYS = {
 QUERIES = {
     "assess": _assess(),
     "assess_bucketed": _assess(context.BUCKETED),
+    "assess_incremental": assess_incremental,
     "assess_hot_customers": _assess(skew=SMALL_SKEW),
     "assess_bucketed_hot_customers": _assess(context.BUCKETED, SMALL_SKEW),
     "scan_transactions": scan_transactions,
@@ -630,4 +657,5 @@ QUERIES = {
     "outcome_status": outcome_status,
     "outcome_counts": outcome_counts,
     "stream_assess": stream_assess,
+    "stream_redelivery": stream_redelivery,
 }

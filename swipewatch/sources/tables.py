@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import date, timedelta
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +26,14 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local session may do without the setting."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session may do without the setting; it uses the
+    warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_folder(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"swipewatch-{application}-")
+    return join_path(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
 
 
 def join_path(folder: str, *parts: str) -> str:
@@ -124,12 +119,11 @@ def read_assessments(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_daily_partitions(txns: DataFrame, path: str, files_per_day: int = 8, mode: str = "overwrite") -> None:
-    """Daily partitions by event time. A day's rows are spread over ``files_per_day`` writers by
-    customer, so neither a busy day nor most customers end up in one task."""
+def write_daily_partitions(txns: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Daily partitions by event time. Days are rebalanced by size: small ones share a task, a busy one is
+    split over as many as its bytes call for."""
     dated = txns.withColumn("event_date", F.to_date("timestamp"))
-    writer = F.pmod(F.xxhash64("customer_id", "transaction_id"), F.lit(files_per_day))
-    (dated.repartition("event_date", writer).sortWithinPartitions("event_date", "customer_id", "timestamp")
+    (dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "customer_id", "timestamp")
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
@@ -143,7 +137,8 @@ def split_retention(txns: DataFrame, as_of: date, days: int = RETENTION_DAYS) ->
 def archive_expired(spark: SparkSession, table: str, archive: str, as_of: date, days: int = RETENTION_DAYS) -> list[str]:
     """Moves expired daily partitions of ``table`` under ``archive``; returns the days moved.
 
-    A rename per partition through the file system Spark itself uses: no rows are read.
+    A rename per partition through the file system Spark itself uses: no rows are read. Where the archive has the
+    day already, its files are added one by one, and a name that is taken gets a new one. A rename that fails raises.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     source = hadoop.Path(table)
@@ -154,7 +149,21 @@ def archive_expired(spark: SparkSession, table: str, archive: str, as_of: date,
         name = entry.getPath().getName()
         day = name.removeprefix("event_date=")
         if name.startswith("event_date=") and day <= cutoff:
-            files.mkdirs(hadoop.Path(archive))
-            files.rename(entry.getPath(), hadoop.Path(join_path(archive, name)))
+            target = hadoop.Path(join_path(archive, name))
+            if not files.exists(target):
+                files.mkdirs(target.getParent())
+                _rename(files, entry.getPath(), target)
+            else:
+                for file in files.listStatus(entry.getPath()):
+                    own = file.getPath().getName()
+                    if files.exists(hadoop.Path(target, own)):
+                        own = f"{uuid.uuid4().hex}-{own}"
+                    _rename(files, file.getPath(), hadoop.Path(target, own))
+                files.delete(entry.getPath(), False)
             moved.append(day)
     return sorted(moved)
+
+
+def _rename(files, source, target) -> None:
+    if not files.rename(source, target):
+        raise OSError(f"could not move {source.toString()} to {target.toString()}")

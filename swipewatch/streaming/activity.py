@@ -34,46 +34,51 @@ ENTRY = _struct(
 HOUR_KEY = _struct(("hour", T.LongType()), ("currency", T.StringType()))
 HOUR_VALUE = _struct(("spend", SPEND))
 DAY_KEY = _struct(("day", T.LongType()), ("currency", T.StringType()))
-DAY_VALUE = _struct(("n", T.LongType()), ("total", SPEND), ("squares", SQUARES))
+DAY_VALUE = _struct(("n", T.LongType()), ("total", SPEND), ("squares", T.StringType()))
+ID_KEY, ID_VALUE = _struct(("transaction_id", T.StringType())), _struct(("us", T.LongType()))
 
 HISTORY = _struct(
     *[(f.name, f.dataType) for f in TRANSACTION.fields],
     ("us", T.LongType()),
     ("recent", T.ArrayType(ENTRY)), ("daily_spend", SPEND), ("baseline_count", T.LongType()),
-    ("baseline_total", SPEND), ("baseline_squares", SQUARES))
+    ("baseline_total", SPEND), ("baseline_squares", SQUARES), ("baseline_rough", T.DoubleType()))
 
 
 class CustomerActivity(StatefulProcessor):
     """Emits each new transaction with the history before it, then adds it to the state.
 
-    Rows of one micro-batch are taken in (time, id) order. A transaction still
-    in the recent list is a repeat and is ignored. Late rows are judged against
-    the state as it is; nothing is dropped for lateness.
+    Rows of one micro-batch are taken in (time, id) order. An id taken before, however long ago within
+    ``keep_ids_days``, is a repeat and is ignored. Late rows are judged against the state as it is; nothing is
+    dropped for lateness. State that is not written again expires: ids after ``keep_ids_days``, buckets and recent
+    rows after twice the baseline's days, both in running time.
     """
 
-    def __init__(self, cfg: RuleConfig):
+    def __init__(self, cfg: RuleConfig, keep_ids_days: int):
         self.lookback = cfg.lookback_minutes * MINUTE
         self.days = cfg.baseline_days
+        self.keep_ids_ms = keep_ids_days * DAY // 1000
+        self.keep_ms = 2 * cfg.baseline_days * DAY // 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent_state = handle.getListState("recent", ENTRY)
-        self.hour_state = handle.getMapState("hours", HOUR_KEY, HOUR_VALUE)
-        self.day_state = handle.getMapState("days", DAY_KEY, DAY_VALUE)
+        self.recent_state = handle.getListState("recent", ENTRY, ttlDurationMs=self.keep_ms)
+        self.hour_state = handle.getMapState("hours", HOUR_KEY, HOUR_VALUE, ttlDurationMs=self.keep_ms)
+        self.day_state = handle.getMapState("days", DAY_KEY, DAY_VALUE, ttlDurationMs=self.keep_ms)
+        # looked up by id, never read as a whole
+        self.id_state = handle.getMapState("ids", ID_KEY, ID_VALUE, ttlDurationMs=self.keep_ids_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         recent = [tuple(entry) for entry in self.recent_state.get()]
         hours = {tuple(k): v[0] for k, v in self.hour_state.iterator()}
         days = {tuple(k): tuple(v) for k, v in self.day_state.iterator()}
         before_hours, before_days = dict(hours), dict(days)
-        known = {entry[1] for entry in recent}
         for us, row in sorted(((_micros(row["timestamp"]), row) for row in rows),
                               key=lambda pair: (pair[0], pair[1]["transaction_id"])):
-            if row["transaction_id"] in known:
+            if self.id_state.containsKey((row["transaction_id"],)):
                 continue
+            self.id_state.updateValue((row["transaction_id"],), (us,))
             yield self._with_history(row, us, recent, hours, days)
             recent = [entry for entry in recent if entry[0] > us - self.lookback]
             recent.append(_entry(row, us))
-            known = {entry[1] for entry in recent}
             _record(hours, days, row, us, self.days)
         self.recent_state.put(recent)
         _save(self.hour_state, before_hours, hours, lambda v: (v,))
@@ -90,12 +95,19 @@ class CustomerActivity(StatefulProcessor):
             recent=[dict(zip(names, entry)) for entry in recent if entry[0] > us - self.lookback],
             daily_spend=spend, baseline_count=sum(v[0] for v in stats),
             baseline_total=sum((v[1] for v in stats), Decimal(0)),
-            baseline_squares=sum((v[2] for v in stats), Decimal(0)))
+            # whole numbers of any size: a decimal context would round them. Beyond the declared type the sum is
+            # unknown, and the deviation then comes from doubles.
+            baseline_squares=_fits(sum(int(v[2]) for v in stats)),
+            baseline_rough=float(sum(int(v[2]) for v in stats)))
 
     def close(self) -> None:
         pass
 
 
+def _fits(squares: int) -> Decimal | None:
+    return Decimal(squares) if squares < 10 ** 38 else None
+
+
 def _micros(moment: datetime) -> int:
     delta = moment.astimezone(timezone.utc) - EPOCH
     return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
@@ -118,9 +130,9 @@ def _record(hours: dict, days: dict, row, us: int, kept_days: int) -> None:
     spot = (hour, row["currency"])
     hours[spot] = hours.get(spot, Decimal(0)) + amount
     spot = (day, row["currency"])
-    n, total, squares = days.get(spot, (0, Decimal(0), Decimal(0)))
+    n, total, squares = days.get(spot, (0, Decimal(0), "0"))
     units = int(amount.scaleb(4))
-    days[spot] = (n + 1, total + amount, Decimal(int(squares) + units * units))
+    days[spot] = (n + 1, total + amount, str(int(squares) + units * units))
 
 
 def _save(state, before: dict, after: dict, pack) -> None:

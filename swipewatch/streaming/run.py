@@ -17,12 +17,13 @@ from swipewatch.schemas import TRANSACTION
 from swipewatch.sources import ingest, tables
 from swipewatch.streaming.activity import HISTORY, CustomerActivity
 
+KEEP_IDS_DAYS = 366
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def checked(raw: DataFrame, max_future_skew: str | None = "1 day") -> DataFrame:
-    """Normalised events with ``errors``. An event far ahead of its arrival would push a customer's
-    whole history out of the windows, so it is rejected; ``None`` accepts it."""
+def checked(raw: DataFrame, max_future_skew: str | None = None) -> DataFrame:
+    """Normalised events with ``errors``. An event far ahead of its arrival pushes a customer's whole history out
+    of the windows; ``max_future_skew`` rejects such events."""
     events = ingest.with_stream_errors(ingest.normalise_events(raw))
     if max_future_skew is None:
         return events
@@ -31,21 +32,20 @@ def checked(raw: DataFrame, max_future_skew: str | None = "1 day") -> DataFrame:
     return events.withColumn("errors", F.when(ahead, F.concat("errors", problem)).otherwise(F.col("errors")))
 
 
-def with_history(valid: DataFrame, cfg: RuleConfig, dedupe_within: str | None = None) -> DataFrame:
-    """Each accepted transaction with its customer's history; partitioned and stateful by customer.
+def with_history(valid: DataFrame, cfg: RuleConfig, keep_ids_days: int = KEEP_IDS_DAYS) -> DataFrame:
+    """Each accepted transaction, once, with its customer's history; partitioned and stateful by customer.
 
-    Repeats inside the lookback are recognised by the state itself.
-    ``dedupe_within`` also drops repeats arriving within that time of each
-    other; it watermarks the arrival time, so late event times are kept.
+    The state knows every id it took in the last ``keep_ids_days`` days of running time, and lets go of a customer's
+    buckets once they have not been written for longer than any window.
     """
-    if dedupe_within:
-        valid = valid.withWatermark("ingest_ts", dedupe_within).dropDuplicatesWithinWatermark(["transaction_id"])
     return valid.select(*TRANSACTION.fieldNames()).groupBy("customer_id").transformWithState(
-        statefulProcessor=CustomerActivity(cfg), outputStructType=HISTORY, outputMode="Append", timeMode="None")
+        statefulProcessor=CustomerActivity(cfg, keep_ids_days), outputStructType=HISTORY, outputMode="Append",
+        timeMode="ProcessingTime")
 
 
 def context_from_history(history: DataFrame, merchants: DataFrame, cfg: RuleConfig) -> DataFrame:
-    mean, deviation = moments(F.col("baseline_count"), F.col("baseline_total"), F.col("baseline_squares"))
+    mean, deviation = moments(F.col("baseline_count"), F.col("baseline_total"), F.col("baseline_squares"),
+                              F.col("baseline_rough"))
     rows = effective_location(history, merchants).withColumns({"baseline_mean": mean, "baseline_stddev": deviation})
     full = features_from_recent(counts_from_recent(rows, cfg), cfg, ordered_before=False)
     return full.select(*TRANSACTION.fieldNames(), "us", "effective_latitude", "effective_longitude", *FEATURES)
@@ -53,8 +53,8 @@ def context_from_history(history: DataFrame, merchants: DataFrame, cfg: RuleConf
 
 def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folder: str, *,
                   rule_cfg: RuleConfig | None = None, scoring_cfg: ScoringConfig | None = None, rules=RULES,
-                  assessed_at: Column | None = None, max_future_skew: str | None = "1 day",
-                  dedupe_within: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+                  assessed_at: Column | None = None, max_future_skew: str | None = None,
+                  keep_ids_days: int = KEEP_IDS_DAYS, trigger: dict | None = None) -> StreamingQuery:
     """Scores a stream into ``folder``/assessments and ``folder``/routed/<verdict>.
 
     Every micro-batch owns one ``batch_id`` directory per output and overwrites
@@ -63,6 +63,8 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
     """
     rule_cfg, scoring_cfg = rule_cfg or RuleConfig(), scoring_cfg or ScoringConfig()
     raw.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # State expires by running time, and there are no timers: batches without data would only keep the stream awake.
+    raw.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     at = F.current_timestamp() if assessed_at is None else assessed_at
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -75,12 +77,12 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
             rows.write.mode("overwrite").parquet(tables.join_path(folder, "routed", verdict.lower(), f"batch_id={batch_id}"))
 
     accepted = checked(raw, max_future_skew).where(F.size("errors") == 0)
-    return (with_history(accepted, rule_cfg, dedupe_within).writeStream.queryName("scoring")
+    return (with_history(accepted, rule_cfg, keep_ids_days).writeStream.queryName("scoring")
             .option("checkpointLocation", tables.join_path(folder, "checkpoints", "scoring"))
             .foreachBatch(sink).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def start_quarantine(raw: DataFrame, folder: str, *, max_future_skew: str | None = "1 day",
+def start_quarantine(raw: DataFrame, folder: str, *, max_future_skew: str | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
     """Writes rejected events to ``folder``/quarantine. The file sink itself is exactly-once."""
     rejected = ingest.quarantine(checked(raw, max_future_skew).where(F.size("errors") > 0)).drop("errors")
@@ -101,14 +103,16 @@ def as_raw_events(txns: DataFrame) -> DataFrame:
 
 
 def replay(spark: SparkSession, txns: DataFrame, merchants: DataFrame, folder: str,
-           rule_cfg: RuleConfig | None = None, slice_days: int = 7) -> str:
+           rule_cfg: RuleConfig | None = None, slice_days: int = 7, again: DataFrame | None = None) -> str:
     """Feeds stored transactions through the stream, one time slice after the other; returns the
-    folder of the assessments. Between slices the stream stops and restarts from its checkpoint."""
+    folder of the assessments. Between slices the stream stops and restarts from its checkpoint.
+    ``again`` is delivered once more at the end."""
     inbox = tables.join_path(folder, "inbox")
     day = F.unix_date(F.to_date("timestamp"))
     low, high = txns.agg(F.min(day), F.max(day)).first()
-    for start in range(low, high + 1, slice_days):
-        as_raw_events(txns.where(day.between(start, start + slice_days - 1))).write.mode("append").parquet(inbox)
+    slices = [txns.where(day.between(start, start + slice_days - 1)) for start in range(low, high + 1, slice_days)]
+    for part in [*slices, *([] if again is None else [again])]:
+        as_raw_events(part).write.mode("append").parquet(inbox)
         start_scoring(tables.stream_transactions(spark, inbox), lambda: merchants, folder, rule_cfg=rule_cfg,
                       assessed_at=F.col("timestamp")).awaitTermination()
     return tables.join_path(folder, "assessments")

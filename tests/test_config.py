@@ -38,7 +38,7 @@ def test_prior_is_a_probability(broken):
 
 def test_the_hot_list_stays_broadcastable():
     with pytest.raises(ValueError):
-        SkewConfig(max_hot=1_000_000)
+        SkewConfig(dense_rows=0)
 
 
 def test_disabled_rules_leave_the_plan():

@@ -78,8 +78,8 @@ def test_bad_and_future_events_go_to_quarantine(spark, tmp_path):
              {**good, "transaction_id": "00000000-0000-0000-0000-000000000002", "timestamp": "2027-07-15T10:00:00Z"}]
     (inbox / "a.json").write_text("\n".join([json.dumps(x) for x in lines] + ["not json"]) + "\n")
     raw = tables.stream_transactions(spark, str(inbox), "json")
-    start_quarantine(raw, folder).awaitTermination()
-    start_scoring(raw, lambda: merchants(spark), folder).awaitTermination()
+    start_quarantine(raw, folder, max_future_skew="1 day").awaitTermination()
+    start_scoring(raw, lambda: merchants(spark), folder, max_future_skew="1 day").awaitTermination()
     reasons = [r["reason"] for r in spark.read.parquet(f"{folder}/quarantine").collect()]
     assert len(reasons) == 5 and "timestamp: too far in the future" in reasons
     assert any(r.startswith("transaction_id: not a UUID; amount:") for r in reasons)
@@ -97,10 +97,22 @@ def test_repeated_batch_overwrites_itself(spark, tmp_path):
     assert got.count() == 4 and got.select("transaction_id").distinct().count() == 4
 
 
-def test_dedupe_by_arrival(spark, tmp_path):
-    row = txn(BUSINESS)
-    got = feed(spark, str(tmp_path), [row, row], dedupe_within="1 day")
-    assert got.count() == 1
+def test_old_redeliveries_count_once(spark, tmp_path):
+    rows = [txn(BUSINESS + timedelta(hours=5 * i), "10") for i in range(12)]
+    feed(spark, str(tmp_path), rows)
+    last = txn(BUSINESS + timedelta(hours=56), "10")
+    got = feed(spark, str(tmp_path), [*rows[:3], *rows[:3], last])
+    assert got.count() == 13 and got.select("transaction_id").distinct().count() == 13
+
+
+def test_large_equal_amounts_have_no_deviation(spark, tmp_path):
+    rows = [txn(ago(BUSINESS, days=i), "12345678901.0007", id=f"00000000-0000-0000-0000-{99 - i:012d}") for i in range(20)]
+    got = {r["transaction_id"]: r for r in feed(spark, str(tmp_path), rows).collect()}
+    want = assess(ingest.normalise_events(as_raw_events(frame(spark, rows))), merchants(spark), mode=BUCKETED)
+    for row in want.select("transaction_id", "risk_score", "violations").collect():
+        found = got[row["transaction_id"]]
+        assert (found["risk_score"], found["violations"]) == (row["risk_score"], row["violations"])
+        assert "CUSTOMER_AMOUNT_ANOMALY" not in names(row)
 
 
 def test_batch_times(spark, tmp_path):

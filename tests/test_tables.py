@@ -37,6 +37,11 @@ def test_archive_moves_whole_days(spark, txns, tmp_path):
     assert tables.scan_transactions(spark, table).count() == 15
     assert tables.scan_transactions(spark, archive).count() == 10
     assert tables.archive_expired(spark, table, archive, BUSINESS.date()) == []
+    # a day written anew and moved again joins what is there
+    tables.write_daily_partitions(txns, table)
+    assert tables.archive_expired(spark, table, archive, BUSINESS.date()) == ["2026-04-14", "2026-04-15"]
+    assert tables.scan_transactions(spark, archive).count() == 20
+    assert sorted(p.name for p in (tmp_path / "old").iterdir()) == ["event_date=2026-04-14", "event_date=2026-04-15"]
 
 
 def test_routes_are_disjoint_and_complete(spark):
@@ -67,15 +72,15 @@ class Session:
         self.conf = self
         self.master, self.folder, self.applicationId = master, folder, "app-1"
 
-    def get(self, key, default):
-        return self.folder if key == "spark.checkpoint.dir" else default
+    def get(self, key, default=None):
+        return {"spark.checkpoint.dir": self.folder, "spark.sql.warehouse.dir": "file:/warehouse"}.get(key) or default
 
 
 def test_shared_folder_comes_from_the_session(spark):
     assert tables.shared_folder(Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_folder(Session("yarn"))
-    assert tables.shared_folder(Session("local[2]")) == tables.shared_folder(Session("local[2]"))
+    assert tables.shared_folder(Session("local[2]")) == "file:/warehouse/scratch"
 
 
 def test_dates():
