@@ -36,10 +36,10 @@ tx AS (
          WHEN k % 8 = 5 THEN CASE WHEN k % 16 = 5 THEN 'CRYPTO_EXCHANGE' ELSE 'PHARMACY' END
          WHEN k % 8 = 6 THEN CASE WHEN k % 16 = 6 THEN 'GAMBLING' ELSE 'TRAVEL' END
          WHEN k % 8 = 7 THEN CASE WHEN k % 32 = 7 THEN 'WIRE_TRANSFER' ELSE 'ELECTRONICS' END END AS category,
-    CASE WHEN k % 20 = 0 THEN NULL WHEN k % 50 = 1 THEN 55.7558 WHEN user_id % 3 = 0 THEN -33.9249
-         WHEN user_id % 3 = 1 THEN -26.2041 ELSE -29.8587 END::DOUBLE AS latitude,
-    CASE WHEN k % 20 = 0 THEN NULL WHEN k % 50 = 1 THEN 37.6173 WHEN user_id % 3 = 0 THEN 18.4241
-         WHEN user_id % 3 = 1 THEN 28.0473 ELSE 31.0218 END::DOUBLE AS longitude,
+    CASE WHEN k % 20 = 0 THEN NULL WHEN k % 50 = 1 THEN 64.1466 WHEN user_id % 3 = 0 THEN 38.7223
+         WHEN user_id % 3 = 1 THEN 52.2297 ELSE 37.9838 END::DOUBLE AS latitude,
+    CASE WHEN k % 20 = 0 THEN NULL WHEN k % 50 = 1 THEN -21.9426 WHEN user_id % 3 = 0 THEN -9.1393
+         WHEN user_id % 3 = 1 THEN 21.0122 ELSE 23.7275 END::DOUBLE AS longitude,
     CASE WHEN k % 5 < 3 THEN NULL WHEN k % 40 = 4 THEN 'dev-new-' || event_id ELSE 'dev-' || user_id END AS device_fingerprint,
     1704067200000000 + (d // 604800000000) * 604800000000 + (user_id % 24) * 3600000000
       + (d % 604800000000) // 168 AS us,

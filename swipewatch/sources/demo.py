@@ -17,12 +17,12 @@ from swipewatch.config import HOUR
 EPOCH_2024 = 1_704_067_200_000_000
 WEEK = 604_800_000_000
 MERCHANTS = (
-    ("MERCH-00", -33.9249, 18.4241, "Cape Town", "ZA"),
-    ("MERCH-01", -26.2041, 28.0473, "Johannesburg", "ZA"),
-    ("MERCH-02", -29.8587, 31.0218, "Durban", "ZA"),
-    ("MERCH-03", -25.7479, 28.2293, "Pretoria", "ZA"),
-    ("MERCH-04", -26.1070, 28.0567, "Sandton", "ZA"),
-    ("MERCH-05", -33.8688, 18.6318, "Bellville", "ZA"),
+    ("MERCH-00", 38.7223, -9.1393, "Lisbon", "PT"),
+    ("MERCH-01", 52.2297, 21.0122, "Warsaw", "PL"),
+    ("MERCH-02", 37.9838, 23.7275, "Athens", "GR"),
+    ("MERCH-03", 48.2082, 16.3738, "Vienna", "AT"),
+    ("MERCH-04", 59.9139, 10.7522, "Oslo", "NO"),
+    ("MERCH-05", 53.3498, -6.2603, "Dublin", "IE"),
 )
 
 
@@ -56,10 +56,10 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
           + F.expr("(d % 604800000000) div 168"))
     home = F.pmod("user_id", F.lit(3))
 
-    def place(moscow, cape_town, johannesburg, durban):
+    def place(away, first, second, third):
         return (F.when(k % 20 == 0, F.lit(None).cast("double"))
-                .when(k % 50 == 1, moscow).when(home == 0, cape_town)
-                .when(home == 1, johannesburg).otherwise(durban))
+                .when(k % 50 == 1, away).when(home == 0, first)
+                .when(home == 1, second).otherwise(third))
 
     category = (
         F.when(k % 8 == 1, "RETAIL").when(k % 8 == 2, "GROCERY").when(k % 8 == 3, "FUEL")
@@ -83,8 +83,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, "USD").otherwise("ZAR").alias("currency"),
         category.alias("category"),
         F.lit(None).cast("string").alias("location"),
-        place(55.7558, -33.9249, -26.2041, -29.8587).alias("latitude"),
-        place(37.6173, 18.4241, 28.0473, 31.0218).alias("longitude"),
+        place(64.1466, 38.7223, 52.2297, 37.9838).alias("latitude"),
+        place(-21.9426, -9.1393, 21.0122, 23.7275).alias("longitude"),
         device.alias("device_fingerprint"),
         F.timestamp_micros(us).alias("timestamp"),
         kind.alias("transaction_type"),
