@@ -24,23 +24,23 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: values[i:].tolist()), np.int64)
-    s = np.concatenate([values.astype(np.int64), np.zeros(4, np.int64)])
-    at = np.arange(n + (n % 3 == 1))  # one sampled triple more, so that every remaining suffix has a rank behind it
+    kind = np.int32 if n < 2 ** 31 - 8 and values.max() < 2 ** 31 else np.int64  # half the memory to gather from
+    s = np.concatenate([values.astype(kind), np.zeros(4, kind)])
+    at = np.arange(n + (n % 3 == 1), dtype=kind)  # one sampled triple more, so that every remaining suffix has a rank behind it
     ones, twos = at[1::3], at[2::3]
     sample = np.concatenate([ones, twos])
-    order = _order([s[sample + k] for k in range(3)])
-    triples = [s[sample[order] + k] for k in range(3)]
+    order, differs = _order([s[sample + k] for k in range(3)])
     fresh = np.ones(len(order), bool)
-    fresh[1:] = np.any([t[1:] != t[:-1] for t in triples], axis=0)
-    names = np.empty(len(sample), np.int64)
+    fresh[1:] = differs
+    names = np.empty(len(sample), kind)
     names[order] = np.cumsum(fresh)
     solved = order if fresh.all() else suffix_array(names)
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample[solved]] = np.arange(1, len(sample) + 1)
+    rank = np.zeros(n + 4, kind)
     sampled = sample[solved]
+    rank[sampled] = np.arange(1, len(sample) + 1, dtype=kind)
     sampled = sampled[sampled < n]
-    rest = np.arange(0, n, 3)
-    rest = rest[_order([s[rest], rank[rest + 1]])]
+    rest = np.arange(0, n, 3, dtype=kind)
+    rest = rest[_order([s[rest], rank[rest + 1]])[0]]
     # a remaining suffix compares with a sampled one by one or two values and the sampled rank behind them
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     below = _below([s[first], rank[first + 1]], [s[rest], rank[rest + 1]])
@@ -60,16 +60,23 @@ def _keys(columns: list[np.ndarray], others: list[np.ndarray] | None = None) ->
         return None
     out = []
     for group in (columns, others) if others else (columns,):
-        key = group[0]
+        key = group[0].astype(np.int64)
         for column, size in zip(group[1:], sizes[1:]):
-            key = key * size + column
+            key *= size
+            key += column
         out.append(key)
     return out
 
 
-def _order(columns: list[np.ndarray]) -> np.ndarray:
+def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows in sorted order, and where a row differs from the one before it."""
     keys = _keys(columns)
-    return np.lexsort(columns[::-1]) if keys is None else np.argsort(keys[0], kind="stable")
+    if keys is None:
+        order = np.lexsort(columns[::-1])
+        return order, np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    order = np.argsort(keys[0])
+    key = keys[0][order]
+    return order, key[1:] != key[:-1]
 
 
 def _below(sorted_columns: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -98,9 +105,11 @@ class Bytes:
         at = np.arange(len(body) + 1)
         return body, at[:-1], at[1:]
 
-    def may_repeat(self, key: bytes, n: int) -> bool:
-        """As for words: without a second copy of the gram that all windows hold, no two windows are equal."""
-        return n > self.width - self.gram + 1 or key.find(key[n - 1:n - 1 + self.gram], n) >= 0
+    def core(self, key: bytes, n: int) -> bytes:
+        return key[n - 1:self.width] if n <= self.width - self.gram + 1 else b""
+
+    def after(self, key: bytes, n: int) -> int:
+        return n
 
     def settle(self, places: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
         """Runs of windows that also start earlier, among strings at ``places`` laid out one after the other."""

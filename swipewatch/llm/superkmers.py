@@ -23,6 +23,7 @@ from swipewatch.llm import text
 _CHUNK = 6 << 20       # bytes of text settled together in a task
 _BUCKET = 10 << 20      # bytes of packed strings in a bucket
 _HEAVY = 2_000          # a gram with more than one of so many of all grams ranks last
+_COMPARED = 16          # strings of one minimiser that are searched for each other's core
 _LAST = np.uint64(1 << 63)
 _RUN = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
@@ -44,13 +45,13 @@ class Words:
         ends = np.cumsum(lengths + 1) - 1
         return b" ".join(body.split()), ends - lengths, ends
 
-    def may_repeat(self, key: bytes, n: int) -> bool:
-        """False only if no two of a string's ``n`` windows can be equal. All windows hold the gram in the middle, so an
-        equal window further on repeats that gram."""
-        if n > self.width - self.gram + 1:
-            return True
-        words = key.split(b" ")
-        return key.find(b" ".join(words[n - 1:n - 1 + self.gram]), len(b" ".join(words[:n])) + 1) >= 0
+    def core(self, key: bytes, n: int) -> bytes:
+        """What all ``n`` windows of a string hold in the middle; empty if they have no gram in common."""
+        return b" ".join(key.split(b" ")[n - 1:self.width]) if n <= self.width - self.gram + 1 else b""
+
+    def after(self, key: bytes, n: int) -> int:
+        """Where a second copy of the core could begin at the earliest."""
+        return len(b" ".join(key.split(b" ")[:n])) + 1
 
     def settle(self, places: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
         return _settle(places, sizes, body, self.width)
@@ -144,29 +145,48 @@ def _unpack(blob: bytes) -> tuple[list[tuple], list[bytes]]:
 
 
 def _shared(blobs: list[bytes], windows) -> tuple[list[tuple], list[bytes], list[tuple]]:
-    """The strings of a bucket whose windows may be found in another one: one of each text, and only where a minimiser
-    has several or the string may repeat itself. Also the runs of the strings that repeat another one as a whole."""
-    counts: Counter = Counter()
+    """The strings of a bucket whose windows may be found again, one of each text, and the runs of the strings that
+    repeat another one as a whole.
+
+    A window that is found twice holds the core of both strings it lies in. So a string is done with if its minimiser
+    has no other string, or few others and none of them holds its core, unless its core comes twice in itself."""
+    places, keys = [], []
     for blob in blobs:
-        counts.update(p[4] for p in _unpack(blob)[0])
+        p, k = _unpack(blob)
+        places += p
+        keys += k
+    counts = Counter(p[4] for p in places)
     first: dict[bytes, tuple] = {}
     settled = []
-    for blob in blobs:
-        for place, key in zip(*_unpack(blob)):
-            if counts[place[4]] == 1 and not windows.may_repeat(key, place[3]):
-                continue
-            other = first.get(key)
-            if other is None:
-                first[key] = place
-            elif place[:3] < other[:3]:
-                settled.append(other[:4])
-                first[key] = place
-            elif place[:3] != other[:3]:
-                settled.append(place[:4])
-    counts = Counter(p[4] for p in first.values())
-    # neighbours of one minimiser stay together: what a bucket holds twice is then near in the buffer
-    chosen = sorted(((p, k) for k, p in first.items() if counts[p[4]] > 1 or windows.may_repeat(k, p[3])), key=lambda x: x[0][4])
-    return [p for p, _ in chosen], [k for _, k in chosen], settled
+    for place, key in zip(places, keys):
+        if counts[place[4]] == 1 and not _repeats(key, place[3], windows):
+            continue
+        other = first.get(key)
+        if other is None:
+            first[key] = place
+        elif place[:3] < other[:3]:
+            settled.append(other[:4])
+            first[key] = place
+        elif place[:3] != other[:3]:
+            settled.append(place[:4])
+    groups: dict[int, list[bytes]] = {}
+    for key, place in first.items():
+        groups.setdefault(place[4], []).append(key)
+    chosen = []
+    for group in groups.values():
+        if len(group) > _COMPARED:
+            chosen += group
+            continue
+        for key in group:
+            core = windows.core(key, first[key][3])
+            if not core or any(core in other for other in group if other is not key) or _repeats(key, first[key][3], windows):
+                chosen.append(key)
+    return [first[k] for k in chosen], chosen, settled
+
+
+def _repeats(key: bytes, n: int, windows) -> bool:
+    core = windows.core(key, n)
+    return not core or key.find(core, windows.after(key, n)) >= 0
 
 
 def _settle(places: np.ndarray, sizes: np.ndarray, body: bytes, width: int) -> np.ndarray:
