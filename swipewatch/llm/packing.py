@@ -23,16 +23,13 @@ from pyspark.sql import functions as F
 
 from swipewatch.llm import text
 
-_SPACES = re.compile(r"\s\s|^\s|\s$")
-_CACHED = 120_000  # words whose ids a task remembers
 
 
 class Encoder:
     """Token ids of a byte-level BPE file in the format of the ``tokenizers`` library, as unsigned 32-bit numbers.
 
-    The file's vocabulary is run by the faster ``tiktoken`` loop, which gives the same ids. White space between
-    single-spaced words is always a token border, so such texts are looked up word by word; others are encoded whole.
-    Texts that hold a special token's string go through ``tokenizers`` itself, which turns it into that token.
+    The file's vocabulary is run by the faster ``tiktoken`` loop, which gives the same ids. Texts that hold a special
+    token's string go through ``tokenizers`` itself, which turns it into that token.
     """
 
     def __init__(self, path: str):
@@ -49,7 +46,6 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self._slow = None
-        self.known: dict[str, bytes] = {}
 
     def slow(self):
         """The library's own tokenizer, loaded only where a text needs it."""
@@ -59,24 +55,12 @@ class Encoder:
             self._slow = Tokenizer.from_file(self.path)
         return self._slow
 
-    def _whole(self, body: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(body), np.uint32).tobytes()
-
     def encode(self, body: str) -> bytes:
         if self.special is not None and self.special.search(body):
-            return np.array(self.slow().encode(body, add_special_tokens=False).ids, np.uint32).tobytes()
-        if _SPACES.search(body):
-            return self._whole(body)
-        known, out = self.known, []
-        if len(known) > _CACHED:
-            known.clear()
-        first, *rest = body.split(" ")
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._whole(" " + word)
-            out.append(ids)
-        return self._whole(first) + b"".join(out)
+            ids = self.slow().encode(body, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(body)
+        return np.array(ids, np.uint32).tobytes()
 
 
 @lru_cache(1)
