@@ -6,6 +6,9 @@ selected (the leftmost of equals); the selected lines are the fingerprints. Two
 are done with. Around the others the match is extended line by line to both sides, as far as a window selects the
 fingerprint: each such window carries a digest of its lines, and among windows of equal lines all but the earliest
 go. Touching windows join, so a repeated run is deleted over its whole length.
+
+With ``min_words``, one line, or two lines in a row, of at least so many words are a window too. So every repeated run
+of whole lines is found that has ``min_lines`` lines or ``min_words`` words, in texts of one or two lines as well.
 """
 
 from __future__ import annotations
@@ -28,18 +31,28 @@ def lines_of(body: bytes) -> tuple[list[bytes], list[int]]:
     return lines, [i for i, line in enumerate(lines) if line.strip()]
 
 
-def winnow(hashes: list[int], width: int) -> list[tuple[int, list[int]]]:
-    """``(place, first lines of the windows that select it)`` for every selected place."""
-    chosen: dict[int, list[int]] = {}
-    for start in range(len(hashes) - width + 1):
-        window = hashes[start:start + width]
-        chosen.setdefault(start + window.index(min(window)), []).append(start)
+def windows_of(lines: list[bytes], min_lines: int, min_words: int | None) -> list[tuple[int, int]]:
+    """``(first line, number of lines)``: all windows of ``min_lines`` lines, and shorter ones of ``min_words`` words."""
+    out = [(start, min_lines) for start in range(len(lines) - min_lines + 1)]
+    if min_words is not None:
+        words = np.cumsum([0, *(len(line.split()) for line in lines)])
+        for n in range(1, min_lines):
+            out += [(int(start), n) for start in np.flatnonzero(words[n:] - words[:-n] >= min_words)]
+    return out
+
+
+def winnow(hashes: list[int], windows: list[tuple[int, int]]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """``(place, windows that select it)`` for every selected place."""
+    chosen: dict[int, list[tuple[int, int]]] = {}
+    for start, n in windows:
+        window = hashes[start:start + n]
+        chosen.setdefault(start + window.index(min(window)), []).append((start, n))
     return list(chosen.items())
 
 
-def fingerprints(docs: DataFrame, min_lines: int) -> DataFrame:
-    """``(fp, doc, tie, windows)``: selected line hashes, with digest halves and first line of the windows around."""
-    window = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int64())])
+def fingerprints(docs: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
+    """``(fp, doc, tie, windows)``: selected line hashes, with digest halves, first line and lines of the windows around."""
+    window = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
     schema = pa.schema([("fp", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("windows", pa.list_(window))])
 
     def scan(batches):
@@ -48,40 +61,41 @@ def fingerprints(docs: DataFrame, min_lines: int) -> DataFrame:
                 lines, full = lines_of(body)
                 lines = [lines[i].strip() for i in full]
                 hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-                for place, starts in winnow(hashes, min_lines):
+                for place, starts in winnow(hashes, windows_of(lines, min_lines, min_words)):
                     around = []
-                    for start in starts:
-                        digest = hashlib.blake2b(b"\n".join(lines[start:start + min_lines]), digest_size=16).digest()
+                    for start, n in starts:
+                        digest = hashlib.blake2b(b"\n".join(lines[start:start + n]), digest_size=16).digest()
                         a, b = np.frombuffer(digest, np.int64).tolist()
-                        around.append({"a": a, "b": b, "start": start})
+                        around.append({"a": a, "b": b, "start": start, "n": n})
                     yield hashes[place] - 2 ** 63, doc, tie, around
 
         yield from text.in_batches(rows(), schema)
 
-    return text.keyed(docs).mapInArrow(scan, "fp long, doc long, tie long, windows array<struct<a: long, b: long, start: long>>")
+    return text.keyed(docs).mapInArrow(
+        scan, "fp long, doc long, tie long, windows array<struct<a: long, b: long, start: long, n: long>>")
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """``(doc, tie, start, n)``: runs of windows, from the start-th line that holds a word, whose lines also start earlier."""
-    found = text.stored(fingerprints(docs, min_lines), "line-fingerprints")
+def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """``(doc, tie, start, n)``: windows of n lines, from the start-th line that holds a word, whose lines also start earlier."""
+    found = text.stored(fingerprints(docs, min_lines, min_words), "line-fingerprints")
     again = text.stored(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "repeated-lines")
     windows = text.stored(found.join(again, "fp", "left_semi").select("doc", "tie", F.explode("windows").alias("w"))
                           .select("doc", "tie", "w.*"), "line-windows")
-    first = text.stored(windows.groupBy("a", "b").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-                        .where("n > 1").select("a", "b", "first"), "first-windows")
+    first = text.stored(windows.groupBy("a", "b").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
+                        .where("copies > 1").select("a", "b", "first"), "first-windows")
     text.discard(found, again)
     later = windows.join(first, ["a", "b"]).where(F.struct("doc", "tie", "start") != F.col("first"))
-    return later.select("doc", "tie", "start", F.lit(1).cast("long").alias("n"))
+    return later.select("doc", "tie", "start", later["n"])
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``(row, kept, n_lines, n_removed)``: the row as it came, the text left, lines that hold a word and how many went.
 
     A line is compared without white space at its ends. Lines without a word do not count and stay. A null text is
-    kept null; texts of fewer than ``min_lines`` lines lose none; a row that repeats another one in id and text is
+    kept null; without ``min_words`` texts of fewer than ``min_lines`` lines lose none; a row that repeats another one in id and text is
     judged like it. An empty table gives no rows."""
-    runs = repeated_lines(docs, min_lines)
-    by_doc = runs.groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"))  # at most the lines of one text
+    runs = repeated_lines(docs, min_lines, min_words)
+    by_doc = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("starts"))  # at most the lines of one text
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.doc_id().alias("doc"),
                          F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
     joined = marked.join(by_doc, ["doc", "tie"], "left").select("row", text_of("row").alias("body"), "starts")
@@ -93,8 +107,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
         lines, full = lines_of(body)
         if not starts:
             return body.decode(), len(full), 0
-        at = np.array(sorted(starts), np.int64)
-        gone = covered(len(full), np.column_stack([at, np.ones(len(at), np.int64)]), min_lines - 1)
+        gone = covered(len(full), np.array([(run["start"], run["n"]) for run in starts], np.int64), 0)
         drop = {i for i, g in zip(full, gone.tolist()) if g}
         return b"\n".join(line for i, line in enumerate(lines) if i not in drop).decode(), len(full), len(drop)
 
@@ -112,10 +125,10 @@ def text_of(row: str):
     return F.encode(F.col(f"{row}.text"), "UTF-8")
 
 
-def line_filter(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def line_filter(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs`` with repeated runs of lines cut out of ``text`` and ``n_chars`` brought up to date. A document that
     loses all its lines that hold a word goes. Columns as they came."""
-    found = drop_repeated_lines(docs, min_lines).where("n_removed = 0 OR n_removed < n_lines")
+    found = drop_repeated_lines(docs, min_lines, min_words).where("n_removed = 0 OR n_removed < n_lines")
     row = F.when(F.col("n_removed") > 0, F.col("row").withField("text", F.col("kept"))
                  .withField("n_chars", F.length("kept").cast("long"))).otherwise(F.col("row"))
     return found.select(row.alias("row")).select("row.*")

@@ -57,3 +57,37 @@ def test_edge_rows(spark):
         (0, 5, 5), (1, 0, 0), (2, 0, 0), (2, 0, 0), (3, 9, len(body)), (3, 9, len(body)), (4, 3, 3)]
     assert [r.text for r in rows if r.doc_id == 4] == ["new"]
     assert lines.line_filter(docs.limit(0)).count() == 0
+
+
+def brute_words(texts, width, words):
+    """As ``brute``, with every shorter run of so many words a window too."""
+    first, out = {}, {}
+    split = {d: t.split("\n") for d, t in texts}
+    full = {d: [i for i, line in enumerate(parts) if line.strip(SPACE)] for d, parts in split.items()}
+    windows = []
+    for d in split:
+        for s in range(len(full[d])):
+            for n in range(1, width + 1):
+                run = tuple(split[d][i].strip(SPACE) for i in full[d][s:s + n])
+                if len(run) == n and (n == width or sum(len(line.split()) for line in run) >= words):
+                    first.setdefault(run, (d, s))
+                    windows.append((d, s, run))
+    gone = {(d, full[d][s + k]) for d, s, run in windows if first[run] != (d, s) for k in range(len(run))}
+    for d in split:
+        n = sum(d == x for x, _ in gone)
+        out[d] = (len(full[d]), n, "\n".join(x for i, x in enumerate(split[d]) if (d, i) not in gone))
+    return out
+
+
+def test_long_lines(spark):
+    rng = np.random.default_rng(8)
+    long, short = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(30))
+    texts = [(0, long), (1, f"own\n {long} \nend"), (2, f"{long}\n{short}"), (3, f"x\n{long}\n{short}\ny"), (4, f"{short}\nz"),
+             (5, f"{short}\n{short[::-1]}"), (6, f"p\n{short}\n{short[::-1]}")]
+    texts += [(d, "\n".join(rng.choice(["a", "b", "c d e", " c d e", "f g", "f g h", "", "é i"], rng.integers(0, 12)))) for d in range(10, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for width, words in ((3, 50), (3, 4), (2, 3)):
+        found = {r.row.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.drop_repeated_lines(docs, width, words).collect()}
+        assert found == brute_words(texts, width, words)
+    kept = {r.row.doc_id: r.kept for r in lines.drop_repeated_lines(docs, 3, 50).collect()}
+    assert (kept[0], kept[1], kept[2], kept[3], kept[6]) == (long, "own\nend", short, "x\ny", "p")
