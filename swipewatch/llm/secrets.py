@@ -2,9 +2,10 @@
 
 Credentials found by the fixed patterns are labelled by their pattern. For each label a prefix tree of a bounded
 sample is built over coarse character classes, statistically compatible states are merged (Hoeffding bound), and the
-resulting probabilistic automaton gives any string a likelihood. Every token of every text that has the shape of a
-credential is then scored against the automata and against a model of the corpus' ordinary words; tokens that some
-format explains better by ``min_gain`` per character are added as spans of kind ``format``.
+resulting probabilistic automaton gives any string a likelihood. Every token of every text, from 16 characters or the length
+of the shortest fitted credential on, is then scored against the automata and against a model of the corpus' ordinary words;
+tokens that some format explains better by ``min_gain`` per character are added as spans of kind ``format``. A token
+shorter than ``full_length`` must gain as much in all as one of that length, since there are more short ones by chance.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")      # the same spans as HEX of 24 characters or more: runs are maximal
 LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # likewise
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_CHARS = 6  # of a credential, as in the fixed patterns
+KNOWN = 100_000  # tokens whose answer a task remembers
 KINDS = ("assign", "access", "hex")
 _HAS_WORD = "(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
 
@@ -37,6 +40,7 @@ class SecretConfig:
     max_labelled: int = 5_000     # credentials of each kind that the automata are fitted to
     alpha: float = 0.05           # of the compatibility test
     min_gain: float = 0.4         # nats a character by which a format must beat the background
+    full_length: int = 16         # characters from which min_gain alone decides
     max_states: int = 400
 
 
@@ -178,17 +182,33 @@ def pair_counts(body: bytes) -> np.ndarray:
     return np.bincount(at[:-1] * len(_LETTERS) + at[1:], minlength=len(_LETTERS) ** 2)
 
 
+def left_out(token: str) -> bool:
+    """Long tokens with a digit that are not digits alone: the background does not count them."""
+    return len(token) >= 16 and any(c.isdigit() for c in token) and not token.isdigit()
+
+
 class Background:
-    """Letter pairs of the whole corpus: what a token that is no credential looks like."""
+    """Letter pairs of the whole corpus: what a token that is no credential looks like. A letter with few pairs of its own
+    is taken to be followed by each letter as often as it occurs anywhere, not by all of them alike. A token is judged by
+    the pairs of all others: one that was counted itself is taken off, or rare ones would speak for themselves."""
 
     def __init__(self, counts: np.ndarray):
-        counts = counts.reshape(len(_LETTERS), -1) + 0.5
+        counts = counts.reshape(len(_LETTERS), -1).astype(float)
         counts[:, 0] = 0  # a token's inner letters only
-        self.log = np.log(counts / counts.sum(axis=1, keepdims=True).clip(1e-9), where=counts > 0, out=np.zeros(counts.shape))
+        common = counts.sum(axis=0) + 0.5
+        common[0] = 0
+        self.prior = 0.5 * len(common) * common / common.sum()
+        self.counts, self.total = counts.ravel(), counts.sum(axis=1)
 
     def score(self, token: str) -> float:
         at = _PLACE[np.frombuffer(b" " + token.encode(), np.uint8)]
-        return float(self.log[at[:-1], at[1:]].sum())
+        before, after = at[:-1], at[1:]
+        pair = before * len(_LETTERS) + after
+        counts, total = self.counts[pair], self.total[before]
+        if not left_out(token):
+            counts = np.maximum(counts - np.bincount(pair)[pair], 0)
+            total = np.maximum(total - np.bincount(before)[before], counts)
+        return float(np.log((counts + self.prior[after]) / (total + self.prior.sum())).sum())
 
 
 @dataclass
@@ -196,6 +216,15 @@ class Formats:
     automata: dict[str, Automaton]
     background: Background
     min_gain: float
+    full_length: int = 16
+    shortest: int = MIN_CHARS
+
+    def __post_init__(self):
+        self.token = re.compile(f"[A-Za-z0-9+/_=-]{{{self.shortest},}}")
+        self.known: dict[str, bool] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}}
 
     def gain(self, token: str) -> float:
         """Nats a character by which the best format beats the background."""
@@ -203,18 +232,26 @@ class Formats:
         return max((a.score(shape) for a in self.automata.values()), default=-math.inf) / len(token) - ordinary / len(token)
 
     def spans(self, body: str) -> list[tuple[int, int, str]]:
-        return [(m.start(), m.end(), "format") for m in CANDIDATE.finditer(body) if _mixed(m[0]) and self.gain(m[0]) >= self.min_gain]
-
-
-def _mixed(token: str) -> bool:
-    """A credential's shape: a digit, and not digits alone."""
-    return any(c.isdigit() for c in token) and not token.isdigit()
+        if not self.automata:
+            return []
+        return [(m.start(), m.end(), "format") for m in self.token.finditer(body) if self.fits(m[0])]
+
+    def fits(self, token: str) -> bool:
+        """Whether the gain is enough; answers for short tokens are kept, as words come again and again."""
+        found = self.known.get(token)
+        if found is None:
+            found = self.gain(token) * min(len(token), self.full_length) >= self.min_gain * self.full_length
+            if len(token) <= 32:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[token] = found
+        return found
 
 
 # --- over DataFrames --------------------------------------------------------------------------------------
 
 def _hits(column: pa.Array) -> list[bool]:
-    """Which texts may hold anything at all, by one linear-time pass of the Arrow matcher for each pattern."""
+    """Which texts may hold a match of a fixed pattern, by one linear-time pass of the Arrow matcher for each pattern."""
     found = pc.match_substring_regex(column, _HAS_WORD)
     return pc.or_(found, pc.match_substring_regex(column, "[A-Za-z0-9+/_=-]{16}")).to_pylist()
 
@@ -222,7 +259,7 @@ def _hits(column: pa.Array) -> list[bool]:
 def labelled(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> tuple[dict[str, list[str]], np.ndarray]:
     """What the formats are fitted to: for each kind the distinct credentials with the least hashes, at most
     ``cfg.max_labelled``, and the letter pairs of all
-    texts without their credential-shaped tokens, a table of fixed size."""
+    texts without their credentials and credential-shaped tokens, a table of fixed size."""
     schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
 
     def scan(batches):
@@ -232,12 +269,16 @@ def labelled(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> tuple[dict[
             values = set()
             for body, hit in zip(bodies, _hits(bodies)):
                 body = body.as_py()
-                # tokens shaped like credentials say nothing about ordinary text
-                plain = CANDIDATE.sub(lambda m: " " if _mixed(m[0]) else m[0], body) if hit else body
+                plain = body
+                if hit:  # credentials, and long tokens shaped like them, say nothing about ordinary text
+                    labelled = [(kind, ASSIGN.match(body, start)[2] if kind == "assign" else body[start:end], end)
+                                for start, end, kind in base_spans(body)]
+                    values.update((kind, value) for kind, value, _ in labelled)
+                    letters = list(body)
+                    for _, value, end in labelled:
+                        letters[end - len(value):end] = " " * len(value)
+                    plain = CANDIDATE.sub(lambda m: " " if left_out(m[0]) else m[0], "".join(letters))
                 pairs += pair_counts(plain.encode())
-                if hit:
-                    values.update((kind, ASSIGN.match(body, start)[2] if kind == "assign" else body[start:end])
-                                  for start, end, kind in base_spans(body))
             if values:
                 yield from text.in_batches(((k, v, 1) for k, v in values), schema)
         yield from text.in_batches((("pair", str(i), int(pairs[i])) for i in np.flatnonzero(pairs)), schema)
@@ -255,12 +296,13 @@ def labelled(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> tuple[dict[
 
 
 def fit(values: dict[str, list[str]], pairs: np.ndarray, cfg: SecretConfig = SecretConfig()) -> Formats:
-    automata = {}
+    automata, shortest = {}, []
     for kind, strings in values.items():
-        shapes = [symbols(s) for s in strings if len(s) >= 6]
+        shapes = [symbols(s) for s in strings if len(s) >= MIN_CHARS]
         if shapes:
+            shortest.append(min(map(len, shapes)))
             automata[kind] = Automaton(shapes, cfg.alpha, cfg.max_states).learn(shapes)
-    return Formats(automata, Background(pairs), cfg.min_gain)
+    return Formats(automata, Background(pairs), cfg.min_gain, cfg.full_length, min([cfg.full_length, *shortest]))
 
 
 def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
@@ -271,8 +313,8 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("spans", pa.list_(span))])
 
-    def spans_of(body: str) -> list[dict]:
-        found = base_spans(body)
+    def spans_of(body: str, hit: bool) -> list[dict]:
+        found = base_spans(body) if hit else []
         if formats is not None:
             taken = [(s, e) for s, e, _ in found]
             found += [x for x in formats.spans(body) if not any(s < x[1] and x[0] < e for s, e in taken)]
@@ -281,7 +323,7 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     def scan(batches):
         for batch in batches:
             bodies = batch.column(2)
-            spans = [spans_of(body.as_py()) if hit else [] for body, hit in zip(bodies, _hits(bodies))]
+            spans = [spans_of(body.as_py(), hit) for body, hit in zip(bodies, _hits(bodies))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, schema.field(2).type)], schema=schema)
 
     keyed = docs.select(text.doc_id().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),

@@ -71,3 +71,22 @@ def test_edge_rows(spark):
     assert [spans for _, spans in rows] == [[(0, 14, "assign")], [], [], [(200_000, 200_024, "hex")], [(200_000, 200_024, "hex")]]
     empty = docs.limit(0)
     assert secrets.scan_secrets(empty, secrets.fit(*secrets.labelled(empty))).count() == 0
+
+
+def test_short_and_letters_only_formats(spark):
+    rng = np.random.default_rng(5)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    code = lambda n, letters: "".join(rng.choice([*letters], n))
+    short = lambda: code(int(rng.integers(8, 16)), lower + upper + "0123456789")
+    prose = "The rain in the plain came again and then remained, while 1984 of 20 Antidisestablishmentarians were there on 2024-01-31. "
+    bare = [short() for _ in range(60)] + [code(20, lower + upper) for _ in range(60)]
+    rows = [(i, prose * 3 + f"token = {short()} and secret: {code(20, lower + upper)} so", None, None) for i in range(300)]
+    rows += [(1000 + i, prose + f"here is {c} alone", None, None) for i, c in enumerate(bare)]
+    rows += [(2000 + i, prose * 2, None, None) for i in range(50)]
+    docs = docs_of(spark, rows)
+    texts = {d: t for d, t, *_ in rows}
+    found = {r.doc: [texts[r.doc][s.start:s.end] for s in r.spans if s.kind == "format"]
+             for r in secrets.scan_secrets(docs, secrets.fit(*secrets.labelled(docs))).collect()}
+    hits = [found[1000 + i] == [c] for i, c in enumerate(bare)]
+    assert sum(hits[:60]) >= 54 and sum(hits[60:]) >= 57
+    assert not any(found[2000 + i] for i in range(50)) and not any(found[i] for i in range(300))
