@@ -41,7 +41,7 @@ class SecretConfig:
     alpha: float = 0.05           # of the compatibility test
     min_gain: float = 0.4         # nats a character by which a format must beat the background
     full_length: int = 16         # characters from which min_gain alone decides
-    max_states: int = 400
+    max_states: int | None = None  # no cap: the sample bounds the tree
 
 
 def base_spans(body: str) -> list[tuple[int, int, str]]:
@@ -67,7 +67,7 @@ def symbols(token: str) -> str:
 class Automaton:
     """States with counts: arrivals, ends, and for each symbol the next state and its count."""
 
-    def __init__(self, strings: list[str], alpha: float, max_states: int):
+    def __init__(self, strings: list[str], alpha: float, max_states: int | None = None):
         self.arrive, self.end, self.next = [0], [0], [{}]
         for s in strings:
             self._add(s)
@@ -123,9 +123,9 @@ class Automaton:
                 else:
                     self.next[into][c] = to
 
-    def _merge(self, max_states: int) -> None:
+    def _merge(self, max_states: int | None) -> None:
         """Red states are settled; each blue state, nearest and best supported first, joins a compatible red one or
-        becomes red. Beyond ``max_states`` it joins the red state it came from."""
+        becomes red. Beyond ``max_states``, if given, it joins the red state it came from, which blurs formats."""
         red = [0]
         while True:
             is_red = set(red)
@@ -134,7 +134,7 @@ class Automaton:
                 break
             to, state, c = max(blue, key=lambda b: (self.arrive[b[0]], b[2]))
             target = next((r for r in red if self._compatible(r, to)), None)
-            if target is None and len(red) >= max_states:
+            if target is None and max_states is not None and len(red) >= max_states:
                 target = state
             if target is None:
                 red.append(to)

@@ -90,3 +90,13 @@ def test_short_and_letters_only_formats(spark):
     hits = [found[1000 + i] == [c] for i, c in enumerate(bare)]
     assert sum(hits[:60]) >= 54 and sum(hits[60:]) >= 57
     assert not any(found[2000 + i] for i in range(50)) and not any(found[i] for i in range(300))
+
+
+def test_many_formats_stay_apart():
+    rng = np.random.default_rng(1)
+    shapes = ["".join(rng.choice([*"aA0-_"], 30)) for _ in range(40)]
+    strings = [s.replace("a", "q").replace("A", "Q").replace("0", "7") for s in shapes for _ in range(50)]
+    automaton = secrets.fit({"assign": strings}, np.zeros(len(secrets._LETTERS) ** 2, np.int64)).automata["assign"]
+    mixed = [a[:15] + b[15:] for a, b in zip(shapes, shapes[1:])]
+    assert len(automaton.next) > 400
+    assert np.mean([automaton.score(s) for s in shapes]) > np.mean([automaton.score(s) for s in mixed]) + 50
