@@ -6,7 +6,8 @@ item is verified with Myers' bit-parallel edit distance, so the answer is exact:
 within its budget is found. Both sides are lower-cased with white space runs as one space.
 
 Items go to the tasks in blocks of at most ``block`` items, one pass over the documents for each block, so what a task
-holds does not grow with the benchmark.
+holds does not grow with the benchmark. The blocks are made on the driver, which holds the whole benchmark until the
+job ends.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     """``(doc, tie, item_id, distance, budget, end)`` for each document and item it holds, the least distance and the
     end of that place in the normalised text.
 
-    Items shorter than ``min_chars``, with a null id or a null text cannot tell a leak and are left out; items that
-    repeat an id count as further texts of it. Null and empty documents hold nothing; repeated rows give repeated
+    Items shorter than ``min_chars`` or with a null text cannot tell a leak and are left out; items that repeat an id
+    count as further texts of it. Items with a null id are searched under it, unless one with an id has the same text. Null and empty documents hold nothing; repeated rows give repeated
     results."""
     schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()),
                         ("budget", pa.int64()), ("end", pa.int64())])
@@ -127,9 +128,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
 
 
 def blocks(benchmark: DataFrame, min_chars: int, block: int):
-    """The items in blocks of at most ``block``, one block on the driver at a time."""
+    """The items in blocks of at most ``block``."""
     held = []
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    named = rows.where("item_id IS NOT NULL")
+    rows = named.unionAll(rows.where("item_id IS NULL").join(named.select("text"), "text", "left_anti").select("item_id", "text"))
     for item_id, body in rows.orderBy("item_id", "text").toLocalIterator():
         item = normalise(body)
         if len(item) >= min_chars:

@@ -71,3 +71,11 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
     assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == 6
     assert decontaminate.without_leaks(docs.limit(0), benchmark).count() == 0
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "so A question that nobody asked before now it was"), (2, "clean")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "a question that nobody asked before now"), (7, "another one that no text here holds")],
+                                      "item_id long, text string")
+    assert [(r.doc, r.item_id, r.distance) for r in decontaminate.leaks(docs, benchmark).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()] == [2]
