@@ -3,8 +3,8 @@
 The lines of a text that hold a word are hashed. In every window of ``min_lines`` consecutive lines the least hash is
 selected (the leftmost of equals); the selected lines are the fingerprints. Two texts that share a run of at least
 ``min_lines`` lines select the same line in it, so a shared run always shares a fingerprint. Fingerprints found once
-are done with. Around the others the match is extended line by line to both sides, as far as a window selects the
-fingerprint: each such window carries a digest of its lines, and among windows of equal lines all but the earliest
+are done with. No positions are joined and no match is extended line by line: each window that selects one of the
+others carries a digest of its lines, windows are grouped by it, and among windows of equal lines all but the earliest
 go. Touching windows join, so a repeated run is deleted over its whole length.
 
 With ``min_words``, one line, or two lines in a row, of at least so many words are a window too. So every repeated run
