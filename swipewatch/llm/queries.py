@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import chat, decontaminate, lines, packing, quality, secrets, simhash, suffixes, superkmers, text, warc
+from swipewatch.llm import chat, decontaminate, exact, lines, packing, quality, secrets, simhash, suffixes, superkmers, text, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          text.shown_id("component_id").alias("component_id"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact.exact_groups(text.table(spark, sf_dir, "documents"))
+    return groups.select(text.shown_id(), text.shown_id("keep_doc").alias("keep_id"), "group_size", "kept",
+                         F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+EXACT_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+     grouped AS (SELECT *, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size FROM texts WINDOW same AS (PARTITION BY body))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM grouped
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_formatting": op2_chat_formatting,
@@ -129,5 +142,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
 }
-SQL = {"op1_warc": WARC_SQL, "op2_chat_formatting": CHAT_SQL, "op5_line_dedup": LINES_SQL}
+SQL = {"op1_warc": WARC_SQL, "op2_chat_formatting": CHAT_SQL, "op5_line_dedup": LINES_SQL,
+       "op12_exact_dedup": EXACT_SQL}

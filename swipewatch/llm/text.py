@@ -122,6 +122,20 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row per ``keys`` and the number ``n`` of rows behind it.
+
+    A group that holds at least one in ``most`` of all rows is joined by broadcast: there are ``most`` of them at the
+    utmost, and their rows stay where they are. No other group can be large, so the rest is an ordinary join.
+    ``groups`` should be a stored table, keys without nulls.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * F.lit(most) >= F.lit(total)
+    large = F.broadcast(groups.where(hot))
+    rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(groups.where(~hot), keys))
+
+
 # --- words as arrays --------------------------------------------------------------------------------
 
 def word_spans(body: bytes) -> tuple[np.ndarray, np.ndarray]:
