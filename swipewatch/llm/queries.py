@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipewatch.llm import chat, decontaminate, exact, lines, packing, quality, secrets, simhash, suffixes, superkmers, text, warc
+from swipewatch.llm import (
+    chat, codes, decontaminate, exact, lines, negatives, packing, quality, secrets, simhash, suffixes, superkmers, text, warc,
+)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +120,37 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          text.shown_id("component_id").alias("component_id"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    coded, books = codes.compress(rows, scale=4096, parts=8, entries=16, rounds=6)
+    return coded.withColumn("codebooks_sha256", F.lit(codes.books_digest(books)))
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    distance = "CAST(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     parts AS (SELECT vec_id, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x FROM kept, range(8) AS r(p)),
+     firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16),
+     book0 AS MATERIALIZED (SELECT p, e, x FROM parts JOIN firsts USING (vec_id))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+     near{i} AS MATERIALIZED (SELECT vec_id, p, min(struct_pack(d := {distance}, e := e)) AS best FROM parts v JOIN book{i} b USING (p) GROUP BY vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""
+     sums{i} AS (SELECT p, e, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n
+                 FROM (SELECT p, n.best.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM parts JOIN near{i} n USING (vec_id, p)) GROUP BY p, e, i),
+     means{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM sums{i} GROUP BY p, e),
+     book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN means{i} m ON b.p = m.p AND b.e = m.e)""")
+    return ",".join(steps) + f""",
+     coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (vec_id)
+"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(text.table(spark, sf_dir, "documents"))
     return groups.select(text.shown_id(), text.shown_id("keep_doc").alias("keep_id"), "group_size", "kept",
@@ -131,6 +164,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = text.table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low=50, high=95)
+
+
+NEGATIVES_SQL = """
+WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                       CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+     positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_formatting": op2_chat_formatting,
@@ -142,7 +200,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_vector_code_compression": op11_vector_code_compression,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 SQL = {"op1_warc": WARC_SQL, "op2_chat_formatting": CHAT_SQL, "op5_line_dedup": LINES_SQL,
-       "op12_exact_dedup": EXACT_SQL}
+       "op11_vector_code_compression": _codes_sql(), "op12_exact_dedup": EXACT_SQL, "op13_hard_negative_mining": NEGATIVES_SQL}
