@@ -16,7 +16,7 @@ from swipewatch.llm import (
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.page_records(text.table(spark, sf_dir, "pages"), least_revisit=100)
     archives = text.stored(warc.write_archives(records, text.new_path(spark, "warc")), "archives")
-    return warc.pages_of(warc.read_archives(archives.repartition("path")))
+    return warc.pages_of(warc.read_archives(archives))
 
 
 WARC_SQL = """

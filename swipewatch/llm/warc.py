@@ -1,17 +1,20 @@
 """WARC archives: a writer with one gzip member a record, and a reader that salvages damaged archives.
 
 The reader checks every record: the member inflates to its end with the right checksum, version line and headers
-parse, the block has its stated length and ends properly, a stated block digest holds. After a failed check it looks
-for the next gzip member (or, in plain archives, the next version line) that passes all checks, goes on from there,
-and logs the bytes between as a gap with the first check that failed.
-
-Archives are written and read by the tasks through ``pyarrow.fs``, one archive to a task, record by record, in the
-folder given, which all executors must share. A task's file gets a name of its own and counts only when the task's
-row has come back, so a repeated or lost task leaves no half archive in the list.
+parse, the block has its stated length and ends properly, a stated block digest (SHA-1, SHA-2 or MD5, in hex or base
+32) holds. After a failed check it looks for the next gzip member (or, in plain archives, the next version line) that
+passes all checks, goes on from there, and logs the bytes between as a gap with the first check that failed. A member
+that holds several records gives them all, or none if one of them fails.
+
+Archives are written and read by the tasks through ``pyarrow.fs``, record by record, in the folder given, which all
+executors must share. A writing task begins a new archive every ``ROLL_BYTES``, so archives stay small however much a
+task has to write, and reading deals them out one to a task. A file gets a name of its own and counts only when the
+task's rows have come back, so a repeated or lost task leaves no half archive in the list.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from swipewatch.llm import text
 
+ROLL_BYTES = 64 << 20
 _BLOCK = 1 << 18
+_DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
 _GZIP, _VERSION = b"\x1f\x8b\x08", re.compile(rb"(?:^|(?<=\n))WARC/\d+\.\d+\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -75,8 +80,29 @@ def _length(headers: dict[str, str]) -> int:
 def _digest(headers: dict[str, str], block: bytes) -> None:
     stated = next((v for k, v in headers.items() if k.lower() == "warc-block-digest"), "")
     kind, _, value = stated.partition(":")
-    if kind.lower() == "sha256" and hashlib.sha256(block).hexdigest() != value.lower():
-        raise Bad("block digest")
+    kind, value = kind.lower().replace("-", ""), value.strip().rstrip("=").lower()
+    if kind in _DIGESTS:
+        own = hashlib.new(kind, block).digest()
+        if value not in (own.hex(), base64.b32encode(own).decode().rstrip("=").lower()):
+            raise Bad("block digest")
+
+
+def _records(whole: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """All records of an inflated member, one after the other up to its end."""
+    out, at = [], 0
+    while at < len(whole) or not out:
+        stop = whole.find(b"\r\n\r\n", at)
+        if stop < 0:
+            raise Bad("header end")
+        headers = _headers(whole[at:stop])
+        first, n = stop + 4, _length(headers)
+        if whole[first + n:first + n + 4] != b"\r\n\r\n":
+            raise Bad("block length")
+        block = whole[first:first + n]
+        _digest(headers, block)
+        out.append((headers, block))
+        at = first + n + 4
+    return out
 
 
 class Archive:
@@ -95,11 +121,11 @@ class Archive:
     def zipped(self, name: str) -> bool:
         return self.read(0, 3) == _GZIP or (name.endswith(".gz") and not self.read(0, 5) == b"WARC/")
 
-    def record(self, start: int, zipped: bool) -> tuple[int, dict[str, str], bytes]:
-        """``(stop, headers, block)`` of the record at ``start``; Bad if any check fails."""
+    def records(self, start: int, zipped: bool) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
+        """Where the record or member at ``start`` stops, and ``(headers, block)`` of what it holds; Bad if any check fails."""
         return self._zipped(start) if zipped else self._plain(start)
 
-    def _zipped(self, start: int) -> tuple[int, dict[str, str], bytes]:
+    def _zipped(self, start: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
         if self.read(start, 3) != _GZIP:
             raise Bad("member header")
         expand, parts, at = zlib.decompressobj(31), [], start
@@ -114,27 +140,23 @@ class Archive:
                     raise Bad("version line")
         except zlib.error:
             raise Bad("member data") from None
-        whole = b"".join(parts)
-        head, gap, rest = whole.partition(b"\r\n\r\n")
-        if not gap:
-            raise Bad("header end")
-        headers = _headers(head)
-        n = _length(headers)
-        if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-            raise Bad("block length")
-        _digest(headers, rest[:n])
-        return at - len(expand.unused_data), headers, rest[:n]
+        return at - len(expand.unused_data), _records(b"".join(parts))
 
-    def _plain(self, start: int) -> tuple[int, dict[str, str], bytes]:
+    def _plain(self, start: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
         if self.read(start, 5) != b"WARC/":
             raise Bad("version line")
-        head, at = b"", start
-        while (stop := head.find(b"\r\n\r\n")) < 0:
-            more = self.read(at, 4096)
-            if not more or len(head) > 1 << 20:
+        head, at, line = bytearray(), start, 0
+        while (stop := head.find(b"\r\n\r\n", max(0, line - 4))) < 0:
+            # headers may be of any length, but the first line that is none ends the search for their end
+            while (end := head.find(b"\r\n", line)) >= 0:
+                if line and head.find(b":", line, end) < 0:
+                    raise Bad("header line")
+                line = end + 2
+            more = self.read(at, 4096 if at == start else _BLOCK)
+            if not more:
                 raise Bad("header end")
             head, at = head + more, at + len(more)
-        headers = _headers(head[:stop])
+        headers = _headers(bytes(head[:stop]))
         n, first = _length(headers), start + stop + 4
         if first + n + 4 > self.size:
             raise Bad("record cut short")
@@ -142,7 +164,7 @@ class Archive:
         if self.read(first + n, 4) != b"\r\n\r\n":
             raise Bad("block length")
         _digest(headers, block)
-        return first + n + 4, headers, block
+        return first + n + 4, [(headers, block)]
 
     def candidates(self, start: int, zipped: bool) -> Iterator[int]:
         """Offsets from ``start`` on where a record may begin."""
@@ -169,25 +191,26 @@ class Archive:
 
 def salvage(archive: Archive, name: str) -> Iterator[tuple]:
     """``(start, stop, headers, block, None)`` for every record that passes all checks and ``(start, stop, None, None,
-    reason)`` for every gap, in order and without overlap."""
+    reason)`` for every gap, in order and without overlap. Records of one member share its start and stop."""
     zipped, at = archive.zipped(name), 0
     while at < archive.size:
         try:
-            stop, headers, block = archive.record(at, zipped)
+            stop, found = archive.records(at, zipped)
         except Bad as bad:
-            reason, found = str(bad), None
+            reason, resumed = str(bad), None
             for place in archive.candidates(at + 1, zipped):
                 try:
-                    stop, headers, block = archive.record(place, zipped)
+                    stop, found = archive.records(place, zipped)
                 except Bad:
                     continue
-                found = place
+                resumed = place
                 break
-            yield at, archive.size if found is None else found, None, None, reason
-            if found is None:
+            yield at, archive.size if resumed is None else resumed, None, None, reason
+            if resumed is None:
                 return
-            at = found
-        yield at, stop, headers, block, None
+            at = resumed
+        for headers, block in found:
+            yield at, stop, headers, block, None
         at = stop
 
 
@@ -200,21 +223,25 @@ def _open(path: str):
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes ``records(headers map, block binary)`` in partition order; ``(path, size, n)`` for every archive."""
+    """Writes ``records(headers map, block binary)`` in partition order; ``(path, size, n)`` for every archive. The result
+    is to be stored before it is used, so that it is computed once."""
     schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("n", pa.int64())])
 
     def write(batches):
-        out = path = None
-        size = n = 0
+        out, path, size, n = None, "", 0, 0
         for headers, block in text.rows_of(batches):
             if out is None:
-                path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.gz"
+                path, size, n = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.gz", 0, 0
                 system, place = _open(path)
                 system.create_dir(place.rpartition("/")[0])
                 out = system.open_output_stream(place, compression=None)
             data = member(record_bytes(dict(headers), block or b""))
             out.write(data)
             size, n = size + len(data), n + 1
+            if size >= ROLL_BYTES:
+                out.close()
+                out = None
+                yield text.batch_of([(path, size, n)], schema)
         if out is not None:
             out.close()
             yield text.batch_of([(path, size, n)], schema)
@@ -224,7 +251,11 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records and gaps of the archives in column ``path``: headers and block are null in a gap, ``gap`` is null in a
-    record and else the check that failed first. Empty archives give no rows."""
+    record and else the check that failed first. Empty archives give no rows.
+
+    Every archive is a task of its own: Spark neither merges tasks whose number is given nor puts two paths in one
+    where there are as many tasks as paths. An archive from elsewhere is one task too, whatever its size, since where its
+    records begin is only known by reading it from the start."""
     schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
                         ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("gap", pa.string())])
 
@@ -238,7 +269,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
         yield from text.in_batches(rows(), schema, 50)
 
-    return archives.select("path").mapInArrow(read, RECORD)
+    return one_each(archives.select("path")).mapInArrow(read, RECORD)
+
+
+def one_each(paths: DataFrame) -> DataFrame:
+    """The rows of ``paths``, each in a partition of its own. Their places in the sorted list are the partition numbers."""
+    n = paths.count()
+    if n < 2:
+        return paths
+    return paths.repartitionByRange(n, "path")
 
 
 def page_records(pages: DataFrame, least_revisit: int = 100) -> DataFrame:

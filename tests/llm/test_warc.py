@@ -1,10 +1,13 @@
 """WARC: round trips against the SQL, and salvage of damaged archives."""
 
+import base64
+import hashlib
 import io
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swipewatch.llm import queries, text, warc
 
@@ -68,6 +71,50 @@ def test_version_lines_inside_a_block():
     assert names(read(data.replace(b"N: 0\r\n", b"N: 0\r\n\r\n"))) == [99, 1]
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+@pytest.mark.parametrize("kind", ["md5", "sha1", "SHA-256", "sha512"])
+@pytest.mark.parametrize("base32", [True, False])
+def test_block_digests(zipped, kind, base32):
+    block = b"some block " * 9
+    raw = hashlib.new(kind.replace("-", "").lower(), block).digest()
+    value = base64.b32encode(raw).decode() if base32 else raw.hex()
+    wrap = warc.member if zipped else bytes
+    record = lambda v, n: (f"WARC/1.0\r\nN: {n}\r\nWARC-Block-Digest: {kind}:{v}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    wrong = ("c" if value[0] in "bB" else "b") + value[1:]
+    data = wrap(record(value, 0)) + wrap(record(wrong, 1)) + wrap(record(value, 2))
+    found = read(data)
+    assert names(found) == [0, 2] and [gap for *_, gap in found if gap] == ["block digest"]
+    assert names(read(wrap(record("unknown", 0).replace(kind.encode(), b"crc99")))) == [0]  # a digest nobody knows is not checked
+
+
+def test_members_of_several_records():
+    parts = parts_of(False, 6)
+    data = warc.member(parts[0]) + warc.member(b"".join(parts[1:4])) + warc.member(parts[4] + parts[5])
+    found = read(data)
+    assert names(found) == list(range(6)) and len({s for s, *_ in found}) == 3
+    broken = warc.member(parts[0]) + warc.member(parts[1] + parts[2][:-3]) + warc.member(parts[3])
+    found = read(broken)
+    assert names(found) == [0, 3] and [gap for *_, gap in found if gap] == ["block length"]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_long_headers(zipped):
+    record = warc.record_bytes({"N": "0", "X": "y" * 3_000_000, "Z": "z"}, b"block")
+    wrap = warc.member if zipped else bytes
+    assert names(read(wrap(record) + wrap(warc.record_bytes({"N": "1"}, b"")))) == [0, 1]
+    plain = warc.record_bytes({"N": "0"}, b"x").replace(b"N: 0", b"no header") + warc.record_bytes({"N": "1"}, b"")
+    assert names(read(plain)) == [1] and read(plain)[0][4] == "header line"
+
+
+def test_every_archive_is_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL_BYTES", 1)
+    pages = spark.range(16).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 200) AS html").repartition(3)
+    archives = text.stored(warc.write_archives(warc.page_records(pages), f"file://{tmp_path}/w"), "archives")
+    assert archives.count() == 16 and archives.agg({"n": "max"}).first()[0] == 1
+    records = warc.read_archives(archives).withColumn("task", F.spark_partition_id())
+    assert records.select("task").distinct().count() == records.select("path").distinct().count() == 16
+
+
 def test_edge_rows(spark, tmp_path):
     long_text = "<p>" + "é" * 300_000
     pages = spark.createDataFrame(
