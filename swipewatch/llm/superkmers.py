@@ -245,7 +245,7 @@ def repeated_windows(docs: DataFrame, windows) -> DataFrame:
     smaller document or earlier in the same one. Runs may touch or overlap."""
     heavy, size = heavy_grams(docs, windows)
     n_buckets = text.buckets_for(3 * size, _BUCKET)
-    packed = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("runs", pa.binary())])
+    packed = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("runs", pa.binary())])
     width = windows.width
 
     def split(batches):
@@ -296,7 +296,7 @@ def repeated_windows(docs: DataFrame, windows) -> DataFrame:
             runs.append(windows.settle(np.array(places, np.int64)[:, :3], sizes, b"".join(keys)))
         return pa.Table.from_arrays([pa.array(c) for c in merge_runs(np.concatenate(runs)).T], schema=_RUN)
 
-    pieces = text.keyed(docs).mapInArrow(split, "bucket int, blob binary, runs binary")
+    pieces = text.keyed(docs).mapInArrow(split, "bucket long, blob binary, runs binary")
     return pieces.groupBy("bucket").applyInArrow(count, "doc long, tie long, start long, n long")
 
 

@@ -78,7 +78,7 @@ def input_bytes(frame: DataFrame) -> int:
 
 
 def buckets_for(size: float, each: float) -> int:
-    return max(8, min(2 ** 20, math.ceil(size / each)))
+    return max(8, math.ceil(size / each))
 
 
 # --- rows and keys ----------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """SimHash groups against a brute-force version, and the ball search on planted distances."""
 
+import time
+
 import numpy as np
 import pytest
 import xxhash
@@ -81,6 +83,67 @@ def test_links_find_every_pair(radius, whole):
     assert label == roots
 
 
+@pytest.mark.parametrize("spread", [0.3, 1.0])
+@pytest.mark.parametrize("most", [40, 1024])
+def test_large_meetings_link_every_pair(spread, most, monkeypatch):
+    """All meetings through the tables: near copies of one text, dense and sparse, next to texts of their own."""
+    monkeypatch.setattr(simhash, "_PAIRWISE", 40)
+    monkeypatch.setattr(simhash, "_MATRIX", most)
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2 ** 63, dtype=np.uint64)
+    bits = rng.random((700, 64)) < spread / 8
+    prints = np.unique(np.concatenate([
+        centre ^ np.bitwise_or.reduce(bits * (np.uint64(1) << np.arange(64, dtype=np.uint64)), axis=1), rng.integers(0, 2 ** 63, 50, dtype=np.uint64)]))
+    roots = brute_groups(prints.tolist())
+    place, links = {p: i for i, p in enumerate(prints.tolist())}, []
+    for keep, mark, flips in simhash.block_masks(3, 4):
+        a, b = simhash.meet((((prints & keep)[:, None] ^ flips) | mark).ravel(), np.repeat(prints, len(flips)), 3, keep)
+        links += [(place[x], place[y]) for x, y in zip(a.tolist(), b.tolist())]
+    assert brute_groups_of_links(len(prints), links) == roots and len(set(roots)) > 1
+
+
+def near_copies(n):
+    rng = np.random.default_rng(n)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 16, (n, 6)).astype(np.uint64), axis=1)
+    kept = np.uint64(1) << rng.integers(16, 64, n).astype(np.uint64)
+    return np.unique(np.uint64(2 ** 62 + 12345 * 2 ** 20) ^ flips ^ np.where(rng.random(n) < 0.2, np.uint64(0), kept))
+
+
+def test_large_meetings_take_linear_time():
+    """10,000 and about 100,000 near copies on one key: ten times the members, not a hundred times the time."""
+    keep = simhash.block_masks(3, 4)[0][0]
+    key = np.uint64(2 ** 62 + 12345 * 2 ** 20) & keep
+    taken = []
+    for n in (10_000, 140_000):
+        members = near_copies(n)
+        start = time.process_time()
+        a, _ = simhash._block_links(members, key, keep)
+        taken.append((time.process_time() - start) / len(members))
+    assert len(members) > 90_000 and len(a) > 90_000 and taken[1] < 5 * taken[0] and taken[1] * len(members) < 20
+
+
+def test_balls_make_every_variant_once():
+    members = near_copies(3000)
+    start = time.process_time()
+    simhash._ball_links(members, 3, 4)
+    few = time.process_time() - start
+    start = time.process_time()
+    simhash._ball_links(members, 3, 64)
+    assert time.process_time() - start < 3 * few
+
+
+def test_emission_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_TASK_BYTES", 1 << 20)
+    prints = spark.range(20_000).selectExpr("xxhash64(id) AS fp").coalesce(1)
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(fp#" in plan and ", 60)" in plan
+
+
+def test_names_of_the_caller_are_kept(spark):
+    docs = spark.createDataFrame([(2, "a b c d", 1, 2), (1, "a b c d", 3, 4)], "doc_id long, text string, __doc int, __tie int")
+    assert simhash.keep_one(docs).collect() == [(1, "a b c d", 3, 4)]
+
+
 def test_edge_rows(spark):
     long_text = "word other third " * 4000
     schema = "doc_id long, text string, fp string, doc string, node long"
