@@ -156,6 +156,6 @@ def _scan(items: list[tuple[int, str]], error_rate: float, schema: pa.Schema):
 def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item within its budget, columns as they came."""
     found = leaks(docs, benchmark, error_rate).select("doc", "tie").distinct()
-    marked = docs.withColumn("__doc", text.doc_id()).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    found = found.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"))
-    return marked.join(found, ["__doc", "__tie"], "left_anti").drop("__doc", "__tie")
+    marked = docs.select(F.struct("*").alias("row"), text.doc_id().alias("doc"),
+                         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
+    return marked.join(found, ["doc", "tie"], "left_anti").select("row.*")

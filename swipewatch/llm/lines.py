@@ -126,9 +126,10 @@ def text_of(row: str):
 
 
 def line_filter(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
-    """``docs`` with repeated runs of lines cut out of ``text`` and ``n_chars`` brought up to date. A document that
-    loses all its lines that hold a word goes. Columns as they came."""
+    """``docs`` with repeated runs of lines cut out of ``text`` and ``n_chars``, where there is one, brought up to date. A
+    document that loses all its lines that hold a word goes. Columns as they came."""
     found = drop_repeated_lines(docs, min_lines, min_words).where("n_removed = 0 OR n_removed < n_lines")
-    row = F.when(F.col("n_removed") > 0, F.col("row").withField("text", F.col("kept"))
-                 .withField("n_chars", F.length("kept").cast("long"))).otherwise(F.col("row"))
-    return found.select(row.alias("row")).select("row.*")
+    changed = F.col("row").withField("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return found.select(F.when(F.col("n_removed") > 0, changed).otherwise(F.col("row")).alias("row")).select("row.*")

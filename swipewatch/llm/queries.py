@@ -63,7 +63,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.drop_repeated_lines(text.table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=3)
+    found = lines.drop_repeated_lines(text.table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=3, min_words=50)
     return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -71,14 +71,17 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LINES_SQL = f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
      every AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM split),
-     numbered AS (SELECT doc_id, place, trim(line, {_SPACES}) AS line,
+     numbered AS (SELECT doc_id, place, trim(line, {_SPACES}) AS line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
                          row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
                   FROM every WHERE trim(line, {_SPACES}) <> ''),
-     windows AS (SELECT a.doc_id, a.i, a.line || chr(10) || b.line || chr(10) || c.line AS lines
-                 FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.i = a.i + 1
-                 JOIN numbered c ON a.doc_id = c.doc_id AND c.i = a.i + 2),
-     ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY lines ORDER BY doc_id, i) AS nth FROM windows),
-     gone AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM ranked WHERE nth > 1),
+     pairs AS (SELECT a.doc_id, a.i, a.words + b.words AS words, a.line || chr(10) || b.line AS lines
+               FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+     windows AS (SELECT doc_id, i, 1 AS n, line AS lines FROM numbered WHERE words >= 50
+                 UNION ALL SELECT doc_id, i, 2, lines FROM pairs WHERE words >= 50
+                 UNION ALL SELECT p.doc_id, p.i, 3, p.lines || chr(10) || c.line
+                 FROM pairs p JOIN numbered c ON p.doc_id = c.doc_id AND c.i = p.i + 2),
+     ranked AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY lines ORDER BY doc_id, i) AS nth FROM windows),
+     gone AS (SELECT DISTINCT doc_id, i + unnest(range(n)) AS i FROM ranked WHERE nth > 1),
      dropped AS (SELECT n.doc_id, n.place FROM numbered n SEMI JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i),
      kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.place) AS body
               FROM every e ANTI JOIN dropped d ON e.doc_id = d.doc_id AND e.place = d.place GROUP BY e.doc_id)

@@ -79,3 +79,10 @@ def test_items_without_an_id(spark):
                                       "item_id long, text string")
     assert [(r.doc, r.item_id, r.distance) for r in decontaminate.leaks(docs, benchmark).collect()] == [(1, None, 0)]
     assert [r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()] == [2]
+
+
+def test_names_of_the_caller_are_kept(spark):
+    item = "a passage of the benchmark that is long enough to tell"
+    docs = spark.createDataFrame([(1, item, 1, 2), (2, "something else", 3, 4)], "doc_id long, text string, __doc int, __tie int")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.without_leaks(docs, benchmark).collect() == [(2, "something else", 3, 4)]

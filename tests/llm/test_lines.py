@@ -27,7 +27,8 @@ def brute(texts, width):
 
 def test_query(spark):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect()
-    expected = {(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, (n, g, k) in brute([(r.doc_id, r.text) for r in rows], 3).items()}
+    expected = {(d, n, g, hashlib.sha256(k.encode()).hexdigest())
+                for d, (n, g, k) in brute_words([(r.doc_id, r.text or "") for r in rows], 3, 50).items()}
     found = [(r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in queries.op5_line_dedup(spark, FOLDER).collect()]
     assert set(found) == expected and len(found) == len(rows)
     connection = duckdb.connect()
@@ -59,6 +60,13 @@ def test_edge_rows(spark):
     assert lines.line_filter(docs.limit(0)).count() == 0
 
 
+def test_columns_of_the_caller(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd")], "doc_id long, text string")
+    assert sorted(lines.line_filter(docs).collect()) == [(1, "a\nb\nc"), (2, "d")]
+    docs = spark.createDataFrame([(1, "a\nb\nc", "7"), (2, "a\nb\nc\nd", "9")], "doc_id int, text string, n_chars string")
+    assert sorted(lines.line_filter(docs).collect()) == [(1, "a\nb\nc", "7"), (2, "d", "1")]
+
+
 def brute_words(texts, width, words):
     """As ``brute``, with every shorter run of so many words a window too."""
     first, out = {}, {}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from public_tokenizers import path
 from test_decontaminate import least_distance
-from test_lines import brute as brute_lines
+from test_lines import brute_words
 from test_packing import check
 from test_simhash import brute_groups, brute_print
 from tokenizers import Tokenizer
@@ -25,7 +25,7 @@ def test_run(spark):
         base, x = quality.statistics((r.text or "").encode())
         if base[0] >= 50 and 100 * base[4] <= 50 * base[0] and trees.score(np.array([x]))[0] >= 0.5:
             docs[r.doc_id] = r.text
-    cut = brute_lines(list(docs.items()), 3)
+    cut = brute_words([(d, t or "") for d, t in docs.items()], 3, 50)
     docs = {d: (cut[d][2] if cut[d][1] else t) for d, t in docs.items() if not cut[d][1] or cut[d][1] < cut[d][0]}
     roots = brute_groups([brute_print(t) for t in docs.values()])
     docs = {d: t for i, (d, t) in enumerate(docs.items()) if roots[i] == i}
