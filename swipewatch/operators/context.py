@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipewatch.config import DAY, MINUTE, SECOND, RuleConfig, SkewConfig
-from swipewatch.functions.columns import epoch_day, epoch_hour, is_physical, too_fast_sql
+from swipewatch.functions.columns import amount_units, epoch_day, epoch_hour, is_physical, too_fast_sql
 from swipewatch.operators import hot as hot_customers
 from swipewatch.schemas import CARD_NOT_PRESENT
 
@@ -67,11 +67,6 @@ def with_event_time(txns: DataFrame) -> DataFrame:
 
 # --- running totals per customer and currency ------------------------------------------------
 
-def amount_units(amount: Column) -> Column:
-    """The amount as a whole number of its smallest stored unit, so squares stay exact."""
-    return (amount * F.lit(10_000)).cast("decimal(19,0)")
-
-
 def moments(count: Column, total: Column, squares: Column, rough_squares: Column) -> tuple[Column, Column]:
     """Mean and population standard deviation from count, sum and sum of squared units.
 
@@ -93,12 +88,28 @@ def moments(count: Column, total: Column, squares: Column, rough_squares: Column
             F.when(deviation < 1e-9, 0.0).otherwise(deviation))
 
 
+WEIGHTS = ("raw", "hour_w", "day_w", "base_n", "base_s", "base_q", "base_r")
+
+
+def weighted(rows: DataFrame, since_us: int | None = None) -> DataFrame:
+    """Adds what each row counts for in the sums of later ones: an hour's spend, a day's spend, the baseline. Rows before
+    ``since_us`` count for the hour alone, because stored tables already hold them for the rest."""
+    units = amount_units(F.col("amount"))
+    inside = F.lit(True) if since_us is None else F.col("us") >= F.lit(since_us)
+    amount = F.col("amount").cast("decimal(29,4)")
+    counted = {"day_w": amount, "base_n": F.lit(1).cast("long"), "base_s": amount, "base_q": F.try_multiply(units, units),
+               "base_r": units.cast("double") * units.cast("double")}
+    return rows.withColumns({"raw": F.lit(True), "hour_w": amount, **{name: F.when(inside, value) for name, value in counted.items()}})
+
+
 def with_spend_and_baseline(rows: DataFrame, cfg: RuleConfig, mode: str = EXACT) -> DataFrame:
     """Adds hourly and daily spend and the amount baseline over earlier rows of the same currency.
 
     ``exact`` looks back 24 hours and ``baseline_days`` days to the microsecond,
     both edges included. ``bucketed`` looks back 24 clock hours and
     ``baseline_days`` calendar days including the running one.
+
+    Rows with ``WEIGHTS`` count for these; those that are not ``raw`` add to the sums and are gone afterwards.
     """
     per_currency = Window.partitionBy("customer_id", "currency")
     earlier = per_currency.orderBy("us", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,33 +125,44 @@ def with_spend_and_baseline(rows: DataFrame, cfg: RuleConfig, mode: str = EXACT)
         rows = rows.withColumns({"hour": epoch_hour(F.col("us")), "day": epoch_day(F.col("us"))})
     else:
         raise ValueError(f"mode must be '{EXACT}' or '{BUCKETED}', not {mode!r}")
-    units = amount_units(F.col("amount"))
-    square = F.try_multiply(units, units)
-    rough = units.cast("double") * units.cast("double")
-    one = F.lit(1)
+    weights = "raw" in rows.columns
+    if weights:
+        n, total, square, rough, by_hour, by_day = (F.col(c) for c in ("base_n", "base_s", "base_q", "base_r", "hour_w", "day_w"))
+    else:
+        units = amount_units(F.col("amount"))
+        n, total = F.lit(1), F.col("amount")
+        square, rough = F.try_multiply(units, units), units.cast("double") * units.cast("double")
+        by_hour = by_day = total
+    running = {"_n": F.sum(n), "_s": F.sum(total), "_q": F.try_sum(square), "_r": F.sum(rough)}
+    spend = {"hour": "_s", "day": "_s"}
+    if weights:
+        running |= {"_h": F.sum(by_hour), "_d": F.sum(by_day)}
+        spend = {"hour": "_h", "day": "_d"}
     # Windows of one call share a pass wherever they share an order.
-    totals = rows.withColumns({
-        "_n": F.count(one).over(earlier), "_s": F.sum("amount").over(earlier), "_q": F.try_sum(square).over(earlier),
-        "_r": F.sum(rough).over(earlier),
-    }).withColumns({
-        "_hour": F.sum("amount").over(before_hour), "_day": F.sum("amount").over(before_day),
-        "_n0": F.count(one).over(before_span), "_s0": F.sum("amount").over(before_span),
+    totals = rows.withColumns({name: value.over(earlier) for name, value in running.items()}).withColumns({
+        "_hour": F.sum(by_hour).over(before_hour), "_day": F.sum(by_day).over(before_day),
+        "_n0": F.sum(n).over(before_span), "_s0": F.sum(total).over(before_span),
         "_q0": F.try_sum(square).over(before_span), "_r0": F.sum(rough).over(before_span),
     })
+    if weights:
+        totals = totals.where("raw")
 
     def known(name):
         return F.coalesce(F.col(name), F.lit(0).cast("decimal(29,4)"))
 
+    def known_count(name):
+        return F.coalesce(F.col(name), F.lit(0).cast("long"))
+
     def known_squares(name, count):
         # NULL with rows behind it means the sum did not fit; moments then uses the doubles.
-        return F.when(F.col(count) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.col(name))
+        return F.when(known_count(count) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.col(name))
 
-    count = F.col("_n") - F.col("_n0")
+    count = known_count("_n") - known_count("_n0")
     mean, deviation = moments(count, known("_s") - known("_s0"),
                               F.try_subtract(known_squares("_q", "_n"), known_squares("_q0", "_n0")),
                               F.coalesce("_r", F.lit(0.0)) - F.coalesce("_r0", F.lit(0.0)))
-    return totals.select(*[c for c in rows.columns if c not in ("hour", "day")], *[
-        (known("_s") - known(f"_{span}")).cast("decimal(29,4)").alias(alias)
+    return totals.select(*[c for c in rows.columns if c not in ("hour", "day", *WEIGHTS)], *[
+        (known(spend[span]) - known(f"_{span}")).cast("decimal(29,4)").alias(alias)
         for span, alias in (("hour", "hourly_spend"), ("day", "daily_spend"))
     ], count.alias("baseline_count"), mean.alias("baseline_mean"), deviation.alias("baseline_stddev"))
 
@@ -257,21 +279,28 @@ def recent_transactions(rows: DataFrame, transaction_id: str, cfg: RuleConfig) -
 # --- the whole context ------------------------------------------------------------------------
 
 def build_context(txns: DataFrame, merchants: DataFrame, cfg: RuleConfig | None = None,
-                  mode: str = EXACT, skew: SkewConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+                  mode: str = EXACT, skew: SkewConfig | None = None, keep: tuple[str, ...] = (),
+                  carried: DataFrame | None = None, since_us: int | None = None) -> DataFrame:
     """Transactions with effective location, event time and every name in ``FEATURES``; columns in ``keep`` go along.
 
     ``transaction_id`` must be unique; see :func:`swipewatch.sources.ingest.dedupe`.
     One job first lists the hot customers, if any, in a table, so that the usual plan carries nothing for them.
     Both ways give the same rows.
+
+    ``carried`` stands for transactions before ``since_us`` that are not read: rows ``(customer_id, currency, us)`` with
+    some of ``WEIGHTS``, see :func:`swipewatch.operators.buckets.carried_rows`.
     """
     cfg, skew = cfg or RuleConfig(), skew or SkewConfig()
     slim = with_event_time(txns.select(*TRANSACTION_FIELDS, *keep))
     hot = hot_customers.find_hot(slim, skew)
     rows = effective_location(slim, merchants)
+    if carried is not None:
+        rows = weighted(rows, since_us).unionByName(carried.withColumn("raw", F.lit(False)), allowMissingColumns=True)
     if hot is None:
         return ordinary_context(rows, cfg, mode)
     # no broadcast hint: the list has no bound, so its size decides
     usual = ordinary_context(rows.join(hot.select("customer_id"), "customer_id", "left_anti"), cfg, mode)
+    rows = rows if carried is not None else weighted(rows)
     busy = hot_customers.hot_context(rows.join(hot, "customer_id"), cfg, bucketed=mode == BUCKETED)
     return usual.unionByName(busy)
 

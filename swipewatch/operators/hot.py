@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from swipewatch.config import DAY, HOUR, MINUTE, SECOND, RuleConfig, SkewConfig
-from swipewatch.functions.columns import blank, epoch_day, epoch_hour, floor_div, is_physical, too_fast_sql
+from swipewatch.functions.columns import amount_units, blank, epoch_day, epoch_hour, floor_div, is_physical
+from swipewatch.operators.travel import travel_conflicts
 from swipewatch.schemas import CARD_NOT_PRESENT
 from swipewatch.sources import tables
 
@@ -27,11 +28,11 @@ HOT = T.StructType([
     T.StructField("hot_last", T.LongType()),
     T.StructField("hot_origin", T.LongType()),
     T.StructField("block_us", T.LongType()),
-    T.StructField("slot_us", T.LongType()),
 ])
 ARRIVAL, DAY_OUT, SPAN_OUT = 0, -1, -2  # ticks; any positive tick is a departure after that many µs
 EVENTS_PER_ROW = 8
-SLOT_ROWS = 64
+HOT_FIELDS = ("hot_last", "hot_origin", "block_us")
+WEIGHTS = ("raw", "hour_w", "day_w", "base_n", "base_s", "base_q", "base_r")
 
 
 def find_hot(rows: DataFrame, skew: SkewConfig) -> DataFrame | None:
@@ -50,8 +51,7 @@ def find_hot(rows: DataFrame, skew: SkewConfig) -> DataFrame | None:
         .agg(F.sum("n").alias("n"), F.max("n").alias("peak"), F.min("first").alias("first"), F.max("last").alias("last"))
         .where((F.col("n") >= skew.hot_rows) | (F.col("peak") >= skew.dense_rows))
         .select("customer_id", F.col("last").alias("hot_last"), F.col("first").alias("hot_origin"),
-                F.greatest(floor_div(span, blocks), F.lit(1)).cast("long").alias("block_us"),
-                F.least(F.greatest(floor_div(span * SLOT_ROWS, F.col("n")), F.lit(1000)), F.lit(HOUR)).cast("long").alias("slot_us"))
+                F.greatest(floor_div(span, blocks), F.lit(1)).cast("long").alias("block_us"))
     )
     spark = rows.sparkSession
     path = tables.join_path(tables.shared_folder(spark), f"hot-customers-{uuid.uuid4().hex}")
@@ -76,16 +76,16 @@ def timeline(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
         span_out = us + F.lit(cfg.baseline_days * DAY + 1)
     moments = [(ARRIVAL, us), (DAY_OUT, day_out), (SPAN_OUT, span_out)] + [(span, us + F.lit(span)) for span in spans]
     ticks = F.array(*[F.struct(F.lit(tick).cast("long").alias("tick"), at.alias("at")) for tick, at in moments])
-    payload = F.struct(*[c for c in rows.columns if c not in ("hot_last", "hot_origin", "block_us", "slot_us")])
+    payload = F.struct(*[c for c in rows.columns if c not in HOT_FIELDS + WEIGHTS])
     return (
         rows.select(
-            "customer_id", "currency", "merchant_id", "amount", "transaction_id", "hot_origin", "block_us", "hot_last",
+            "customer_id", "currency", "merchant_id", "amount", "transaction_id", "hot_origin", "block_us", "hot_last", *WEIGHTS,
             is_physical(F.col("transaction_type")).alias("physical"),
             F.when(~blank(F.col("device_fingerprint")), F.col("device_fingerprint")).alias("device"),
             payload.alias("txn"), F.explode(ticks).alias("e"))
         .where(F.col("e.at") <= F.col("hot_last"))
         .select(
-            "customer_id", "currency", "merchant_id", "amount", "transaction_id", "physical", "device",
+            "customer_id", "currency", "merchant_id", "amount", "transaction_id", "physical", "device", *WEIGHTS,
             F.col("e.tick").alias("tick"), F.col("e.at").alias("at"),
             F.when(F.col("e.tick") == ARRIVAL, F.col("txn")).alias("txn"),
             (F.col("e.tick") == ARRIVAL).alias("arrives"),
@@ -114,22 +114,23 @@ def running_totals(events: DataFrame, keys: list[str], deltas: dict[str, Column]
 
 
 def change(span: int, amount=None) -> Column:
-    """+amount on arrival, −amount when leaving the window of ``span``, 0 otherwise."""
-    amount = F.lit(1).cast("long") if amount is None else amount
+    """+amount on arrival, −amount when leaving the window of ``span``, 0 otherwise. Without an amount rows are counted,
+    but for those that only carry sums."""
+    amount = F.col("raw").cast("long") if amount is None else amount
     return (F.when(F.col("tick") == ARRIVAL, amount).when(F.col("tick") == span, -amount)
             .otherwise(F.lit(0).cast("long")))
 
 
 def distinct_change(span: int, run: str) -> Column:
     """Change in the number of distinct values, given ``run``, the running count of one value."""
-    return (F.when((F.col("tick") == ARRIVAL) & (F.col(run) == 1), F.lit(1).cast("long"))
-            .when((F.col("tick") == span) & (F.col(run) == 0), F.lit(-1).cast("long"))
+    return (F.when(F.col("raw") & (F.col("tick") == ARRIVAL) & (F.col(run) == 1), F.lit(1).cast("long"))
+            .when(F.col("raw") & (F.col("tick") == span) & (F.col(run) == 0), F.lit(-1).cast("long"))
             .otherwise(F.lit(0).cast("long")))
 
 
 def hot_context(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
     """The features of ``context.FEATURES`` for rows joined with the hot list."""
-    from swipewatch.operators.context import FEATURES, amount_units, moments
+    from swipewatch.operators.context import FEATURES, moments
 
     m = MINUTE
     cloning, device_span = cfg.cloning_minutes * m, cfg.device_minutes * m
@@ -162,12 +163,12 @@ def hot_context(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
         "devices": F.when(with_device, distinct_change(device_span, "device_run")).otherwise(zero),
     })
     events = running_totals(events, ["customer_id", "currency"], {
-        "s_hour": change(cfg.hourly_minutes * m, amount), "s_day": change(DAY_OUT, amount),
-        "b_n": change(SPAN_OUT), "b_s": change(SPAN_OUT, amount), "b_q": change(SPAN_OUT, square),
-        "b_r": change(SPAN_OUT, rough),
+        "s_hour": change(cfg.hourly_minutes * m, F.col("hour_w")), "s_day": change(DAY_OUT, F.col("day_w")),
+        "b_n": change(SPAN_OUT, F.col("base_n")), "b_s": change(SPAN_OUT, F.col("base_s")),
+        "b_q": change(SPAN_OUT, F.col("base_q")), "b_r": change(SPAN_OUT, F.col("base_r")),
     })
     # Every total above includes the arriving transaction itself; take it out again.
-    now = events.where("arrives").select(
+    now = events.where("arrives AND raw").select(
         "txn.*", "clones", "dup_physical", "dup_remote", "device_run", "devices", "device",
         "n_recent", "n_velocity", "n_cross",
         (F.col("n_physical") - on.cast("long")).alias("physical_count"),
@@ -192,50 +193,7 @@ def hot_context(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
         "device_known": device_here & (F.col("device_run") > 1),
         "baseline_mean": mean, "baseline_stddev": deviation,
     })
-    conflicts = travel_conflicts(rows, cfg)
+    conflicts = travel_conflicts(rows.where("raw"), cfg.geographic_minutes, cfg.geographic_max_kmh)
     joined = now.join(conflicts, "transaction_id", "left")
-    originals = [c for c in rows.columns if c not in ("hot_last", "hot_origin", "block_us", "slot_us")]
+    originals = [c for c in rows.columns if c not in HOT_FIELDS + WEIGHTS]
     return joined.select(*originals, *FEATURES)
-
-
-def travel_conflicts(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """Newest earlier place each transaction cannot have been reached from.
-
-    An earlier visit matters from one minute after it until it leaves the
-    window, or until the next visit to the same place has itself aged one
-    minute: from then on that one is both nearer in time and newer. So a
-    transaction meets each distinct place about once, not each earlier row.
-    Visits are laid out over short time slots, narrow where the customer is
-    busy, which spreads even a single customer over many tasks.
-    """
-    window = cfg.geographic_minutes * MINUTE
-    located = rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).withColumn(
-        "block", floor_div(F.col("us") - F.col("hot_origin"), F.col("block_us")))
-    same_place = Window.partitionBy("customer_id", "block", "latitude", "longitude").orderBy("us", "transaction_id")
-    visits = (
-        located.withColumn("next_us", F.lead("us").over(same_place))
-        .select(
-            "customer_id", "slot_us", F.col("us").alias("seen_us"), F.col("transaction_id").alias("seen_id"),
-            F.col("latitude").alias("seen_lat"), F.col("longitude").alias("seen_lon"),
-            (F.col("us") + MINUTE).alias("from_us"),
-            F.least(F.col("us") + window, F.coalesce("next_us", F.col("us") + window) + MINUTE,
-                    F.col("hot_last") + 1).alias("to_us"))
-        .where(F.col("from_us") < F.col("to_us"))
-        .withColumn("slot", F.explode(F.sequence(floor_div(F.col("from_us"), F.col("slot_us")),
-                                                 floor_div(F.col("to_us") - 1, F.col("slot_us")))))
-        .drop("slot_us")
-    )
-    probes = rows.where(
-        F.col("effective_latitude").isNotNull() & F.col("effective_longitude").isNotNull()
-    ).select("customer_id", "transaction_id", "us", "effective_latitude", "effective_longitude",
-             floor_div(F.col("us"), F.col("slot_us")).alias("slot"))
-    return (
-        probes.join(visits, ["customer_id", "slot"])
-        .where((F.col("us") >= F.col("from_us")) & (F.col("us") < F.col("to_us"))
-               & F.expr(too_fast_sql("effective_latitude", "effective_longitude", "seen_lat", "seen_lon",
-                                     "us - seen_us", cfg.geographic_max_kmh)))
-        .groupBy("transaction_id")
-        .agg(F.max(F.struct("seen_us", "seen_id", "seen_lat", "seen_lon")).alias("newest"))
-        .select("transaction_id", F.col("newest.seen_lat").alias("conflict_latitude"),
-                F.col("newest.seen_lon").alias("conflict_longitude"))
-    )

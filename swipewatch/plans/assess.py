@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.config import RuleConfig, ScoringConfig, SkewConfig
-from swipewatch.operators.context import EXACT, TRANSACTION_FIELDS, build_context
+from swipewatch.config import DAY, HOUR, MINUTE, RuleConfig, ScoringConfig, SkewConfig
+from swipewatch.operators.buckets import carried_rows
+from swipewatch.operators.context import BUCKETED, EXACT, TRANSACTION_FIELDS, build_context
 from swipewatch.operators.rules import RULES, active_rules, evaluate_rules, severity_column
 from swipewatch.operators.scoring import probability_from_severities, score
 from swipewatch.schemas import UNRESOLVED
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ASSESSMENT_FIELDS = (
     "assessment_id", "transaction_id", "customer_id", "merchant_id", "amount", "currency", "category",
     "transaction_type", "timestamp", "risk_score", "fraud_probability", "disposition", "outcome",
@@ -34,14 +36,17 @@ def conclude(context: DataFrame, rule_cfg: RuleConfig | None = None, scoring_cfg
     return scored.select(*[own[name].alias(name) if name in own else name for name in ASSESSMENT_FIELDS])
 
 
-def relevant_history(txns: DataFrame, history: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """The part of ``history`` that ``txns`` can see. Rows of ``history`` that are in ``txns`` again are left out.
+def first_moment(txns: DataFrame) -> datetime | None:
+    """One number, looked up before a plan is made so that it prunes files and partitions."""
+    us = txns.agg(F.min(F.unix_micros("timestamp"))).first()[0]
+    return None if us is None else EPOCH + timedelta(microseconds=us)
 
-    The first new moment is one number, so it is looked up before the plan is made and prunes files and partitions."""
-    first = txns.agg(F.min("timestamp")).first()[0]
-    if first is None:
+
+def relevant_history(txns: DataFrame, history: DataFrame, since: datetime | None) -> DataFrame:
+    """The part of ``history`` from ``since`` on that ``txns`` can see. Rows of ``history`` that are in ``txns`` again are
+    left out."""
+    if since is None:
         return history.limit(0)
-    since = first - timedelta(days=cfg.baseline_days + 1)
     seen = history.where(F.col("timestamp") >= F.lit(since))
     if "event_date" in history.columns:
         seen = seen.where(F.col("event_date") >= F.lit(since.date() - timedelta(days=1)))
@@ -49,6 +54,11 @@ def relevant_history(txns: DataFrame, history: DataFrame, cfg: RuleConfig) -> Da
     return seen.join(txns.select("transaction_id"), "transaction_id", "left_anti")
 
 
+def new_and_known(txns: DataFrame, known: DataFrame) -> DataFrame:
+    return (txns.select(*TRANSACTION_FIELDS, F.lit(True).alias("is_new"))
+            .unionByName(known.select(*TRANSACTION_FIELDS, F.lit(False).alias("is_new"))))
+
+
 def assess(txns: DataFrame, merchants: DataFrame, rule_cfg: RuleConfig | None = None,
            scoring_cfg: ScoringConfig | None = None, mode: str = EXACT, skew: SkewConfig | None = None,
            rules=RULES, assessed_at: Column | None = None, history: DataFrame | None = None) -> DataFrame:
@@ -64,8 +74,31 @@ def assess(txns: DataFrame, merchants: DataFrame, rule_cfg: RuleConfig | None =
     if history is None:
         context = build_context(txns, merchants, rule_cfg, mode, skew)
     else:
-        known = relevant_history(txns, history, rule_cfg or RuleConfig())
-        names = [c for c in TRANSACTION_FIELDS]
-        both = txns.select(*names, F.lit(True).alias("is_new")).unionByName(known.select(*names, F.lit(False).alias("is_new")))
-        context = build_context(both, merchants, rule_cfg, mode, skew, keep=("is_new",)).where("is_new").drop("is_new")
+        first = first_moment(txns)
+        known = relevant_history(txns, history, first and first - timedelta(days=(rule_cfg or RuleConfig()).baseline_days + 1))
+        context = build_context(new_and_known(txns, known), merchants, rule_cfg, mode, skew, keep=("is_new",))
+        context = context.where("is_new").drop("is_new")
     return conclude(context, rule_cfg, scoring_cfg, rules, assessed_at)
+
+
+def assess_from_buckets(txns: DataFrame, merchants: DataFrame, history: DataFrame, hourly: DataFrame, daily: DataFrame,
+                        rule_cfg: RuleConfig | None = None, scoring_cfg: ScoringConfig | None = None,
+                        skew: SkewConfig | None = None, rules=RULES, assessed_at: Column | None = None) -> DataFrame:
+    """What ``assess`` gives in bucketed mode with ``history``, without reading that history but for its latest part.
+
+    ``hourly`` and ``daily`` are the stored tables of :mod:`swipewatch.operators.buckets` over all of ``history``. Sums up
+    to the day of the first new transaction come from them: 24 hours and ``baseline_days`` days of small rows. Raw
+    history is read from the start of that day on, or from one lookback before the first transaction if that is earlier.
+    New transactions may lie on any number of days. Empty tables stand for an empty history.
+    """
+    cfg = rule_cfg or RuleConfig()
+    first = first_moment(txns)
+    if first is None:
+        return assess(txns, merchants, cfg, scoring_cfg, BUCKETED, skew, rules, assessed_at)
+    us = (first - EPOCH) // timedelta(microseconds=1)
+    day = us // DAY
+    known = relevant_history(txns, history, EPOCH + timedelta(microseconds=min(day * DAY, us - cfg.lookback_minutes * MINUTE)))
+    carried = carried_rows(hourly, daily, day, us // HOUR - 23, cfg.baseline_days)
+    carried = carried.join(txns.select("customer_id").distinct(), "customer_id", "left_semi")
+    context = build_context(new_and_known(txns, known), merchants, cfg, BUCKETED, skew, keep=("is_new",), carried=carried, since_us=day * DAY)
+    return conclude(context.where("is_new").drop("is_new"), cfg, scoring_cfg, rules, assessed_at)

@@ -338,6 +338,7 @@ EXPECTED = {
     "assess_bucketed": ASSESS_BUCKETED,
     "assess_hot_customers": ASSESS,
     "assess_incremental": f"SELECT * FROM ({ASSESS}) WHERE assessed_at_us >= {SINCE_US}",
+    "assess_from_buckets": f"SELECT * FROM ({ASSESS_BUCKETED}) WHERE assessed_at_us >= {micros(CURSOR_AT)}",
     "assess_bucketed_hot_customers": ASSESS_BUCKETED,
     "stream_assess": ASSESS_BUCKETED,
     "stream_redelivery": ASSESS_BUCKETED,

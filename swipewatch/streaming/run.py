@@ -17,7 +17,6 @@ from swipewatch.schemas import TRANSACTION
 from swipewatch.sources import ingest, tables
 from swipewatch.streaming.activity import HISTORY, CustomerActivity
 
-KEEP_IDS_DAYS = 366
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,14 +31,20 @@ def checked(raw: DataFrame, max_future_skew: str | None = None) -> DataFrame:
     return events.withColumn("errors", F.when(ahead, F.concat("errors", problem)).otherwise(F.col("errors")))
 
 
-def with_history(valid: DataFrame, cfg: RuleConfig, keep_ids_days: int = KEEP_IDS_DAYS) -> DataFrame:
-    """Each accepted transaction, once, with its customer's history; partitioned and stateful by customer.
+def once(valid: DataFrame) -> DataFrame:
+    """Each id once, whatever its age and whichever customer it comes under: an index of all ids taken so far, dealt out by
+    the id's hash and looked up by key, before anything is dealt out by customer. It never forgets, as ids are unique for
+    good, and holds an id and nothing else of a transaction."""
+    return valid.select(*TRANSACTION.fieldNames()).dropDuplicates(["transaction_id"])
 
-    The state knows every id it took in the last ``keep_ids_days`` days of running time, and lets go of a customer's
-    buckets once they have not been written for longer than any window.
+
+def with_history(new: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """Each transaction with its customer's history; partitioned and stateful by customer.
+
+    The state lets go of a customer's buckets once they have not been written for longer than any window.
     """
-    return valid.select(*TRANSACTION.fieldNames()).groupBy("customer_id").transformWithState(
-        statefulProcessor=CustomerActivity(cfg, keep_ids_days), outputStructType=HISTORY, outputMode="Append",
+    return new.select(*TRANSACTION.fieldNames()).groupBy("customer_id").transformWithState(
+        statefulProcessor=CustomerActivity(cfg), outputStructType=HISTORY, outputMode="Append",
         timeMode="ProcessingTime")
 
 
@@ -54,7 +59,7 @@ def context_from_history(history: DataFrame, merchants: DataFrame, cfg: RuleConf
 def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folder: str, *,
                   rule_cfg: RuleConfig | None = None, scoring_cfg: ScoringConfig | None = None, rules=RULES,
                   assessed_at: Column | None = None, max_future_skew: str | None = None,
-                  keep_ids_days: int = KEEP_IDS_DAYS, trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None) -> StreamingQuery:
     """Scores a stream into ``folder``/assessments and ``folder``/routed/<verdict>.
 
     Every micro-batch owns one ``batch_id`` directory per output and overwrites
@@ -77,7 +82,7 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
             rows.write.mode("overwrite").parquet(tables.join_path(folder, "routed", verdict.lower(), f"batch_id={batch_id}"))
 
     accepted = checked(raw, max_future_skew).where(F.size("errors") == 0)
-    return (with_history(accepted, rule_cfg, keep_ids_days).writeStream.queryName("scoring")
+    return (with_history(once(accepted), rule_cfg).writeStream.queryName("scoring")
             .option("checkpointLocation", tables.join_path(folder, "checkpoints", "scoring"))
             .foreachBatch(sink).trigger(**(trigger or {"availableNow": True})).start())
 
