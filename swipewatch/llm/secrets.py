@@ -2,10 +2,12 @@
 
 Credentials found by the fixed patterns are labelled by their pattern. For each label a prefix tree of a bounded
 sample is built over coarse character classes, statistically compatible states are merged (Hoeffding bound), and the
-resulting probabilistic automaton gives any string a likelihood. Every token of every text, from 16 characters or the length
-of the shortest fitted credential on, is then scored against the automata and against a model of the corpus' ordinary words;
-tokens that some format explains better by ``min_gain`` per character are added as spans of kind ``format``. A token
-shorter than ``full_length`` must gain as much in all as one of that length, since there are more short ones by chance.
+resulting probabilistic automaton, with the letters the format uses, gives any string a likelihood. Every token of every
+text, from 16 characters or the length of the shortest fitted credential on, is then scored against the formats. It is
+added as a span of kind ``format`` if some format finds it typical: its likelihood lies where those of credentials lie that
+the format was not fitted to, neither below nor above, so that being rare is no evidence. Besides, the format must explain it
+better than a model of the corpus' ordinary words, by ``min_gain`` per character; a token shorter than ``full_length``
+must gain as much in all as one of that length, since there are more short ones by chance.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ class SecretConfig:
     min_gain: float = 0.4         # nats a character by which a format must beat the background
     full_length: int = 16         # characters from which min_gain alone decides
     max_states: int | None = None  # no cap: the sample bounds the tree
+    outside: float = 0.005        # share of held-out credentials on either side of what counts as typical
 
 
 def base_spans(body: str) -> list[tuple[int, int, str]]:
@@ -176,6 +179,11 @@ _PLACE = np.zeros(256, np.int64)
 _PLACE[[ord(c) for c in _LETTERS[1:]]] = np.arange(1, len(_LETTERS))
 
 
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]")
+_MARKED_HEX = re.compile(r"[0-9A-Fa-f]{1,12}([-_][0-9A-Fa-f]{1,12})+")
+_JOIN = math.log(0.1)  # of going on with another piece
+
+
 def pair_counts(body: bytes) -> np.ndarray:
     """How often each letter follows each other one, by their places in ``_LETTERS``."""
     at = _PLACE[np.frombuffer(b" " + body, np.uint8)]
@@ -201,6 +209,15 @@ class Background:
         self.counts, self.total = counts.ravel(), counts.sum(axis=1)
 
     def score(self, token: str) -> float:
+        """The best of three explanations: one word; words, numbers and marks put together, as names, slugs and dates are;
+        numbers in base 16 with marks between them, as many identifiers are."""
+        together = 0.0
+        for piece in _PIECE.findall(token):
+            together += _JOIN + (self.pairs(piece.lower()) if piece[0].isalpha() else len(piece) * math.log(0.1))
+        hexadecimal = len(token) * math.log(1 / 16) + _JOIN if _MARKED_HEX.fullmatch(token) else -math.inf
+        return max(self.pairs(token), together, hexadecimal)
+
+    def pairs(self, token: str) -> float:
         at = _PLACE[np.frombuffer(b" " + token.encode(), np.uint8)]
         before, after = at[:-1], at[1:]
         pair = before * len(_LETTERS) + after
@@ -211,9 +228,37 @@ class Background:
         return float(np.log((counts + self.prior[after]) / (total + self.prior.sum())).sum())
 
 
+class Format:
+    """An automaton over classes, the letters used of each class, and where likelihoods of held-out strings lie."""
+
+    def __init__(self, strings: list[str], cfg: SecretConfig, held_out: bool = True):
+        shapes = [symbols(s) for s in strings]
+        self.automaton = Automaton(shapes, cfg.alpha, cfg.max_states).learn(shapes)
+        counts, classes = Counter(c for s in strings for c in s), Counter(c for s in shapes for c in s)
+        # against each letter of a class being as frequent as the others, which is what the automaton takes
+        self.letters = {c: math.log((counts[c] + 0.1) / (classes[k] + 0.1 * _SIZE[k]) * _SIZE[k]) for c, k in _CLASS.items()}
+        if held_out:
+            halves = (strings[::2], strings[1::2]) if len(strings) >= 8 else (strings, strings)
+            scored = [(other.likelihood(s), len(s)) for other, part in
+                      zip((Format(half, cfg, False) for half in halves), halves[::-1]) for s in part]
+            self.mean = sum(score for score, _ in scored) / sum(n for _, n in scored)
+            places = [self._place(score, n) for score, n in scored]
+            self.low, self.high = np.quantile(places, [cfg.outside, 1 - cfg.outside]).tolist()
+
+    def _place(self, score: float, n: int) -> float:
+        """How far the likelihood is off the mean, in units in which strings of different lengths spread alike."""
+        return (score - self.mean * n) / math.sqrt(n)
+
+    def likelihood(self, token: str) -> float:
+        return self.automaton.score(symbols(token)) + sum(self.letters.get(c, 0.0) for c in token)
+
+    def typical(self, token: str, score: float) -> bool:
+        return self.low <= self._place(score, len(token)) <= self.high
+
+
 @dataclass
 class Formats:
-    automata: dict[str, Automaton]
+    formats: dict[str, Format]
     background: Background
     min_gain: float
     full_length: int = 16
@@ -226,13 +271,19 @@ class Formats:
     def __getstate__(self):
         return {**self.__dict__, "known": {}}
 
+    @property
+    def automata(self) -> dict[str, Automaton]:
+        return {kind: format.automaton for kind, format in self.formats.items()}
+
     def gain(self, token: str) -> float:
-        """Nats a character by which the best format beats the background."""
-        shape, ordinary = symbols(token), self.background.score(token)
-        return max((a.score(shape) for a in self.automata.values()), default=-math.inf) / len(token) - ordinary / len(token)
+        """Nats a character by which the best format that finds the token typical beats the background; minus infinity if
+        none does."""
+        scores = [(f, f.likelihood(token)) for f in self.formats.values()]
+        best = max((score for f, score in scores if f.typical(token, score)), default=-math.inf)
+        return (best - self.background.score(token)) / len(token) if best > -math.inf else best
 
     def spans(self, body: str) -> list[tuple[int, int, str]]:
-        if not self.automata:
+        if not self.formats:
             return []
         return [(m.start(), m.end(), "format") for m in self.token.finditer(body) if self.fits(m[0])]
 
@@ -296,13 +347,13 @@ def labelled(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> tuple[dict[
 
 
 def fit(values: dict[str, list[str]], pairs: np.ndarray, cfg: SecretConfig = SecretConfig()) -> Formats:
-    automata, shortest = {}, []
+    formats, shortest = {}, []
     for kind, strings in values.items():
-        shapes = [symbols(s) for s in strings if len(s) >= MIN_CHARS]
-        if shapes:
-            shortest.append(min(map(len, shapes)))
-            automata[kind] = Automaton(shapes, cfg.alpha, cfg.max_states).learn(shapes)
-    return Formats(automata, Background(pairs), cfg.min_gain, cfg.full_length, min([cfg.full_length, *shortest]))
+        strings = [s for s in strings if len(s) >= MIN_CHARS]
+        if strings:
+            shortest.append(min(map(len, strings)))
+            formats[kind] = Format(strings, cfg)
+    return Formats(formats, Background(pairs), cfg.min_gain, cfg.full_length, min([cfg.full_length, *shortest]))
 
 
 def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from swipewatch.llm import queries, secrets
 
@@ -100,3 +101,42 @@ def test_many_formats_stay_apart():
     mixed = [a[:15] + b[15:] for a, b in zip(shapes, shapes[1:])]
     assert len(automaton.next) > 400
     assert np.mean([automaton.score(s) for s in shapes]) > np.mean([automaton.score(s) for s in mixed]) + 50
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+PLANTED = {
+    "hex of 40": [(40, "0123456789abcdef")], "upper case": [(32, UPPER + "23456789")], "letters and digits of 24": [(24, LOWER + UPPER + DIGITS)],
+    "base 64": [(43, LOWER + UPPER + DIGITS + "-_")], "short and letters": [*((n, LOWER + UPPER + DIGITS) for n in range(8, 16)), (20, LOWER + UPPER)],
+}
+
+
+def ordinary_tokens(rng, words):
+    pick = lambda k: [words[int(i)] for i in rng.integers(0, len(words), k)]
+    number = lambda a, b: int(rng.integers(a, b))
+    return {
+        "uuid": [f"{number(0, 2 ** 32):08x}-{number(0, 2 ** 16):04x}-4{number(0, 2 ** 12):03x}-a{number(0, 2 ** 12):03x}-{number(0, 2 ** 48):012x}"
+                 for _ in range(300)],
+        "identifier": ["_".join(pick(3)) + f"_v{number(1, 9)}" for _ in range(300)], "constant": ["_".join(pick(3)).upper() for _ in range(300)],
+        "name": ["".join(w.capitalize() for w in pick(3)) + str(number(1, 99)) for _ in range(300)], "slug": ["-".join(pick(4)) for _ in range(300)],
+        "dated slug": ["-".join(pick(3)) + f"-{number(2000, 2030)}" for _ in range(300)],
+        "time": [f"20{number(10, 30)}-{number(10, 13)}-{number(10, 29)}T{number(10, 24)}-{number(10, 60)}" for _ in range(300)],
+        "number": [str(number(10 ** 15, 10 ** 16)) for _ in range(300)], "long word": ["".join(pick(3)) for _ in range(300)],
+    }
+
+
+@pytest.mark.parametrize("name", PLANTED)
+def test_formats_decide(spark, name):
+    """Held-out credentials of the format fitted are found, ordinary tokens of any kind are not."""
+    rng = np.random.default_rng(len(name))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = [w for t in texts for w in re.findall("[a-z]{3,9}", t)][:20_000]
+    pairs = sum(secrets.pair_counts(t.encode()) for t in texts)
+    code = lambda n, letters: "".join(rng.choice([*letters], n))
+    make = lambda k: [code(*PLANTED[name][int(rng.integers(len(PLANTED[name])))]) for _ in range(k)]
+    formats = secrets.fit({"assign": make(400)}, pairs)
+    assert np.mean([formats.fits(t) for t in make(400)]) >= 0.9
+    for kind, tokens in ordinary_tokens(rng, words).items():
+        assert np.mean([formats.fits(t) for t in tokens]) < 0.01, kind
+    named = ["model_v2_final_2023", "__init_subclass__", "http//www-example-com/index", "RFC2822-compliant-date", "2024-01-31T12-00"]
+    assert not any(formats.fits(t) for t in named)
+    assert "hex" not in name or not formats.fits("qwertyuiopasdfgh")
