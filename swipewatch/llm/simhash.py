@@ -33,7 +33,8 @@ _AT_ONCE = 1 << 14  # hashes unpacked to bits at a time
 _PAIRWISE = 64      # meetings of up to so many fingerprints are compared directly
 _MATRIX = 1024       # and up to so many all at once
 _PER_BUCKET = 600_000
-_TASK_BYTES = 64 << 20  # of keys and fingerprints that a task emits or reads
+_TASK_BYTES = 16 << 20  # of keys and fingerprints that a task emits or reads
+_TASKS = 100_000        # as many as a scheduler should be given; beyond, tasks hold more buckets, not larger ones
 _SLICE = 4_000_000
 
 
@@ -232,7 +233,7 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 4, n: int | None = N
     n = prints.count() if n is None else n
     n_buckets = text.buckets_for(n * emitted / len(masks), _PER_BUCKET)
     # keys are 196 times the fingerprints, so neither the scan's tasks nor the usual number of readers would do
-    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, math.ceil(n * emitted * 16 / _TASK_BYTES))
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, min(_TASKS, math.ceil(n * emitted * 16 / _TASK_BYTES)))
     packed = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("prints", pa.binary())])
     at_once = max(1, 500_000 // emitted)
 
