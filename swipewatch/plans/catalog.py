@@ -20,8 +20,11 @@ from swipewatch.functions.cursor import cursor_text
 from swipewatch.operators import buckets, context, feeds, outcomes, reports, rules, scoring
 from swipewatch.plans import assess as plans
 from swipewatch.plans.assess import assess
+from swipewatch import schemas
 from swipewatch.schemas import CLEARED, FLAGGED, PENDING_REVIEW
 from swipewatch.sources import demo, ingest, tables
+from swipewatch.streaming import metrics
+from swipewatch.streaming.commits import read_output
 
 # Parameters of the parametrised queries.
 CUSTOMER, MERCHANT, RULE = "CUST-000007", "MERCH-01", "MULTI_CHANNEL_ANOMALY"
@@ -548,15 +551,16 @@ def assess_from_buckets(spark, d):
 
 
 def stream_redelivery(spark, d):
-    """The stream fed every transaction, and then, days later, all of the first half once more."""
+    """The stream fed every transaction, and then, days later, all of the first half once more, under other customers."""
     from swipewatch.streaming.run import replay
     key = (spark.sparkContext.applicationId, d, "redelivery")
     txns = transactions(spark, d)
     if key not in _stored:
         folder = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "redelivery")
         _stored[key] = replay(spark, txns, demo.merchants(spark), folder, slice_days=15,
-                              again=txns.where(F.col("timestamp") < F.lit(SINCE)))
-    return verdicts(spark.read.parquet(_stored[key]))
+                              again=txns.where(F.col("timestamp") < F.lit(SINCE))
+                              .withColumn("customer_id", F.concat("customer_id", F.lit("-other"))))
+    return verdicts(read_output(spark, _stored[key], "assessments"))
 
 
 def stream_assess(spark, d):
@@ -566,7 +570,29 @@ def stream_assess(spark, d):
     if key not in _stored:
         folder = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "stream")
         _stored[key] = replay(spark, txns, demo.merchants(spark), folder, slice_days=15)
-    return verdicts(spark.read.parquet(_stored[key]))
+    return verdicts(read_output(spark, _stored[key], "assessments"))
+
+
+def stream_metrics(spark, d):
+    """What a stream counted while it took all events as sent, broken ones among them, and then the second deliveries."""
+    from swipewatch.streaming import run
+    key = (spark.sparkContext.applicationId, d, "metrics")
+    if key not in _stored:
+        folder = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "metrics")
+        events, counters, inbox = raw(spark, d), metrics.StreamCounters(), tables.join_path(folder, "inbox")
+        spark.streams.addListener(counters)
+        try:
+            for delivery in (1, 2):
+                events.where(F.col("delivery") == delivery).select(*schemas.RAW_EVENT.fieldNames()).write.mode("append").parquet(inbox)
+                run.start_scoring(tables.stream_transactions(spark, inbox), lambda: demo.merchants(spark), folder,
+                                  assessed_at=F.col("timestamp")).awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        finally:
+            spark.streams.removeListener(counters)
+        counters.rows(spark).write.parquet(tables.join_path(folder, "counters"))
+        _stored[key] = folder
+    found = metrics.merged(read_output(spark, _stored[key], "metrics").where("metric <> 'latency_class'"))
+    return found.unionByName(spark.read.parquet(tables.join_path(_stored[key], "counters")))
 
 
 RULE_KEYS = {
@@ -675,4 +701,5 @@ QUERIES = {
     "outcome_counts": outcome_counts,
     "stream_assess": stream_assess,
     "stream_redelivery": stream_redelivery,
+    "stream_metrics": stream_metrics,
 }

@@ -216,6 +216,16 @@ def with_raw(select: str) -> str:
     return f"WITH {TX},\n{RAW}\n{select}"
 
 
+def with_accepted_verdicts(select: str) -> str:
+    """Verdicts as a stream reaches them that never saw the rejected events."""
+    sent = TX.replace("\ntx AS (", "\nsent AS (")
+    raw = RAW.replace("SELECT tx.transaction_id", "SELECT sent.transaction_id").replace("FROM tx,", "FROM sent,")
+    tx = """
+tx AS (SELECT event_id, k, transaction_id, customer_id, merchant_id, amount, currency, category, latitude, longitude,
+         device_fingerprint, timestamp_us AS us, transaction_type FROM firsts)"""
+    return f"WITH {sent},\n{raw},{tx},\n{DIM},{LOCATED},{RECENT},{history(bucketed=True)},{CONTEXT},{verdict_ctes()}\n{select}"
+
+
 OUTCOMES = """
 requests AS (
   SELECT event_id || '-1' AS event_id, event_id AS n, us + 3600000000 AS recorded_at_us,
@@ -341,6 +351,12 @@ EXPECTED = {
     "assess_from_buckets": f"SELECT * FROM ({ASSESS_BUCKETED}) WHERE assessed_at_us >= {micros(CURSOR_AT)}",
     "assess_bucketed_hot_customers": ASSESS_BUCKETED,
     "stream_assess": ASSESS_BUCKETED,
+    "stream_metrics": with_accepted_verdicts("""
+SELECT 'arrived' AS metric, '' AS tag, count(*) AS value FROM raw
+UNION ALL SELECT 'dead_letters', '', count(*) FROM checked WHERE n_errors > 0
+UNION ALL SELECT 'duplicate_deliveries', '', count(*) FROM checked WHERE n_errors = 0 AND delivery > 1
+UNION ALL SELECT 'assessments', disposition, count(*) FROM a GROUP BY disposition
+UNION ALL SELECT 'violations', rule_name, count(*) FROM violations GROUP BY rule_name"""),
     "stream_redelivery": ASSESS_BUCKETED,
     "scan_transactions": with_tx(f"SELECT {TX_COLUMNS} FROM tx"),
     "normalise_events": with_raw("""SELECT transaction_id, customer_id, merchant_id, amount::DOUBLE AS amount, currency,

@@ -16,6 +16,8 @@ from swipewatch.plans.assess import conclude
 from swipewatch.schemas import TRANSACTION
 from swipewatch.sources import ingest, tables
 from swipewatch.streaming.activity import HISTORY, CustomerActivity
+from swipewatch.streaming.commits import write_batch
+from swipewatch.streaming.metrics import batch_metrics
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,11 +62,11 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
                   rule_cfg: RuleConfig | None = None, scoring_cfg: ScoringConfig | None = None, rules=RULES,
                   assessed_at: Column | None = None, max_future_skew: str | None = None,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Scores a stream into ``folder``/assessments and ``folder``/routed/<verdict>.
+    """Scores a stream into ``folder``/assessments, ``folder``/routed/<verdict> and ``folder``/metrics.
 
-    Every micro-batch owns one ``batch_id`` directory per output and overwrites
-    it, so a batch repeated after a failure leaves the same rows. Merchants are
-    loaded anew for every micro-batch.
+    The outputs of a micro-batch become visible together, once; read them with :func:`swipewatch.streaming.commits.read_output`.
+    Merchants are loaded anew for every micro-batch. Arrivals, rejects and repeats are counted on the way, for
+    :class:`swipewatch.streaming.metrics.StreamCounters`.
     """
     rule_cfg, scoring_cfg = rule_cfg or RuleConfig(), scoring_cfg or ScoringConfig()
     raw.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -73,16 +75,20 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
     at = F.current_timestamp() if assessed_at is None else assessed_at
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        context = context_from_history(batch, load_merchants(), rule_cfg)
-        target = tables.join_path(folder, "assessments", f"batch_id={batch_id}")
-        conclude(context, rule_cfg, scoring_cfg, rules, at).write.mode("overwrite").parquet(target)
-        # The routed outputs come from what was just stored, so they cannot disagree with it.
-        written = batch.sparkSession.read.parquet(target)
-        for verdict, rows in tables.route(written).items():
-            rows.write.mode("overwrite").parquet(tables.join_path(folder, "routed", verdict.lower(), f"batch_id={batch_id}"))
-
-    accepted = checked(raw, max_future_skew).where(F.size("errors") == 0)
-    return (with_history(once(accepted), rule_cfg).writeStream.queryName("scoring")
+        def outputs(store):
+            context = context_from_history(batch, load_merchants(), rule_cfg)
+            # The other outputs come from what was just stored, so they cannot disagree with it.
+            written = store("assessments", conclude(context, rule_cfg, scoring_cfg, rules, at))
+            for verdict, rows in tables.route(written).items():
+                store(tables.join_path("routed", verdict.lower()), rows)
+            store("metrics", batch_metrics(written))
+
+        write_batch(batch, batch_id, folder, outputs)
+
+    events = checked(raw, max_future_skew).observe(
+        "arrivals", F.count(F.lit(1)).alias("arrived"), F.count_if(F.size("errors") > 0).alias("rejected"))
+    new = once(events.where(F.size("errors") == 0)).observe("taken", F.count(F.lit(1)).alias("taken"))
+    return (with_history(new, rule_cfg).writeStream.queryName("scoring")
             .option("checkpointLocation", tables.join_path(folder, "checkpoints", "scoring"))
             .foreachBatch(sink).trigger(**(trigger or {"availableNow": True})).start())
 
@@ -110,7 +116,7 @@ def as_raw_events(txns: DataFrame) -> DataFrame:
 def replay(spark: SparkSession, txns: DataFrame, merchants: DataFrame, folder: str,
            rule_cfg: RuleConfig | None = None, slice_days: int = 7, again: DataFrame | None = None) -> str:
     """Feeds stored transactions through the stream, one time slice after the other; returns the
-    folder of the assessments. Between slices the stream stops and restarts from its checkpoint.
+    stream's folder. Between slices the stream stops and restarts from its checkpoint.
     ``again`` is delivered once more at the end."""
     inbox = tables.join_path(folder, "inbox")
     day = F.unix_date(F.to_date("timestamp"))
@@ -120,4 +126,4 @@ def replay(spark: SparkSession, txns: DataFrame, merchants: DataFrame, folder: s
         as_raw_events(part).write.mode("append").parquet(inbox)
         start_scoring(tables.stream_transactions(spark, inbox), lambda: merchants, folder, rule_cfg=rule_cfg,
                       assessed_at=F.col("timestamp")).awaitTermination()
-    return tables.join_path(folder, "assessments")
+    return folder

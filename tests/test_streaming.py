@@ -1,4 +1,6 @@
 import json
+import math
+import random
 from datetime import timedelta
 
 import pytest
@@ -8,6 +10,8 @@ from helpers import BUSINESS, CAPE_TOWN, LONDON, ago, frame, merchants, txn
 from swipewatch.operators.context import BUCKETED
 from swipewatch.plans.assess import assess
 from swipewatch.sources import ingest, tables
+from swipewatch.streaming import commits, metrics
+from swipewatch.streaming.activity import Totals
 from swipewatch.streaming.metrics import BatchTimes
 from swipewatch.streaming.run import as_raw_events, start_quarantine, start_scoring
 from test_replay import history
@@ -125,3 +129,71 @@ def test_batch_times(spark, tmp_path):
         spark.streams.removeListener(listener)
     row = listener.percentiles(spark).first()
     assert row["query"] == "scoring" and row["input_rows"] == 1 and row["p50_millis"] > 0
+
+
+def test_outputs_of_a_batch_appear_together(spark, tmp_path, monkeypatch):
+    """A stop after the last write and before the commit: nothing of the batch shows, and the next run brings it once."""
+    folder = str(tmp_path)
+    feed(spark, folder, [txn(BUSINESS, "1")])
+    assert commits.read_output(spark, folder, "assessments").count() == 1
+
+    def stop(*args):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(commits, "commit", stop)
+        with pytest.raises(Exception, match="stopped"):
+            feed(spark, folder, [txn(BUSINESS + timedelta(minutes=5), "2")])
+    count = lambda name: commits.read_output(spark, folder, name).count()
+    assert spark.read.parquet(f"{folder}/assessments").count() == 2  # written, but not part of any commit
+    assert count("assessments") == 1 and sum(count(f"routed/{v}") for v in ("flagged", "pending_review", "cleared")) == 1
+    feed(spark, folder, [txn(BUSINESS + timedelta(minutes=9), "3")])
+    assert count("assessments") == 3 and sum(count(f"routed/{v}") for v in ("flagged", "pending_review", "cleared")) == 3
+    counted = metrics.merged(commits.read_output(spark, folder, "metrics")).where("metric = 'assessments'")
+    assert counted.agg(F.sum("value")).first()[0] == 3
+
+
+def test_an_id_counts_once_over_customers_and_within_a_batch(spark, tmp_path):
+    counters = metrics.StreamCounters()
+    spark.streams.addListener(counters)
+    try:
+        one, two = txn(BUSINESS, customer="A"), txn(BUSINESS + timedelta(minutes=1), customer="A")
+        feed(spark, str(tmp_path), [one, one, two])
+        got = feed(spark, str(tmp_path), [(one[0], "B", *one[2:]), (two[0], "C", *two[2:]), txn(BUSINESS, customer="B")])
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(counters)
+    assert sorted(r.customer_id for r in got.collect()) == ["A", "A", "B"]
+    assert {r.metric: r.value for r in counters.rows(spark).collect()} == {"arrived": 6, "dead_letters": 0, "duplicate_deliveries": 3}
+
+
+def test_latency_quantiles(spark):
+    rng = random.Random(4)
+    millis = sorted(int(rng.lognormvariate(6, 2)) + 1 for _ in range(5000))
+    rows = spark.createDataFrame([(m, "CLEARED") for m in millis], "ms long, disposition string").selectExpr(
+        "timestamp_micros(0) AS timestamp", "timestamp_micros(ms * 1000) AS assessed_at", "disposition",
+        "array(named_struct('rule_name', 'VELOCITY')) AS violations", "array('X') AS rule_errors")
+    parts = [metrics.batch_metrics(part) for part in rows.randomSplit([0.2, 0.5, 0.3], seed=1)]
+    merged = metrics.merged(parts[0].unionAll(parts[1]).unionAll(parts[2]))
+    found = {r.quantile: r.millis for r in metrics.latency_quantiles(merged).collect()}
+    for q, value in found.items():
+        exact = millis[math.ceil(q * len(millis)) - 1]
+        assert exact <= value * (1 + 1e-9) and value <= exact * 1.01 * (1 + 1e-9)
+    assert len(found) == 3 and merged.count() < 1500
+    counts = {(r.metric, r.tag): r.value for r in merged.where("metric <> 'latency_class'").collect()}
+    assert counts == {("assessments", "CLEARED"): 5000, ("violations", "VELOCITY"): 5000, ("rule_errors", "X"): 5000}
+
+
+def test_totals_equal_plain_sums():
+    """Times that go back and forth, expiry, several currencies."""
+    rng = random.Random(9)
+    totals, plain, now = Totals({(k, "A"): (k,) for k in range(5)}, 6, (0,)), {(k, "A"): k for k in range(5)}, 5
+    for _ in range(3000):
+        now = max(0, now + rng.choice([0, 0, 0, 1, 1, -2, 9]))
+        currency = rng.choice("AB")
+        assert totals.as_of(now, currency) == (sum(v for (t, c), v in plain.items() if c == currency and t > now - 6),)
+        totals.expire(now)
+        plain = {k: v for k, v in plain.items() if k in totals.buckets}
+        value = rng.randrange(100)
+        totals.add(now, currency, (value,))
+        plain[now, currency] = plain.get((now, currency), 0) + value
