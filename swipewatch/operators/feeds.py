@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 from functools import reduce
 
@@ -9,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from swipewatch.config import MINUTE
-from swipewatch.functions.columns import floor_div
 from swipewatch.functions.cursor import decode_cursor, encode_cursor
 from swipewatch.operators.rules import RULES, rule_named
 from swipewatch.schemas import CLEARED, DISPOSITIONS, UNRESOLVED
+from swipewatch.sources import tables
 
 DEFAULT_PAGE, MAX_PAGE = 20, 1000  # fixed values
 
@@ -134,19 +134,25 @@ def customer_history(txns: DataFrame, assessments: DataFrame, customer_id: str,
     return history_with_assessment(page, where_all(assessments, equal_to(customer_id=customer_id)))
 
 
-def feed_pages(rows: DataFrame, time: str, row_id: str, page_size: int = DEFAULT_PAGE, slot_us: int = MINUTE) -> DataFrame:
+def feed_pages(rows: DataFrame, time: str, row_id: str, page_size: int = DEFAULT_PAGE, parts: int | None = None) -> DataFrame:
     """Page number of every row, newest first: what following all cursors would give, in one job.
 
-    Rows are numbered inside short time slots and the sizes of the later slots
-    are carried in, so the feed is never put through one task. Only the slot
-    sizes, one number per slot, are ordered globally.
+    Rows are dealt out by ranges of (time, id), so any number of rows of one moment is dealt to many tasks, and written to
+    the shared folder in order, each with its place in its task. Only the sizes of the tasks are then put in order and
+    carried in. ``parts`` is the number of tasks, by default that of shuffles.
     """
-    slotted = rows.withColumn("_slot", floor_div(F.unix_micros(time), slot_us))
-    inside = Window.partitionBy("_slot").orderBy(F.col(time).desc(), F.col(row_id).desc())
-    later = Window.orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = slotted.groupBy("_slot").count().select(
-        "_slot", F.coalesce(F.sum("count").over(later), F.lit(0)).alias("_before"))
-    return (slotted.withColumn("_n", F.row_number().over(inside)).join(carried, "_slot")
-            .withColumn("row_number", F.col("_n") + F.col("_before"))
+    spark = rows.sparkSession
+    order = [F.col(time).desc(), F.col(row_id).desc()]
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = tables.join_path(tables.shared_folder(spark), f"feed-pages-{uuid.uuid4().hex}")
+    # a place holds the task's number in its upper bits and counts from zero within the task
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).withColumn("_task", F.shiftright("_place", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stored.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (stored.join(carried, "_task")
+            .withColumn("row_number", F.col("_before") + F.col("_place").bitwiseAND(F.lit(2 ** 33 - 1)) + 1)
             .withColumn("page", F.ceil(F.col("row_number") / page_size).cast("long"))
-            .drop("_slot", "_n", "_before"))
+            .drop("_task", "_place", "_before"))

@@ -39,25 +39,29 @@ def find_hot(rows: DataFrame, skew: SkewConfig) -> DataFrame | None:
     """All customers that are hot, or None. A customer is hot with ``hot_rows`` rows altogether or ``dense_rows`` rows
     in one hour.
 
-    The counts combine before their shuffles and read two columns. The list is a table in the shared folder, of any
-    length; Spark joins it as its size demands.
+    The counts combine before their shuffles and read two columns. Mostly the largest of them show that nobody is hot;
+    else the list becomes a table in the shared folder, of any length, and Spark joins it as its size demands.
     """
     span = F.col("last") - F.col("first") + 1
     blocks = F.ceil(F.col("n") * EVENTS_PER_ROW / skew.block_rows)
-    listed = (
+    counted = (
         rows.groupBy("customer_id", epoch_hour(F.col("us")).alias("hour"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first"), F.max("us").alias("last"))
         .groupBy("customer_id")
         .agg(F.sum("n").alias("n"), F.max("n").alias("peak"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .where((F.col("n") >= skew.hot_rows) | (F.col("peak") >= skew.dense_rows))
+    )
+    most = counted.agg(F.max("n").alias("n"), F.max("peak").alias("peak")).first()
+    if (most.n or 0) < skew.hot_rows and (most.peak or 0) < skew.dense_rows:
+        return None
+    listed = (
+        counted.where((F.col("n") >= skew.hot_rows) | (F.col("peak") >= skew.dense_rows))
         .select("customer_id", F.col("last").alias("hot_last"), F.col("first").alias("hot_origin"),
                 F.greatest(floor_div(span, blocks), F.lit(1)).cast("long").alias("block_us"))
     )
     spark = rows.sparkSession
     path = tables.join_path(tables.shared_folder(spark), f"hot-customers-{uuid.uuid4().hex}")
     listed.write.parquet(path)
-    hot = spark.read.schema(HOT).parquet(path)
-    return None if hot.isEmpty() else hot
+    return spark.read.schema(HOT).parquet(path)
 
 
 def timeline(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:

@@ -127,32 +127,42 @@ def risk_summary(txns: DataFrame, assessments: DataFrame, by: str = "customer_id
     """Summary of every customer or merchant at once; filter the result for one of them.
 
     Totals go by transaction time, flags and scores by assessment time, first
-    and last over all time. Each part is aggregated to one row per key before
-    the parts are joined.
+    and last over all time. Each table is read once and aggregated to one row
+    per key before the two are joined: transactions of a merchant by customer
+    first, assessments by rule first, so that no key is one task's.
     """
     if by not in ("customer_id", "merchant_id"):
         raise ValueError("by must be 'customer_id' or 'merchant_id'")
-    activity = txns.groupBy(by).agg(
+    parts = ["merchant_id", "customer_id"] if by == "merchant_id" else [by]
+    activity = txns.groupBy(*parts).agg(
         F.count_if(_since("timestamp", since)).alias("total_transactions"),
         F.min("timestamp").alias("first_transaction_at"), F.max("timestamp").alias("last_transaction_at"))
-    recent = _since("assessed_at", since)
-    risk = assessments.groupBy(by).agg(
-        F.count_if(_flagged() & recent).alias("flagged_count"),
-        F.max(F.when(recent, F.col("risk_score"))).alias("highest_risk_score"))
-    favourites = top_rules(assessments, by, since).groupBy(by).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "rule_name"))).alias("ranked"))
-    joined = activity.join(risk, by, "left").join(favourites, by, "left")
     if by == "merchant_id":
-        joined = joined.join(unique_customers(txns), by, "left")
+        activity = activity.groupBy(by).agg(
+            F.sum("total_transactions").alias("total_transactions"), F.min("first_transaction_at").alias("first_transaction_at"),
+            F.max("last_transaction_at").alias("last_transaction_at"), F.count(F.lit(1)).alias("unique_customers"))
+    recent = _since("assessed_at", since)
+    # Each assessment contributes one row without a rule and one per rule it broke.
+    rules = F.when(recent, F.col("violations.rule_name")).otherwise(F.expr("cast(array() as array<string>)"))
+    risk = (assessments.select(by, (_flagged() & recent).alias("flagged"), F.when(recent, F.col("risk_score")).alias("score"),
+                               F.explode(F.concat(F.array(F.lit("")), rules)).alias("rule"))
+            .groupBy(by, "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged"), F.max("score").alias("score"))
+            # At most one row per rule and key is left here, so collecting them is safe.
+            .groupBy(by).agg(
+                F.max(F.when(F.col("rule") == "", F.col("flagged"))).alias("flagged_count"),
+                F.max(F.when(F.col("rule") == "", F.col("score"))).alias("highest_risk_score"),
+                F.slice(F.array_sort(F.collect_list(F.when(F.col("rule") != "", F.struct((-F.col("n")).alias("order"), "rule")))),
+                        1, TOP_RULES).alias("ranked")))
+    joined = activity.join(risk, by, "left")
     flagged = F.coalesce("flagged_count", F.lit(0))
-    rules = F.coalesce(F.col("ranked.rule_name"), F.expr("cast(array() as array<string>)"))
     return joined.select(
         by, "total_transactions", flagged.alias("flagged_count"),
         (F.col("total_transactions") - flagged).alias("not_flagged_count"),
         percentage(flagged, F.col("total_transactions")).alias("fraud_rate"),
         F.coalesce("highest_risk_score", F.lit(0)).alias("highest_risk_score"),
         *(["unique_customers"] if by == "merchant_id" else []),
-        rules.alias("most_triggered_rules"), "first_transaction_at", "last_transaction_at")
+        F.coalesce(F.col("ranked.rule"), F.expr("cast(array() as array<string>)")).alias("most_triggered_rules"),
+        "first_transaction_at", "last_transaction_at")
 
 
 # --- how well the rules do ------------------------------------------------------------------------

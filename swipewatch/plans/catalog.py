@@ -522,6 +522,21 @@ def outcome_status(spark, d):
     return statuses.select("event_id", "transaction_id", "requested", us("recorded_at"), "status", "standing_outcome")
 
 
+def outcome_log(spark, d):
+    """The same requests as two batches of a log: first calls, then second ones."""
+    key = (spark.sparkContext.applicationId, d, "outcomes")
+    requests, assessed = demo.outcome_requests(spark, d), assessments(spark, d)
+    if key not in _stored:
+        folder = tables.join_path(tables.shared_folder(spark), key[0], folder_label(d), "outcomes")
+        for batch in (1, 2):
+            calls = requests.where(F.col("event_id").endswith(f"-{batch}"))
+            outcomes.record(calls, assessed, tables.join_path(folder, "log"), batch).write.parquet(tables.join_path(folder, f"status-{batch}"))
+        _stored[key] = folder
+    statuses = [spark.read.parquet(tables.join_path(_stored[key], f"status-{batch}")) for batch in (1, 2)]
+    return statuses[0].unionByName(statuses[1]).select(
+        "event_id", "transaction_id", "requested", us("recorded_at"), "status", "standing_outcome")
+
+
 def outcome_counts(spark, d):
     return reports.outcome_counts(resolved_assessments(spark, d))
 
@@ -698,6 +713,7 @@ QUERIES = {
     "top_k_rules": top_k_rules,
     "resolve_outcomes": resolve_outcomes,
     "outcome_status": outcome_status,
+    "outcome_log": outcome_log,
     "outcome_counts": outcome_counts,
     "stream_assess": stream_assess,
     "stream_redelivery": stream_redelivery,

@@ -411,10 +411,9 @@ UNION ALL SELECT 'violations', rule_name, count(*) FROM violations GROUP BY rule
         CASE WHEN {ASSESSED} THEN n_violations ELSE 0 END AS n_violations FROM a"""),
     "assessment_details": with_verdicts("""SELECT transaction_id AS assessment_id, transaction_id, category, latitude,
         longitude, device_fingerprint, risk_score, n_violations FROM a"""),
-    "semi_join_rule": with_verdicts(f"""SELECT {SLIM} FROM a WHERE transaction_id IN (
-        SELECT transaction_id FROM violations WHERE rule_name = '{RULE}')"""),
-    "nested_rule_filter": with_verdicts(f"""SELECT {SLIM} FROM a WHERE transaction_id IN (
-        SELECT transaction_id FROM violations WHERE rule_name = '{RULE}')"""),
+    # the rules of a row are already one text there, so the violations are not worked out a second time
+    "semi_join_rule": with_verdicts(f"SELECT {SLIM} FROM a WHERE contains(',' || rules, ',{RULE}:')"),
+    "nested_rule_filter": with_verdicts(f"SELECT {SLIM} FROM a WHERE contains(',' || rules, ',{RULE}:')"),
     "merchant_fallback": f"WITH {TX},\n{DIM},{LOCATED}\nSELECT transaction_id, merchant_latitude, merchant_longitude FROM here",
     "violations_join": with_verdicts("SELECT rule_name, severity, count(*) AS n FROM violations GROUP BY ALL"),
     "recent_context": with_context("""SELECT transaction_id, recent_count, velocity_count, cross_merchant_count,
@@ -510,6 +509,11 @@ UNION ALL SELECT 'violations', rule_name, count(*) FROM violations GROUP BY rule
           SELECT m.event_id, m.transaction_id, requested, recorded_at_us, winner, CASE WHEN requested = 'UNRESOLVED' THEN 'INVALID'
             WHEN a.transaction_id IS NULL THEN 'NOT_FOUND' WHEN m.event_id = winning_event THEN 'APPLIED' ELSE 'CONFLICT' END AS status
           FROM aimed m LEFT JOIN won USING (transaction_id) LEFT JOIN a USING (transaction_id))""", extra=OUTCOMES.strip()),
+    "outcome_log": with_verdicts("""SELECT event_id, transaction_id, requested, recorded_at_us, status,
+        CASE WHEN status IN ('APPLIED', 'CONFLICT') THEN winner END AS standing_outcome FROM (
+          SELECT m.event_id, m.transaction_id, requested, recorded_at_us, winner, CASE WHEN requested = 'UNRESOLVED' THEN 'INVALID'
+            WHEN a.transaction_id IS NULL THEN 'NOT_FOUND' WHEN m.event_id = winning_event THEN 'APPLIED' ELSE 'CONFLICT' END AS status
+          FROM aimed m LEFT JOIN won USING (transaction_id) LEFT JOIN a USING (transaction_id))""", extra=OUTCOMES.strip()),
     "outcome_counts": with_verdicts(
         "SELECT disposition, outcome, count(*) AS n FROM judged GROUP BY ALL", extra=OUTCOMES.strip()),
 }

@@ -108,3 +108,15 @@ def test_empty_page(assessed):
 def test_lookup_ignores_case(txns):
     one = txns.first()["transaction_id"]
     assert feeds.lookup(txns, one.upper()).count() == 1
+
+
+def test_one_moment_is_numbered_by_many_tasks(spark):
+    """A feed all of whose rows share one time: ranges go by id as well."""
+    rows = spark.range(5000).select(F.lit(BUSINESS).alias("assessed_at"), F.format_string("id-%05d", "id").alias("assessment_id"))
+    pages = feeds.feed_pages(rows, "assessed_at", "assessment_id", page_size=7, parts=8)
+    sizes = [spark.read.parquet(file).count() for file in set(pages.inputFiles())]
+    assert len(sizes) == 8 and max(sizes) < 2000
+    got = pages.orderBy("row_number").collect()
+    assert [r["row_number"] for r in got] == list(range(1, 5001)) and [r["page"] for r in got] == [n // 7 + 1 for n in range(5000)]
+    assert [r["assessment_id"] for r in got] == [f"id-{i:05d}" for i in range(4999, -1, -1)]
+    assert feeds.feed_pages(rows.limit(0), "assessed_at", "assessment_id").count() == 0

@@ -67,3 +67,8 @@ def test_rule_filter_needs_no_join(stored):
 def test_summaries_aggregate_before_shuffling(stored):
     text = plan(reports.risk_summary(stored[0], stored[1]))
     assert "partial_count" in text or "partial_count_if" in text or "partial_max" in text
+
+
+@pytest.mark.parametrize("by", ["customer_id", "merchant_id"])
+def test_summaries_read_each_table_once(stored, by):
+    assert plan(reports.risk_summary(stored[0], stored[1], by)).count("FileScan") == 2

@@ -8,6 +8,7 @@ from swipewatch.functions.columns import percentage
 from swipewatch.operators import outcomes, reports
 from swipewatch.plans.assess import assess
 from swipewatch.schemas import OUTCOME_REQUEST
+from swipewatch.sources import tables
 
 DAY = timedelta(days=1)
 
@@ -116,3 +117,32 @@ def test_first_writer_wins(spark, assessed):
     assert tuple(second.select("status", "standing_outcome").first()) == ("CONFLICT", "CONFIRMED_FRAUD")
     metrics = reports.detection_metrics(updated).first()
     assert (metrics["tp"], metrics["fn"]) == (1, 1) and metrics["sensitivity"] == 0.5
+
+
+def test_the_outcome_log(spark, tmp_path):
+    """First writer by log order, repeated batches, compaction; no assessment file is touched."""
+    ids = [f"00000000-0000-0000-0000-{i:012d}" for i in range(30)]
+    tables.write_assessments(assess(frame(spark, [txn(BUSINESS, id=i) for i in ids]), merchants(spark)), str(tmp_path / "a"))
+    assessed = spark.read.parquet(str(tmp_path / "a"))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "a").rglob("*") if p.is_file()}
+    before, log = files(), str(tmp_path / "log")
+    send = lambda *rows: spark.createDataFrame(list(rows), "event_id string, transaction_id string, outcome string, recorded_at timestamp")
+    status = lambda frame: {r.event_id: (r.status, r.standing_outcome) for r in frame.collect()}
+    first = send(request("1", ids[0], "CONFIRMED_FRAUD", 5), request("2", ids[0], "FALSE_POSITIVE", 4), request("3", ids[1], "NOPE", 1),
+                 request("4", "gone", "CONFIRMED_FRAUD", 1), *[request(f"b{i}", ids[i], "FALSE_POSITIVE", i) for i in range(2, 10)])
+    for _ in range(2):  # written twice, as after a stop
+        got = status(outcomes.record(first, assessed, log, 1))
+    assert got["2"] == ("APPLIED", "FALSE_POSITIVE") and got["1"] == ("CONFLICT", "FALSE_POSITIVE")
+    assert got["3"] == ("INVALID", None) and got["4"] == ("NOT_FOUND", None) and got["b7"] == ("APPLIED", "FALSE_POSITIVE")
+    # sent earlier by its own clock, but the log has a decision already
+    second = send(request("5", ids[0], "CONFIRMED_FRAUD", -99), request("6", ids[1], "CONFIRMED_FRAUD", 9))
+    got = status(outcomes.record(second, assessed, log, 2))
+    assert got == {"5": ("CONFLICT", "FALSE_POSITIVE"), "6": ("APPLIED", "CONFIRMED_FRAUD")}
+    assert status(outcomes.record(first, assessed, log, 1))["2"] == ("APPLIED", "FALSE_POSITIVE")  # a repeat decides as it did
+    outcomes.compact_log(spark, log, str(tmp_path / "compact"), 2)
+    for folder in (log, str(tmp_path / "compact")):
+        shown = outcomes.with_outcomes(assessed, outcomes.read_log(spark, folder))
+        assert shown.columns == assessed.columns
+        assert {r.transaction_id: r.outcome for r in shown.collect()} == {
+            i: "CONFIRMED_FRAUD" if n == 1 else "FALSE_POSITIVE" if n < 10 else "UNRESOLVED" for n, i in enumerate(ids)}
+    assert files() == before and outcomes.read_log(spark, str(tmp_path / "none")).count() == 0

@@ -4,6 +4,7 @@ import pytest
 
 from helpers import BUSINESS, OFF_HOURS, frame, merchants, txn
 from swipewatch.plans.assess import assess
+from swipewatch.operators import feeds
 from swipewatch.sources import tables
 
 DAYS = [BUSINESS - timedelta(days=d) for d in (0, 1, 90, 91, 92)]
@@ -85,3 +86,23 @@ def test_shared_folder_comes_from_the_session(spark):
 
 def test_dates():
     assert tables.RETENTION_DAYS == 91 and date(2024, 4, 14) - timedelta(days=91) == date(2024, 1, 14)
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    """Forty files of ids in no order: without Bloom filters every one of them would be read."""
+    rows = frame(spark, [txn(BUSINESS, customer=f"C-{i}") for i in range(2000)]).repartition(40)
+    tables.write_assessments(assess(rows, merchants(spark)).repartition(40), str(tmp_path / "a"))
+    stored = spark.read.parquet(str(tmp_path / "a"))
+    wanted = rows.first()["transaction_id"]
+    found = feeds.lookup(stored, wanted)
+    assert found.count() == 1
+
+    def scanned(frame):
+        plan = frame._jdf.queryExecution()
+        plan.executedPlan().executeCollect()
+        node = plan.executedPlan()
+        while "Scan" not in node.nodeName():
+            node = node.inputPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.children().apply(0)
+        return node.metrics().apply("numOutputRows").value()
+
+    assert scanned(found) < 200 and scanned(stored.where("risk_score >= 0")) == 2000
