@@ -120,17 +120,21 @@ def normalise_events(spark, d):
     return ingest.normalise_events(raw(spark, d)).select(*_transaction_columns(), "delivery", us("ingest_ts"))
 
 
+def spoilt(spark, sf_dir) -> DataFrame:
+    tables.prepare_session(spark)
+    return demo.spoilt_events(spark, sf_dir)
+
+
+def _checked(checked: DataFrame) -> DataFrame:
+    return checked.select("event_id", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors.field", ",").alias("fields"))
+
+
 def validate_stream(spark, d):
-    return (ingest.with_stream_errors(ingest.normalise_events(raw(spark, d)))
-            .select("transaction_id", "delivery", F.size("errors").cast("long").alias("n_errors"),
-                    F.array_join("errors.field", ",").alias("fields")))
+    return _checked(ingest.with_stream_errors(ingest.normalise_events(spoilt(spark, d))))
 
 
 def validate_submit(spark, d):
-    requests = raw(spark, d).withColumn("transaction_type", F.nullif("transaction_type", F.lit("TRANSACTION_TYPE_UNSPECIFIED")))
-    return (ingest.with_submit_errors(requests)
-            .select("transaction_id", "delivery", F.size("errors").cast("long").alias("n_errors"),
-                    F.array_join("errors.field", ",").alias("fields")))
+    return _checked(ingest.with_submit_errors(spoilt(spark, d)))
 
 
 def _valid_and_rejected(spark, d):

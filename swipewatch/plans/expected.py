@@ -10,7 +10,7 @@ from datetime import datetime
 from swipewatch.config import HIGH_RISK_KEYWORDS, LIKELIHOOD_RATIOS, MEDIUM_RISK_KEYWORDS
 from swipewatch.plans.catalog import (CURSOR_AT, CURSOR_ID, CUSTOMER, FROM, MERCHANT, RETENTION_AS_OF, RULE, RULE_KEYS,
                                       SINCE, TO, TRANSACTION)
-from swipewatch.sources.demo import MERCHANTS
+from swipewatch.sources.demo import MERCHANTS, SPOILT, spoilt_sql
 
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 
@@ -216,6 +216,25 @@ def with_raw(select: str) -> str:
     return f"WITH {TX},\n{RAW}\n{select}"
 
 
+UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+SENT = "TRY_CAST(amount AS DECIMAL(38, 10))"
+LONG_TEXTS = [("category", "length(category) > 64"), ("location", "length(location) > 128"), ("device_fingerprint", "length(device_fingerprint) > 128")]
+
+
+def with_spoilt(checks: list[tuple[str, str]]) -> str:
+    """Every check is on the values sent; which events are spoilt plays no part."""
+    kinds = {"latitude": "DOUBLE", "longitude": "DOUBLE"}
+    columns = ", ".join(f"{spoilt_sql(c, kinds.get(c, 'VARCHAR'))} AS {c}" for c in SPOILT)
+    fields = ", ".join(f"CASE WHEN {failed} THEN '{field}' END" for field, failed in checks)
+    count = " + ".join(f"CAST(coalesce({failed}, false) AS BIGINT)" for _, failed in checks)
+    return f"""WITH {TX},
+wire AS (SELECT event_id, transaction_id, customer_id, merchant_id, amount || '.0000' AS amount, currency, coalesce(category, '') AS category,
+           '' AS location, coalesce(latitude, 0.0) AS latitude, coalesce(longitude, 0.0) AS longitude,
+           coalesce(device_fingerprint, '') AS device_fingerprint, transaction_type FROM tx),
+spoilt AS (SELECT event_id, {columns} FROM wire)
+SELECT event_id, {count} AS n_errors, concat_ws(',', {fields}) AS fields FROM spoilt"""
+
+
 def with_accepted_verdicts(select: str) -> str:
     """Verdicts as a stream reaches them that never saw the rejected events."""
     sent = TX.replace("\ntx AS (", "\nsent AS (")
@@ -361,8 +380,19 @@ UNION ALL SELECT 'violations', rule_name, count(*) FROM violations GROUP BY rule
     "scan_transactions": with_tx(f"SELECT {TX_COLUMNS} FROM tx"),
     "normalise_events": with_raw("""SELECT transaction_id, customer_id, merchant_id, amount::DOUBLE AS amount, currency,
         category, latitude, longitude, device_fingerprint, timestamp_us, transaction_type, delivery, ingest_ts_us FROM checked"""),
-    "validate_stream": with_raw("SELECT transaction_id, delivery, n_errors, fields FROM checked"),
-    "validate_submit": with_raw("SELECT transaction_id, delivery, n_errors, fields FROM checked"),
+    "validate_stream": with_spoilt([
+        ("transaction_id", f"transaction_id IS NULL OR NOT regexp_full_match(transaction_id, '{UUID}')"),
+        ("amount", "TRY_CAST(amount AS DECIMAL(19, 4)) IS NULL"), ("customer_id", "customer_id IS NULL"),
+        ("merchant_id", "merchant_id IS NULL"), ("currency", "currency IS NULL"), ("customer_id", "length(customer_id) > 64"),
+        ("merchant_id", "length(merchant_id) > 64"), ("currency", "length(currency) > 3"), *LONG_TEXTS]),
+    "validate_submit": with_spoilt([
+        ("transaction_id", f"NOT regexp_full_match(transaction_id, '{UUID}')"),
+        ("customer_id", "coalesce(trim(customer_id, ' ' || chr(9)), '') = ''"), ("merchant_id", "coalesce(trim(merchant_id, ' ' || chr(9)), '') = ''"),
+        ("amount", f"{SENT} IS NULL"), ("amount", f"{SENT} <= 0"), ("amount", f"abs({SENT}) >= 1000000000000000 OR {SENT} <> round({SENT}, 4)"),
+        ("currency", "currency IS NULL OR NOT regexp_full_match(currency, '[A-Z]{3}')"),
+        ("transaction_type", "transaction_type NOT IN ('CARD_PRESENT', 'CARD_NOT_PRESENT', 'CONTACTLESS', 'ATM')"),
+        ("latitude", "abs(latitude) > 90"), ("longitude", "abs(longitude) > 180"), ("customer_id", "length(customer_id) > 64"),
+        ("merchant_id", "length(merchant_id) > 64"), *LONG_TEXTS]),
     "quarantine": with_raw("""SELECT transaction_id, delivery, sent_amount, currency, concat_ws('; ',
         CASE WHEN event_id % 97 = 0 THEN 'amount: not a number of at most 15 and 4 digits' END,
         CASE WHEN event_id % 89 = 0 THEN 'currency: longer than 3' END) AS reason, 3 AS attempts, 'FAILED' AS status

@@ -116,6 +116,40 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ingest_ts", F.timestamp_micros(F.unix_micros("ingest_ts") + (F.col("delivery") - 1) * 1_000_000))
 
 
+# What spoils a column, for every so many events: the value for each remainder, the first being 1.
+SPOILT = {
+    "transaction_id": (13, ("'nope'", "upper(transaction_id)", "NULL", "transaction_id || '0'")),
+    "customer_id": (17, ("''", "'   '", "NULL", "repeat('c', 65)", "repeat('c', 64)")),
+    "merchant_id": (19, ("''", "NULL", "repeat('m', 64)", "repeat('m', 65)", "chr(9)")),
+    "amount": (23, ("'0'", "'-5.00'", "'abc'", "'1.23456'", "'1000000000000000'", "'999999999999999.9999'", "NULL", "''",
+                    "'12345678901234567.0'", "'-1.23456'", "'0.00001'")),
+    "currency": (29, ("'zar'", "'ZA'", "'ZARX'", "''", "NULL", "'Z1R'")),
+    "transaction_type": (31, ("'WIRE'", "''", "NULL", "'card_present'")),
+    "latitude": (37, ("90.0", "90.5", "-91.0", "NULL")),
+    "longitude": (41, ("180.0", "180.5", "-200.0", "NULL")),
+    "category": (43, ("repeat('k', 65)", "repeat('k', 64)")),
+    "location": (47, ("repeat('l', 129)", "repeat('l', 128)")),
+    "device_fingerprint": (53, ("repeat('d', 129)", "repeat('d', 128)")),
+}
+
+
+def spoilt_sql(column: str, kind: str) -> str:
+    """The column with some of its values spoilt, as SQL text that Spark and other engines read alike."""
+    every, values = SPOILT[column]
+    cases = " ".join(f"WHEN {i} THEN CAST({value} AS {kind})" for i, value in enumerate(values, 1))
+    return f"CASE event_id % {every} {cases} ELSE CAST({column} AS {kind}) END"
+
+
+def spoilt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transactions in wire form with every column spoilt in several ways, and ``event_id`` to name the rows."""
+    sent = transactions(spark, sf_dir).withColumns({
+        "amount": F.col("amount").cast("string"), **{c: F.coalesce(c, F.lit("")) for c in ("category", "location", "device_fingerprint")},
+        **{c: F.coalesce(c, F.lit(0.0)) for c in ("latitude", "longitude")}, "ingest_ts": F.expr("timestamp + INTERVAL 1 SECOND")})
+    return sent.selectExpr(*[
+        f"{spoilt_sql(c, 'DOUBLE' if c in ('latitude', 'longitude') else 'STRING')} AS {c}" if c in SPOILT else c
+        for c in schemas.RAW_EVENT.fieldNames()], "event_id")
+
+
 def outcome_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyst decisions: one per tenth transaction, some repeated with the opposite value, some unknown."""
     n = F.col("event_id")

@@ -41,6 +41,14 @@ def test_query(spark, tables, name):
     assert {f.name: TYPES[f.dataType.simpleString()] for f in result.schema.fields} == types
 
 
+def test_the_two_profiles_differ(spark):
+    """The oracles of the two profiles can tell one from the other, and every field fails somewhere."""
+    fields = [{name for r in QUERIES[query](spark, FOLDER).select("fields").distinct().collect() for name in r.fields.split(",") if name}
+              for query in ("validate_stream", "validate_submit")]
+    assert fields[1] - fields[0] == {"transaction_type", "latitude", "longitude"} and "amount" in fields[0] and "customer_id" in fields[0]
+    assert SQL["validate_stream"] != SQL["validate_submit"]
+
+
 def test_entry(spark):
     result = entry_points.entry(spark)
     assert result.columns == entry_points.entry(spark).columns and result.count() == 1000
