@@ -4,8 +4,10 @@ Every transaction becomes an arrival and, per window length, one departure at
 the moment it leaves that window. A running total of arrivals minus departures
 is then the content of the sliding window. Running totals split freely: each
 stretch of a customer's timeline is summed on its own and the sums of the
-stretches before it are carried in. No task ever needs the whole customer and
-no pair of transactions is formed for counts and sums.
+stretches before it are carried in. Stretches are cut by rows, not by time, so a
+customer with nearly all rows in one hour is split where the rows are. No task
+ever needs the whole customer and no pair of transactions is formed for counts
+and sums.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from swipewatch.config import DAY, HOUR, MINUTE, SECOND, RuleConfig, SkewConfig
-from swipewatch.functions.columns import amount_units, blank, epoch_day, epoch_hour, floor_div, is_physical
+from swipewatch.functions.columns import amount_units, blank, epoch_day, epoch_hour, is_physical
 from swipewatch.operators.travel import travel_conflicts
 from swipewatch.schemas import CARD_NOT_PRESENT
 from swipewatch.sources import tables
@@ -26,12 +28,12 @@ from swipewatch.sources import tables
 HOT = T.StructType([
     T.StructField("customer_id", T.StringType()),
     T.StructField("hot_last", T.LongType()),
-    T.StructField("hot_origin", T.LongType()),
-    T.StructField("block_us", T.LongType()),
+    T.StructField("splitters", T.ArrayType(T.LongType())),
 ])
 ARRIVAL, DAY_OUT, SPAN_OUT = 0, -1, -2  # ticks; any positive tick is a departure after that many µs
 EVENTS_PER_ROW = 8
-HOT_FIELDS = ("hot_last", "hot_origin", "block_us")
+HOT_FIELDS = ("hot_last", "splitters")
+STRETCHES = 256  # of one customer's timeline at most; beyond, stretches grow with the customer
 WEIGHTS = ("raw", "hour_w", "day_w", "base_n", "base_s", "base_q", "base_r")
 
 
@@ -42,21 +44,25 @@ def find_hot(rows: DataFrame, skew: SkewConfig) -> DataFrame | None:
     The counts combine before their shuffles and read two columns. Mostly the largest of them show that nobody is hot;
     else the list becomes a table in the shared folder, of any length, and Spark joins it as its size demands.
     """
-    span = F.col("last") - F.col("first") + 1
-    blocks = F.ceil(F.col("n") * EVENTS_PER_ROW / skew.block_rows)
+    blocks = F.least(F.ceil(F.col("n") * EVENTS_PER_ROW / skew.block_rows), F.lit(STRETCHES))
     counted = (
         rows.groupBy("customer_id", epoch_hour(F.col("us")).alias("hour"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first"), F.max("us").alias("last"))
-        .groupBy("customer_id")
-        .agg(F.sum("n").alias("n"), F.max("n").alias("peak"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last"))
+        .groupBy("customer_id").agg(F.sum("n").alias("n"), F.max("n").alias("peak"), F.max("last").alias("last"))
     )
     most = counted.agg(F.max("n").alias("n"), F.max("peak").alias("peak")).first()
     if (most.n or 0) < skew.hot_rows and (most.peak or 0) < skew.dense_rows:
         return None
+    found = counted.where((F.col("n") >= skew.hot_rows) | (F.col("peak") >= skew.dense_rows)).select(
+        "customer_id", F.col("last").alias("hot_last"), blocks.alias("blocks"))
+    # quantiles of the customer's times; every so many of them are the borders of its stretches
+    shares = F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)])
     listed = (
-        counted.where((F.col("n") >= skew.hot_rows) | (F.col("peak") >= skew.dense_rows))
-        .select("customer_id", F.col("last").alias("hot_last"), F.col("first").alias("hot_origin"),
-                F.greatest(floor_div(span, blocks), F.lit(1)).cast("long").alias("block_us"))
+        rows.select("customer_id", "us").join(found, "customer_id").groupBy("customer_id")
+        .agg(F.max("hot_last").alias("hot_last"), F.max("blocks").alias("blocks"), F.percentile_approx("us", shares, F.lit(4 * STRETCHES)).alias("q"))
+        .select("customer_id", "hot_last", F.expr(
+            f"array_distinct(transform(sequence(1L, greatest(blocks, 2L) - 1), i -> q[cast(i * {STRETCHES} div greatest(blocks, 2L) - 1 as int)]))"
+        ).alias("splitters"))
     )
     spark = rows.sparkSession
     path = tables.join_path(tables.shared_folder(spark), f"hot-customers-{uuid.uuid4().hex}")
@@ -83,7 +89,7 @@ def timeline(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
     payload = F.struct(*[c for c in rows.columns if c not in HOT_FIELDS + WEIGHTS])
     return (
         rows.select(
-            "customer_id", "currency", "merchant_id", "amount", "transaction_id", "hot_origin", "block_us", "hot_last", *WEIGHTS,
+            "customer_id", "currency", "merchant_id", "amount", "transaction_id", "splitters", "hot_last", *WEIGHTS,
             is_physical(F.col("transaction_type")).alias("physical"),
             F.when(~blank(F.col("device_fingerprint")), F.col("device_fingerprint")).alias("device"),
             payload.alias("txn"), F.explode(ticks).alias("e"))
@@ -93,7 +99,7 @@ def timeline(rows: DataFrame, cfg: RuleConfig, bucketed: bool) -> DataFrame:
             F.col("e.tick").alias("tick"), F.col("e.at").alias("at"),
             F.when(F.col("e.tick") == ARRIVAL, F.col("txn")).alias("txn"),
             (F.col("e.tick") == ARRIVAL).alias("arrives"),
-            floor_div(F.col("e.at") - F.col("hot_origin"), F.col("block_us")).alias("block"))
+            F.size(F.filter("splitters", lambda border: border <= F.col("e.at"))).alias("block"))
     )
 
 
