@@ -38,8 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- intermediate tables in the shared folder -------------------------------------------------------
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-scratch"
+    """``spark.checkpoint.dir``. Only a local session may do without the setting, as in tests; it uses the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-scratch"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
