@@ -5,15 +5,16 @@ piece is untouched in any such copy. One automaton finds all exact piece hits in
 item is verified with Myers' bit-parallel edit distance, so the answer is exact: every document that holds the item
 within its budget is found. Both sides are lower-cased with white space runs as one space.
 
-Items go to the tasks in blocks of at most ``block`` items, one pass over the documents for each block, so what a task
-holds does not grow with the benchmark. The blocks are made on the driver, which holds the whole benchmark until the
-job ends.
+The items are written to the shared folder in blocks of about ``block``; no item passes through the driver. Documents are
+read once: a task takes some megabytes of texts and goes through the blocks with them, one automaton at a time, so neither
+what a task holds nor the number of passes grows with the benchmark.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ from swipewatch.llm import text
 ERROR_RATE = 0.06
 MIN_CHARS = 20
 BLOCK = 5_000
+AT_ONCE = 16 << 20  # bytes of texts that go through the blocks together
 
 
 def normalise(body: str | None) -> str:
@@ -117,40 +119,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     results."""
     schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()),
                         ("budget", pa.int64()), ("end", pa.int64())])
-    ddl = "doc long, tie long, item_id long, distance long, budget long, end long"
-    keyed, passes = text.keyed(docs), []
-    for items in blocks(benchmark, min_chars, block):
-        passes.append(keyed.mapInArrow(_scan(items, error_rate, schema), ddl))
-    if not passes:
-        return keyed.limit(0).mapInArrow(_scan([], error_rate, schema), ddl)
-    found = reduce(DataFrame.unionAll, passes)
-    return found
-
-
-def blocks(benchmark: DataFrame, min_chars: int, block: int):
-    """The items in blocks of at most ``block``."""
-    held = []
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
-    named = rows.where("item_id IS NOT NULL")
-    rows = named.unionAll(rows.where("item_id IS NULL").join(named.select("text"), "text", "left_anti").select("item_id", "text"))
-    for item_id, body in rows.orderBy("item_id", "text").toLocalIterator():
-        item = normalise(body)
-        if len(item) >= min_chars:
-            held.append((item_id, item))
-        if len(held) == block:
+    path, n = store_blocks(benchmark, block)
+
+    def scan(batches):
+        def rows():
+            only = matcher_of(path, 0, error_rate, min_chars) if n == 1 else None
+            for texts in together(text.rows_of(batches)):
+                for i in range(n):
+                    matcher = only if n == 1 else matcher_of(path, i, error_rate, min_chars)
+                    for doc, tie, body in texts if matcher else ():
+                        for hit in matcher.search(body):
+                            yield doc, tie, *hit
+
+        yield from text.in_batches(rows(), schema)
+
+    return text.keyed(docs).mapInArrow(scan, "doc long, tie long, item_id long, distance long, budget long, end long")
+
+
+def together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Normalised texts in lists of about ``AT_ONCE`` bytes."""
+    held, size = [], 0
+    for doc, tie, body in rows:
+        held.append((doc, tie, normalise(body.decode())))
+        size += len(body)
+        if size >= AT_ONCE:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
 
-def _scan(items: list[tuple[int, str]], error_rate: float, schema: pa.Schema):
-    def scan(batches):
-        matcher = Matcher(items, error_rate)
-        rows = ((doc, tie, *hit) for doc, tie, body in text.rows_of(batches) for hit in matcher.search(normalise(body.decode())))
-        yield from text.in_batches(rows, schema)
-
-    return scan
+def store_blocks(benchmark: DataFrame, block: int) -> tuple[str, int]:
+    """The items in a table of the shared folder, a folder a block; its path and how many blocks there are."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    named = rows.where("item_id IS NOT NULL")
+    rows = named.unionAll(rows.where("item_id IS NULL").join(named.select("text"), "text", "left_anti").select("item_id", "text"))
+    items = text.stored(rows, "benchmark-items")
+    n = max(1, math.ceil(items.count() / block))
+    path = text.new_path(benchmark.sparkSession, "benchmark-blocks")
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")
+    items.select("item_id", "text", number).repartition(n, "block").write.partitionBy("block").parquet(path)
+    text.discard(items)
+    return path, n
+
+
+def matcher_of(path: str, block: int, error_rate: float, min_chars: int) -> Matcher | None:
+    """The matcher of one block, read by the task; None if no item of the block can tell a leak."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    folder = f"{place}/block={block}"
+    if system.get_file_info(folder).type == fs.FileType.NotFound:
+        return None
+    table = ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=["item_id", "text"])
+    items = [(item_id, normalise(body)) for item_id, body in zip(*(column.to_pylist() for column in table.columns))]
+    items = sorted(((item_id, item) for item_id, item in items if len(item) >= min_chars), key=lambda i: (i[0] is not None, i[0] or 0, i[1]))
+    return Matcher(items, error_rate) if items else None
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:

@@ -34,7 +34,7 @@ def test_query(spark):
     assert set(found) == expected and len(found) == len(expected) > 0
 
 
-def test_edited_copies(spark):
+def test_edited_copies(spark, monkeypatch):
     rng = np.random.default_rng(4)
     letters = list("abcdefgh ")
     items = ["".join(rng.choice(letters, rng.integers(40, 200))).strip() for _ in range(30)]
@@ -54,7 +54,8 @@ def test_edited_copies(spark):
             distance = least_distance(item, decontaminate.normalise(body))
             if distance <= int(len(item) * decontaminate.ERROR_RATE):
                 expected.add((d, i, distance))
-    for block in (7, 1000):
+    for block, at_once in ((7, 1 << 20), (3, 2000), (1000, 1)):
+        monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
         found = {(r.doc, r.item_id, r.distance) for r in decontaminate.leaks(table, benchmark, block=block).collect()}
         assert found == expected and len(expected) > 30
 
@@ -86,3 +87,13 @@ def test_names_of_the_caller_are_kept(spark):
     docs = spark.createDataFrame([(1, item, 1, 2), (2, "something else", 3, 4)], "doc_id long, text string, __doc int, __tie int")
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert decontaminate.without_leaks(docs, benchmark).collect() == [(2, "something else", 3, 4)]
+
+
+def test_one_pass_whatever_the_number_of_items(spark):
+    """A hundred blocks: documents are scanned once, and no item is part of the plan or its closures."""
+    items = spark.range(2000).selectExpr("id AS item_id", "concat('the question with the number ', sha2(cast(id AS string), 256)) AS text")
+    docs = items.where("item_id % 100 = 7").selectExpr("item_id AS doc_id", "concat('so ', text, ' it is') AS text")
+    found = decontaminate.leaks(docs.repartition(2), items, block=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    assert sorted((r.doc, r.item_id, r.distance) for r in found.collect()) == [(i, i, 0) for i in range(7, 2000, 100)]
