@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from swipewatch.operators.context import BUCKETED, EXACT, TRANSACTION_FIELDS, bu
 from swipewatch.operators.rules import RULES, active_rules, evaluate_rules, severity_column
 from swipewatch.operators.scoring import probability_from_severities, score
 from swipewatch.schemas import UNRESOLVED
+from swipewatch.sources import tables
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ASSESSMENT_FIELDS = (
@@ -36,22 +38,31 @@ def conclude(context: DataFrame, rule_cfg: RuleConfig | None = None, scoring_cfg
     return scored.select(*[own[name].alias(name) if name in own else name for name in ASSESSMENT_FIELDS])
 
 
-def first_moment(txns: DataFrame) -> datetime | None:
+def keys_of(txns: DataFrame) -> DataFrame:
+    """Customer, id and time of the new transactions in a table of the shared folder: they are asked for several times,
+    and what ``txns`` is made of is then evaluated once for all of these."""
+    keys = txns.select("customer_id", "transaction_id", "timestamp")
+    path = tables.join_path(tables.shared_folder(txns.sparkSession), f"new-keys-{uuid.uuid4().hex}")
+    keys.write.parquet(path)
+    return txns.sparkSession.read.schema(keys.schema).parquet(path)
+
+
+def first_moment(keys: DataFrame) -> datetime | None:
     """One number, looked up before a plan is made so that it prunes files and partitions."""
-    us = txns.agg(F.min(F.unix_micros("timestamp"))).first()[0]
+    us = keys.agg(F.min(F.unix_micros("timestamp"))).first()[0]
     return None if us is None else EPOCH + timedelta(microseconds=us)
 
 
-def relevant_history(txns: DataFrame, history: DataFrame, since: datetime | None) -> DataFrame:
-    """The part of ``history`` from ``since`` on that ``txns`` can see. Rows of ``history`` that are in ``txns`` again are
-    left out."""
+def relevant_history(keys: DataFrame, history: DataFrame, since: datetime | None) -> DataFrame:
+    """The part of ``history`` from ``since`` on that the new transactions can see. Rows of ``history`` that are among them
+    again are left out."""
     if since is None:
         return history.limit(0)
     seen = history.where(F.col("timestamp") >= F.lit(since))
     if "event_date" in history.columns:
         seen = seen.where(F.col("event_date") >= F.lit(since.date() - timedelta(days=1)))
-    seen = seen.join(txns.select("customer_id").distinct(), "customer_id", "left_semi")
-    return seen.join(txns.select("transaction_id"), "transaction_id", "left_anti")
+    seen = seen.join(keys.select("customer_id").distinct(), "customer_id", "left_semi")
+    return seen.join(keys.select("transaction_id"), "transaction_id", "left_anti")
 
 
 def new_and_known(txns: DataFrame, known: DataFrame) -> DataFrame:
@@ -74,8 +85,9 @@ def assess(txns: DataFrame, merchants: DataFrame, rule_cfg: RuleConfig | None =
     if history is None:
         context = build_context(txns, merchants, rule_cfg, mode, skew)
     else:
-        first = first_moment(txns)
-        known = relevant_history(txns, history, first and first - timedelta(days=(rule_cfg or RuleConfig()).baseline_days + 1))
+        keys = keys_of(txns)
+        first = first_moment(keys)
+        known = relevant_history(keys, history, first and first - timedelta(days=(rule_cfg or RuleConfig()).baseline_days + 1))
         context = build_context(new_and_known(txns, known), merchants, rule_cfg, mode, skew, keep=("is_new",))
         context = context.where("is_new").drop("is_new")
     return conclude(context, rule_cfg, scoring_cfg, rules, assessed_at)
@@ -92,13 +104,14 @@ def assess_from_buckets(txns: DataFrame, merchants: DataFrame, history: DataFram
     New transactions may lie on any number of days. Empty tables stand for an empty history.
     """
     cfg = rule_cfg or RuleConfig()
-    first = first_moment(txns)
+    keys = keys_of(txns)
+    first = first_moment(keys)
     if first is None:
         return assess(txns, merchants, cfg, scoring_cfg, BUCKETED, skew, rules, assessed_at)
     us = (first - EPOCH) // timedelta(microseconds=1)
     day = us // DAY
-    known = relevant_history(txns, history, EPOCH + timedelta(microseconds=min(day * DAY, us - cfg.lookback_minutes * MINUTE)))
+    known = relevant_history(keys, history, EPOCH + timedelta(microseconds=min(day * DAY, us - cfg.lookback_minutes * MINUTE)))
     carried = carried_rows(hourly, daily, day, us // HOUR - 23, cfg.baseline_days)
-    carried = carried.join(txns.select("customer_id").distinct(), "customer_id", "left_semi")
+    carried = carried.join(keys.select("customer_id").distinct(), "customer_id", "left_semi")
     context = build_context(new_and_known(txns, known), merchants, cfg, BUCKETED, skew, keep=("is_new",), carried=carried, since_us=day * DAY)
     return conclude(context.where("is_new").drop("is_new"), cfg, scoring_cfg, rules, assessed_at)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,6 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
     :class:`swipewatch.streaming.metrics.StreamCounters`.
     """
     rule_cfg, scoring_cfg = rule_cfg or RuleConfig(), scoring_cfg or ScoringConfig()
-    raw.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    # State expires by running time, and there are no timers: batches without data would only keep the stream awake.
-    raw.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     at = F.current_timestamp() if assessed_at is None else assessed_at
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -88,9 +86,31 @@ def start_scoring(raw: DataFrame, load_merchants: Callable[[], DataFrame], folde
     events = checked(raw, max_future_skew).observe(
         "arrivals", F.count(F.lit(1)).alias("arrived"), F.count_if(F.size("errors") > 0).alias("rejected"))
     new = once(events.where(F.size("errors") == 0)).observe("taken", F.count(F.lit(1)).alias("taken"))
-    return (with_history(new, rule_cfg).writeStream.queryName("scoring")
-            .option("checkpointLocation", tables.join_path(folder, "checkpoints", "scoring"))
-            .foreachBatch(sink).trigger(**(trigger or {"availableNow": True})).start())
+    writer = (with_history(new, rule_cfg).writeStream.queryName("scoring")
+              .option("checkpointLocation", tables.join_path(folder, "checkpoints", "scoring"))
+              .foreachBatch(sink).trigger(**(trigger or {"availableNow": True})))
+    with session_settings(raw.sparkSession, {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        # State expires by running time, and there are no timers: batches without data would only keep the stream awake.
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }):
+        return writer.start()
+
+
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """Settings for what is started inside; a query keeps a copy, and the session has its own back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def start_quarantine(raw: DataFrame, folder: str, *, max_future_skew: str | None = None,
