@@ -20,6 +20,7 @@ from swipewatch.config import DAY, MINUTE, SECOND, RuleConfig, SkewConfig
 from swipewatch.functions.columns import amount_units, epoch_day, epoch_hour, is_physical, too_fast_sql
 from swipewatch.operators import hot as hot_customers
 from swipewatch.schemas import CARD_NOT_PRESENT
+from swipewatch.sources import tables
 
 EXACT, BUCKETED = "exact", "bucketed"
 
@@ -292,20 +293,22 @@ def build_context(txns: DataFrame, merchants: DataFrame, cfg: RuleConfig | None
     """
     cfg, skew = cfg or RuleConfig(), skew or SkewConfig()
     slim = with_event_time(txns.select(*TRANSACTION_FIELDS, *keep))
-    hot = hot_customers.find_hot(slim, skew)
+    hot, count, hot_count = hot_customers.find_hot(slim, skew)
     rows = effective_location(slim, merchants)
     if carried is not None:
         rows = weighted(rows, since_us).unionByName(carried.withColumn("raw", F.lit(False)), allowMissingColumns=True)
+        more = carried.count()
+        count, hot_count = count + more, hot_count + more
     if hot is None:
-        return ordinary_context(rows, cfg, mode)
+        return ordinary_context(rows, cfg, mode, count)
     # no broadcast hint: the list has no bound, so its size decides
-    usual = ordinary_context(rows.join(hot.select("customer_id"), "customer_id", "left_anti"), cfg, mode)
+    usual = ordinary_context(rows.join(hot.select("customer_id"), "customer_id", "left_anti"), cfg, mode, count)
     rows = rows if carried is not None else weighted(rows)
-    busy = hot_customers.hot_context(rows.join(hot, "customer_id"), cfg, bucketed=mode == BUCKETED)
+    busy = hot_customers.hot_context(rows.join(hot, "customer_id"), cfg, mode == BUCKETED, hot_count)
     return usual.unionByName(busy)
 
 
-def ordinary_context(rows: DataFrame, cfg: RuleConfig, mode: str) -> DataFrame:
+def ordinary_context(rows: DataFrame, cfg: RuleConfig, mode: str, count: int) -> DataFrame:
     # One exchange serves the per-currency and the per-customer windows. The list
     # comes last, so it is never sorted or shuffled.
     placed = with_spend_and_baseline(rows.repartition("customer_id"), cfg, mode)

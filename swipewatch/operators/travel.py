@@ -12,6 +12,8 @@ else its visits are compared one by one, and the walk ends at the first conflict
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from swipewatch.config import MINUTE
 from swipewatch.functions.columns import EARTH_RADIUS_KM, floor_div
+from swipewatch.sources import tables
 
 SMALL, LARGE = 64, 4096  # visits of a block and of a block of blocks
 AT_ONCE = 1 << 14        # transactions that walk together
+HELD = 1 << 16           # rows of small slabs that are gathered before they walk
 SLACK_KM = 1e-6          # boxes are rounded; a block this near to the limit is looked into
 
 
@@ -98,12 +102,21 @@ def newest_conflicts(now: np.ndarray, latitude: np.ndarray, longitude: np.ndarra
     return out
 
 
-def travel_conflicts(rows: DataFrame, minutes: int, max_kmh: float) -> DataFrame:
+def group_starts(group: pa.Table) -> np.ndarray:
+    """Where a customer's slab begins in rows sorted by both."""
+    customer = group["customer_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    slab = group["slab"].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (customer[1:] != customer[:-1]) | (slab[1:] != slab[:-1])]))
+
+
+def travel_conflicts(rows: DataFrame, minutes: int, max_kmh: float, count: int) -> DataFrame:
     """``(transaction_id, conflict_latitude, conflict_longitude)`` of the transactions that have one: the newest earlier
-    place of the same customer, by (time, id), that is too far away.
+    place of the same customer, by (time, id), that is too far away. There are about ``count`` rows.
 
     Time is cut into slabs of one window. A slab's transactions need its visits and those of the slab before, so every visit
-    goes to two tasks at most, and what a task holds is two windows of one customer."""
+    goes to two tasks at most. Slabs pass through a task in order and walk together, many small ones at once, on a common
+    clock on which each is more than a window from the next; the most a task holds is two windows of one customer, or
+    ``HELD`` rows."""
     window = minutes * MINUTE
     slab = floor_div(F.col("us"), window)
     where = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
@@ -112,20 +125,41 @@ def travel_conflicts(rows: DataFrame, minutes: int, max_kmh: float) -> DataFrame
     dealt = (rows.select("customer_id", "us", "transaction_id", "latitude", "longitude", "effective_latitude", "effective_longitude",
                          F.explode(F.array_compact(F.array(own, F.when(where, slab + 1)))).alias("slab"))
              .withColumn("asks", asks & (F.col("slab") == slab)))
+    dealt = tables.dealt(dealt, 2 * count, "customer_id", "slab").sortWithinPartitions(
+        "customer_id", "slab", "us", F.asc_nulls_last("transaction_id"))
     schema = pa.schema([("transaction_id", pa.string()), ("conflict_latitude", pa.float64()), ("conflict_longitude", pa.float64())])
 
-    def walk(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, sort_keys=[("us", "ascending"), ("transaction_id", "ascending")]))
+    def walk(group: pa.Table) -> pa.RecordBatch:
+        starts = group_starts(group)
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(group))))
+        # visits of a slab lie from 0 to 2 windows behind the start of the one before
+        clock = group["us"].to_numpy() + (4 * number - (group["slab"].to_numpy() - 1)) * window
+        group = group.append_column("clock", pa.array(clock))
         column = lambda table, name: table[name].to_numpy()
         visits = group.filter(pc.and_(pc.is_valid(group["latitude"]), pc.is_valid(group["longitude"])))
         probes = group.filter(group["asks"])
         found = newest_conflicts(
-            column(probes, "us"), column(probes, "effective_latitude"), column(probes, "effective_longitude"), column(visits, "us"),
+            column(probes, "clock"), column(probes, "effective_latitude"), column(probes, "effective_longitude"), column(visits, "clock"),
             column(visits, "latitude"), column(visits, "longitude"), window, max_kmh)
         some = found >= 0
         place = pa.array(found[some])
-        return pa.Table.from_arrays([probes["transaction_id"].filter(pa.array(some)), visits["latitude"].take(place),
-                                     visits["longitude"].take(place)], schema=schema)
-
-    return dealt.groupBy("customer_id", "slab").applyInArrow(
-        walk, "transaction_id string, conflict_latitude double, conflict_longitude double")
+        table = pa.Table.from_arrays([probes["transaction_id"].filter(pa.array(some)), visits["latitude"].take(place),
+                                      visits["longitude"].take(place)], schema=schema)
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], schema=schema)
+
+    def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, due = [], 0, HELD
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= due:
+                group = pa.Table.from_batches(held)
+                cut = int(group_starts(group)[-1])
+                if cut:
+                    yield walk(group.slice(0, cut))
+                held, n = group.slice(cut).to_batches(), n - cut
+                due = max(HELD, 2 * n)  # a slab of any size is looked through a few times only
+        if n:
+            yield walk(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(walk_all, "transaction_id string, conflict_latitude double, conflict_longitude double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from datetime import date, timedelta
 
@@ -13,6 +14,7 @@ from swipewatch import schemas
 from swipewatch.schemas import CLEARED, FLAGGED, PENDING_REVIEW
 
 RETENTION_DAYS = 91  # fixed value
+ROWS_PER_TASK = 100_000  # with what windows and sorts add to them some 200 MB
 
 
 # --- session and shared folder ------------------------------------------------------------------
@@ -40,6 +42,18 @@ def join_path(folder: str, *parts: str) -> str:
     return "/".join([folder.rstrip("/"), *parts])
 
 
+def dealt(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """Rows by ``keys`` for windows, in tasks of about ``ROWS_PER_TASK``, of ``count`` rows altogether.
+
+    Left to itself adaptive execution merges partitions by their packed bytes, and rows that pack well then meet in
+    a few tasks whose memory grows with the input. So their number is set, the session's being the least.
+    """
+    tasks = math.ceil(count / ROWS_PER_TASK)
+    if tasks <= 1:
+        return rows.repartition(*keys)
+    return rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 # --- reading ------------------------------------------------------------------------------------
 
 def scan_transactions(spark: SparkSession, path: str, from_date: date | None = None,

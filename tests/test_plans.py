@@ -42,6 +42,14 @@ def test_hot_path_has_no_cross_joins_and_python_for_travel_alone(spark, stored):
     assert specs and all("block#" in spec for spec in specs)
 
 
+def test_hot_path_deals_events_out_once_and_walks_many_slabs_at_once(spark, stored):
+    from swipewatch.config import SkewConfig
+    text = plan(assess(stored[0], demo.merchants(spark), skew=SkewConfig(hot_rows=1)))
+    assert len(re.findall(r"Exchange hashpartitioning\(customer_id#\d+, block#\d+, \d+\), REPARTITION", text)) == 1
+    assert "SortMergeJoin [customer_id" not in text.replace("LeftAnti", "")  # sums of earlier stretches are rows, not joined
+    assert "FlatMapGroupsInArrow" not in text and "MapInArrow" in text
+
+
 def test_unused_context_leaves_the_plan(spark, stored):
     context = build_context(stored[0], demo.merchants(spark)).select("transaction_id", "daily_spend")
     text = plan(context)

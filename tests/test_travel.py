@@ -5,6 +5,7 @@ import time
 import numpy as np
 import pytest
 
+from swipewatch.operators import travel
 from swipewatch.operators.travel import kilometres, newest_conflicts
 
 HOUR, MINUTE = 3_600_000_000, 60_000_000
@@ -65,3 +66,22 @@ def test_a_hundred_thousand_places_in_one_hour(kind):
         taken.append(time.process_time() - start)
     assert len(found) == 100_000 and taken[1] < 60
     assert taken[1] < 30 * max(taken[0], 0.1)  # eight times the rows; all pairs would be 64 times the work
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 16])
+def test_slabs_walk_together(spark, monkeypatch, held):
+    """Many small slabs and one large one, however many rows are gathered, against all pairs of each customer."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(travel, "HELD", held)
+    rows, wanted = [], {}
+    for customer, (n, span) in enumerate([(300, HOUR // 2), (40, 90 * HOUR), (1, HOUR), (60, 2 * HOUR)]):
+        us = np.sort(rng.integers(0, span // 1000, n) * 1000) + 5 * HOUR
+        lat, lon = places("towns", n, rng)
+        for i, hit in enumerate(brute(us, lat, lon, us, lat, lon, HOUR, 900.0)):
+            rows.append((f"C-{customer}", int(us[i]), f"{customer}-{i:04d}", float(lat[i]), float(lon[i])))
+            if hit >= 0:
+                wanted[f"{customer}-{i:04d}"] = (float(lat[hit]), float(lon[hit]))
+    frame = spark.createDataFrame(rows, "customer_id string, us long, transaction_id string, latitude double, longitude double")
+    frame = frame.selectExpr("*", "latitude AS effective_latitude", "longitude AS effective_longitude")
+    found = {r[0]: (r[1], r[2]) for r in travel.travel_conflicts(frame, 60, 900.0, len(rows)).collect()}
+    assert found == wanted and len(wanted) > 20
