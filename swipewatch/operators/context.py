@@ -311,5 +311,5 @@ def build_context(txns: DataFrame, merchants: DataFrame, cfg: RuleConfig | None
 def ordinary_context(rows: DataFrame, cfg: RuleConfig, mode: str, count: int) -> DataFrame:
     # One exchange serves the per-currency and the per-customer windows. The list
     # comes last, so it is never sorted or shuffled.
-    placed = with_spend_and_baseline(rows.repartition("customer_id"), cfg, mode)
+    placed = with_spend_and_baseline(tables.dealt(rows, count, "customer_id"), cfg, mode)
     return features_from_recent(with_counts_and_recent(placed, cfg), cfg)

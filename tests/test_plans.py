@@ -50,6 +50,15 @@ def test_hot_path_deals_events_out_once_and_walks_many_slabs_at_once(spark, stor
     assert "FlatMapGroupsInArrow" not in text and "MapInArrow" in text
 
 
+@pytest.mark.parametrize("skew", [None, 1], ids=["ordinary", "hot"])
+def test_number_of_tasks_follows_the_rows(spark, stored, monkeypatch, skew):
+    from swipewatch.config import SkewConfig
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 2)
+    context = build_context(stored[0], demo.merchants(spark), skew=SkewConfig(hot_rows=skew or 200_000))
+    asked = [int(n) for n in re.findall(r"Exchange hashpartitioning\(customer_id#\d+[^)]*, (\d+)\), REPARTITION_BY_NUM", plan(context))]
+    assert asked and min(asked) >= 10 and context.count() == 20
+
+
 def test_unused_context_leaves_the_plan(spark, stored):
     context = build_context(stored[0], demo.merchants(spark)).select("transaction_id", "daily_spend")
     text = plan(context)
